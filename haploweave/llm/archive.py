@@ -15,7 +15,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, new_path, prepare, save
@@ -120,7 +120,7 @@ def directory(f: BinaryIO, size: int) -> dict[str, Member]:
     tail_at = max(0, size - 22 - _U16)
     f.seek(tail_at)
     tail = f.read(size - tail_at)
-    at = tail.rfind(b"PK\5\6")
+    at = tail.rfind(b"PK\5\6", 0, max(0, len(tail) - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(b"PK\5\6", 0, at)
     if at < 0:
@@ -185,25 +185,21 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows of that id the first by url) and the others revisit it; rows with a null id come last. Html crosses the network
     once, by page_id; payload groups meet as digests, as partial maxima, so that a group of any size is no hot spot.
     """
-    body = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", "url", body.alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("bytes"))
-    thin = save(keyed.select("page_id", "sha", "bytes", F.xxhash64("url").alias("u")), "payloads")
+    body, key = F.coalesce("html", F.lit("")), F.coalesce("page_id", F.lit(-(1 << 63)).cast("long"))
+    keyed = pages.select("page_id", key.alias("key"), "url", body.alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("bytes"))
+    thin = save(keyed.select("page_id", "key", "sha", "bytes"), "payloads")
     tops = thin.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("sha", "top")
     # Only groups of two or more need to meet the rows again.
-    named = thin.join(tops, "sha").select("page_id", "sha", "top").distinct()
-    out = keyed.withColumn("nth", F.row_number().over(_window("page_id", "sha")))
-    out = out.join(named.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "top", F.lit(True).alias("shared")), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
+    named = thin.join(tops, "sha").select(F.col("key").alias("k"), F.col("sha").alias("s"), "top", F.lit(True).alias("shared")).distinct()
+    # One exchange of html, by page: the numbering inside a page and the join both go by it (the digests are compared in
+    # an expression, so that they don't become a key of the join).
+    rows = keyed.repartition("key").withColumn("nth", F.row_number().over(Window.partitionBy("key", "sha").orderBy(F.col("url").asc_nulls_last())))
+    out = rows.join(named, (F.col("key") == F.col("k")) & (F.instr(F.col("sha"), F.col("s")) == 1), "left")
     lead = F.col("page_id").eqNullSafe(F.col("top")) & (F.col("nth") == 1)
     revisit = F.col("shared").isNotNull() & ~lead
     return out.select("page_id", "url", "html", "sha", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
-def _window(*keys: str):  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(F.col("url").asc_nulls_last())
-
-
 def write_packages(planned: DataFrame, folder: str, records_each: int = 20_000, zip64: bool = False) -> DataFrame:
     """Write planned rows into ZIP packages in folder; returns the manifest (path, n_records, bytes), already materialised.
 
