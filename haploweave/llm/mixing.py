@@ -140,7 +140,8 @@ def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     Texts cross the network once, by doc_id, and meet there the thin table of copies.
     """
     copies = mix(docs, **options).where("copies > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("key"), F.col("nth").alias("own"), "copies")
-    full = with_row_key(docs.select([F.col(c) for c in docs.columns]))
+    # The row travels as one struct, so that no column of it can clash with those that the join needs.
+    full = with_row_key(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text"))
     # nth is compared in an expression, so that the join keeps the window's partitioning by doc_key alone.
     picked = full.join(copies, (F.col("doc_key") == F.col("key")) & (F.abs(F.col("nth") - F.col("own")) == 0))
-    return picked.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return picked.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, per_text, prepare
+from .common import Words, lean, per_text, prepare
 
 #: Rules beyond the base. Repeats shorter than MIN_REPEAT words are ordinary language.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 6, 0.35, 100
@@ -133,7 +133,7 @@ def measures(docs: DataFrame, min_repeat: int = MIN_REPEAT, keep: tuple[str, ...
 
     picked = docs.select(*keep, "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), *(f"{x} long" for x in names)])
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(lean(run), schema)
 
 
 def judge(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -151,5 +151,5 @@ def judge(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MA
 def select_kept(docs: DataFrame, **options: float) -> DataFrame:
     """Rows of docs that judge() keeps, columns as they were: each row carries its own, so nothing is joined or shuffled."""
     names = docs.columns
-    packed = docs.select(F.struct(*names).alias("row"), "text")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "text")
     return judge(packed, keep=("row",), **options).where("kept").select("row.*")

@@ -133,7 +133,9 @@ def keep_first(docs: DataFrame, **options: int) -> DataFrame:
     Columns as they were. A group whose ids are all null keeps one row of that null id. Only (doc_id, fingerprint) and
     the texts of rows that lead a group cross the network.
     """
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
     groups = near_duplicates(docs, **options)
-    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lead")).distinct()
-    kept = docs.join(leads, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("key")).distinct()
+    # One exchange of the rows, by id: the join and the choice among repeated rows both go by it.
+    rows = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(leads, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
