@@ -79,10 +79,22 @@ def join_checked(left: DataFrame, right: DataFrame, on: Column | list[str], rows
     return left.join(F.broadcast(right) if rows <= most else right, on, how)
 
 
-def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """A batch function that gives its memory back to the system when it ends: Python workers live on between tasks."""
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def keep_memory(owner: str, forget: Callable[[], None]) -> None:
+    """Tell how to empty what an operator remembers between tasks of a Python worker."""
+    _memories[owner] = forget
+
+
+def lean(run: Callable[..., Iterator], owner: str = "") -> Callable[..., Iterator]:
+    """A batch function that empties what other operators remember, and gives its memory back to the system when it ends:
+    Python workers live on between tasks."""
 
     def out(batches: Iterator) -> Iterator:
+        for other, forget in _memories.items():
+            if other != owner:
+                forget()
         try:
             yield from run(batches)
         finally:

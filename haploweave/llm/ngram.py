@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, mix64, per_text, prepare, save
-from .packs import pack, unpack, word_hashes
+from .common import Words, discard, lean, mix64, per_text, prepare, save
+from .packs import expand, expand_sorted, pack, squeeze, squeeze_sorted, unpack, word_hashes
 
 #: Words of history + 1; pseudo-count that a state gives to its failure arc.
 ORDER, PRIOR = 2, 100.0
+#: Keys of the corpus, repeats in other packs included, that meet in one bucket.
+BUCKET = 1 << 20
 #: Hashes of the two marks. An even key is of one token, an odd one of a longer n-gram or of the start.
 END, START = np.uint64(0x9E3779B97F4A7C14), np.uint64(0xD1B54A32D192ED03)
 
@@ -33,7 +35,7 @@ class Tokens:
         is_end[self.first[1:] - 1] = True
         tokens[is_end] = END
         if len(words):
-            tokens[~is_end] = known[words.ids]
+            tokens[~is_end] = known
         self.train = np.repeat(~np.array(held, dtype=bool), self.counts)
         self.train_texts = int((~np.array(held, dtype=bool)).sum())
         place = np.arange(n) - np.repeat(self.first[:-1], self.counts)
@@ -47,21 +49,17 @@ class Tokens:
             key = np.where(place >= k - 1, longer, key)
             self.keys.append(key)
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Distinct keys in order, their training counts in the pack, and for each order the index of each token's key."""
-        found = [np.unique(k, return_inverse=True) for k in self.keys]
-        every = np.unique(np.concatenate([*(u for u, _ in found), np.array([START])]))
-        counts, where = np.zeros(len(every), dtype=np.int64), []
-        counts[np.searchsorted(every, START)] = self.train_texts
-        seen = np.zeros(len(every), dtype=bool)
-        for unique, inverse in found:
-            at = np.searchsorted(every, unique)
-            own = np.bincount(inverse[self.train], minlength=len(unique))
-            new = ~seen[at]
-            counts[at[new]] += own[new]
-            seen[at] = True
-            where.append(at[inverse])
-        return every, counts, where
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each order the distinct keys, ascending, their training counts in the pack, and each token's key's index."""
+        found = []
+        for keys in self.keys:
+            by = np.argsort(keys)
+            fresh = np.ones(len(by), dtype=bool)
+            fresh[1:] = keys[by][1:] != keys[by][:-1]
+            where = np.empty(len(by), dtype=np.int64)
+            where[by] = np.cumsum(fresh) - 1
+            found.append((keys[by][fresh], np.bincount(where[self.train], minlength=int(fresh.sum())).astype(np.uint32), where))
+        return found
 
 
 class Automaton:
@@ -72,27 +70,28 @@ class Automaton:
     count, one more for all unknown words together.
     """
 
-    def __init__(self, counts: np.ndarray, start: int, n: int, v: int, prior: float) -> None:
-        self.counts, self.start, self.n, self.v, self.prior = counts.astype(np.float64), start, n, v, prior
+    def __init__(self, counts: list[np.ndarray], starts: int, n: int, v: int, prior: float) -> None:
+        """counts: of each order's keys; starts: of the state before any token; n, v: tokens, and distinct ones."""
+        self.counts, self.starts, self.n, self.v, self.prior = [c.astype(np.float64) for c in counts], float(starts), n, v, prior
 
     def run(self, where: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities of each token: of the root alone, and of the whole automaton, from left to right.
 
-        The state before a token is its longest history; all tokens advance at once, as each state is the key before it.
+        where: the index of each token's key, for each order. The state before a token is its longest history; all
+        tokens advance at once, as each state is the key before it.
         """
-        root = np.log10((self.counts[where[0]] + 1) / (self.n + self.v + 1))
-        weight = root.copy()
-        begins = first[:-1]
+        root = np.log10((self.counts[0][where[0]] + 1) / (self.n + self.v + 1))
+        weight, begins = root.copy(), first[:-1]
+        place = np.arange(len(root)) - np.repeat(begins, np.diff(first))
         for k in range(1, len(where)):
-            state = np.roll(where[k - 1], 1)
-            state[begins] = self.start
-            seen = self.counts[where[k]]
-            total = self.counts[state]
-            longer = where[k] != where[k - 1]  # a text's first tokens have no longer history than the start
+            total = np.roll(self.counts[k - 1][where[k - 1]], 1)
+            total[begins] = self.starts
+            seen = self.counts[k][where[k]]
             with np.errstate(divide="ignore"):
                 arc = np.log10(seen + self.prior * 10.0**weight) - np.log10(total + self.prior)
                 fail = np.log10(self.prior / (total + self.prior)) + weight
-            weight = np.where(longer, np.where(seen > 0, arc, fail), weight)
+            # A text's first tokens have no longer history than the start.
+            weight = np.where(place >= k - 1, np.where(seen > 0, arc, fail), weight)
         return root, weight
 
 
@@ -102,45 +101,77 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, fold: int =
     Learns from documents whose crc32(doc_id as text) mod fold isn't held_out (a null id counts as the empty text), and
     scores all, whole texts, null as empty: the end alone. Words are told apart by 64-bit hashes. Nothing is pruned.
 
-    Packs of documents count their n-grams; a key's counts meet once, and go back to the packs that asked for it, where
-    they differ from the pack's own. So no task and no machine holds more than a pack and its part of the automaton,
-    and what moves grows with the corpus. A key has at most a row for each pack, however common it is.
+    Packs of documents count their n-grams; a key's counts meet once, in the bucket of the key, and go back to the packs
+    that asked for it. So no task and no machine holds more than a pack and its part of the automaton, or a bucket, and
+    what moves grows with the corpus. However common a key is, it comes at most once from each pack.
     """
     prepare(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == held_out, F.lit(held_out == 0))
     packs = save(pack(docs.select("doc_id", held.alias("held"), "text")), "packs")
 
+    # Keys go by their upper bits to so many buckets of each order that one holds about BUCKET keys of the corpus.
+    size = packs.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
+    bits = max(4, int((size[0] or 0) / 6 / BUCKET).bit_length())
+    starts = size[1] or 0
+
+    def cuts(keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, own, _ = Tokens(row["lengths"], row["blob"], row["held"], order).table()
-                for lo in range(0, len(keys), 1 << 17):
-                    part = keys[lo : lo + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(np.full(len(part), row["pack"])), pa.array(own[lo : lo + (1 << 17)])], names=["key", "pack", "own"])
-
-    asked = packs.select("pack", "held", "lengths", "blob").mapInArrow(ask, "key long, pack long, own long")
-    key = Window.partitionBy("key")
-    total = asked.withColumns({"total": F.sum("own").over(key), "lead": (F.col("pack") == F.min("pack").over(key)) & (F.col("key").bitwiseAND(F.lit(1)) == 0)})
-    known = save(total.where("total != own or (lead and total > 0)").select("key", "pack", "total", "lead"), "counts")
-    v = known.where("lead and total > 0").count()
-    n = known.where("lead and total > 0").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-
-    def tell(pack: pa.Table, counts: pa.Table) -> pa.Table:
-        found = []
-        for row in pack.to_pylist():
-            tokens = Tokens(row["lengths"], row["blob"], row["held"], order)
-            keys, own, where = tokens.table()
-            own[np.searchsorted(keys, counts.column("key").to_numpy().view(np.uint64))] = counts.column("total").to_numpy()
-            model = Automaton(own, int(np.searchsorted(keys, START)), n, v, prior)
-            root, weight = model.run(where, tokens.first)
-            starts = tokens.first[:-1]
-            found.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(tokens.counts), "n_known": pa.array(per_text(own[where[0]] > 0, tokens.first)), "train_tokens": pa.array(np.full(len(starts), n)), "base_score": pa.array(np.add.reduceat(root, starts)), "score": pa.array(np.add.reduceat(weight, starts))}))
+                out: list[tuple] = []
+                for k, (keys, own, _) in enumerate(Tokens(row["lengths"], row["blob"], row["held"], order).tables()):
+                    at = cuts(keys)
+                    for b in np.flatnonzero(at[1:] > at[:-1]):
+                        part = slice(int(at[b]), int(at[b + 1]))
+                        out.append((k << bits | int(b), row["pack"], squeeze_sorted(keys[part]), squeeze(own[part])))
+                for lo in range(0, len(out), 2000):
+                    columns = list(zip(*out[lo : lo + 2000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["bucket", "pack", "keys", "own"])
+
+    asked = packs.select("pack", "held", "lengths", "blob").mapInArrow(lean(ask), "bucket long, pack long, keys binary, own binary")
+
+    def answer(table: pa.Table) -> pa.Table:
+        """Sum a bucket's counts and give each pack those of its keys, in its order."""
+        parts = [expand_sorted(x.as_py()) for x in table.column("keys")]
+        keys, own = np.concatenate(parts), np.concatenate([expand(x.as_py(), np.uint32) for x in table.column("own")]).astype(np.int64)
+        by = np.argsort(keys)
+        fresh = np.ones(len(by), dtype=bool)
+        fresh[1:] = keys[by][1:] != keys[by][:-1]
+        sums = np.add.reduceat(own[by], np.flatnonzero(fresh))
+        where = np.empty(len(by), dtype=np.int64)
+        where[by] = np.cumsum(fresh) - 1
+        totals = sums[where]
+        ends = np.cumsum([len(p) for p in parts])
+        blobs = [squeeze(t) for t in np.split(totals.astype(np.uint64), ends[:-1])]
+        words = table.column("bucket")[0].as_py() >> bits == 0
+        found = np.zeros(len(parts), dtype=np.int64), np.zeros(len(parts), dtype=np.int64)
+        if words:
+            found[0][0], found[1][0] = int(sums.sum()), int((sums > 0).sum())
+        return pa.table({"bucket": table.column("bucket"), "pack": table.column("pack"), "totals": pa.array(blobs, pa.binary()), "n": pa.array(found[0]), "v": pa.array(found[1])})
+
+    told = save(asked.groupBy("bucket").applyInArrow(answer, "bucket long, pack long, totals binary, n long, v long"), "counts")
+    n, v = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        return pa.concat_tables(found) if found else schema.empty_table()
+        if not left.num_rows:
+            return schema.empty_table()
+        row = left.to_pylist()[0]
+        tokens = Tokens(row["lengths"], row["blob"], row["held"], order)
+        tables = tokens.tables()
+        parts = dict(zip(right.column("bucket").to_pylist(), right.column("totals"), strict=True))
+        counts = []
+        for k in range(order):
+            own = [expand(parts[b].as_py()) for b in sorted(b for b in parts if b >> bits == k)]
+            counts.append(np.concatenate(own).astype(np.int64))
+        root, weight = Automaton(counts, starts, n, v, prior).run([w for _, _, w in tables], tokens.first)
+        begins = tokens.first[:-1]
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(tokens.counts.astype(np.int64)), pa.array(per_text(counts[0][tables[0][2]] > 0, tokens.first)), pa.array(np.full(len(begins), n, dtype=np.int64)), pa.array(np.add.reduceat(root, begins)), pa.array(np.add.reduceat(weight, begins))], schema=schema)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = packs.groupBy("pack").cogroup(known.select("pack", "key", "total").groupBy("pack")).applyInArrow(tell, schema)
-    return out
+    return packs.groupBy("pack").cogroup(told.select("bucket", "pack", "totals").groupBy("pack")).applyInArrow(tell, schema)
 
 
 __all__ = ["Automaton", "Tokens", "discard", "score"]
