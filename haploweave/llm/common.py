@@ -26,6 +26,7 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _shipped: set[str] = set()
+_given: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -54,7 +55,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _given.add(path)
+    return path
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -69,9 +72,19 @@ def save(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove what save() wrote, once nothing reads it."""
     if path := getattr(df, "_saved_at", None):
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _given.discard(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all that operators of this process have put into the shared folder: call it when their results are written."""
+    for path in list(_given):
+        _remove(spark, path)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: Column | list[str], rows: int, most: int = 20_000, how: str = "inner") -> DataFrame:

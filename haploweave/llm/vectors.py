@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -76,7 +77,7 @@ def links(embeddings: DataFrame, least: float = 0.9, pivots: int = PIVOTS, neare
 
     Pairs found with cosine >= least (double precision) are linked. Every row is indexed; the index is approximate: a
     pair is found if `shared` of its `nearest` pivots agree. Vectors that are null, empty, zero, of another length than
-    the pivots, or with null or non-finite components link with nothing: 0 links, their own vec_id, kept. Equal vectors
+    most, or with null or non-finite components link with nothing: 0 links, their own vec_id, kept. Equal vectors
     meet as one before the search, and are links of each other. Repeated rows count as vectors; a null vec_id takes part
     and names a component only if it has no other id. kept: vec_id = component_id (null ids: false unless alone).
     A crowded inverted list is cut into tiles of bounded size: tasks share it, and only sums leave a tile, never pairs.
@@ -103,7 +104,7 @@ def links(embeddings: DataFrame, least: float = 0.9, pivots: int = PIVOTS, neare
     classes = rows.where("payload is not null").groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
     classes = save(classes, "distinct-vectors")
     sample = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("payload").collect()]
-    width = max(((len(p), sum(len(q) == len(p) for q in sample)) for p in sample[:1]), default=(0, 0))[0]
+    width = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
     refs = choose_pivots(_units([p for p in sample if len(p) == width], kind), pivots) if width else np.zeros((0, 1))
     nearest, shared = min(nearest, len(refs)), min(shared, max(1, len(refs)))
 
