@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
+from ..session import ship
 from .intnj import intnj
 from .mjn import mjn
-from .msn import msn
+from .msn import msn, spanning_links
 from .network import Graph, Haplotypes, NetworkError
 from .tcs import tcs
 
@@ -42,6 +44,7 @@ def elements(condensed: DataFrame, algorithm: str = "MJN", epsilon: float = 0, a
     networks, not pairs, are what runs in parallel. Sampled vertices come first.
     """
     options, build = _options(algorithm, epsilon, alpha), ALGORITHMS[algorithm]
+    ship(condensed.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hap_idx")
@@ -81,11 +84,9 @@ def minimum_spanning_edges(distances: DataFrame, epsilon: float = 0) -> DataFram
 
     One task per network over its pairs; no haplotypes needed.
     """
-    from .msn import spanning_links
+    ship(distances.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         n = int(pdf["i"].max()) + 1
         d = np.zeros((n, n), dtype=np.int64)
         d[pdf["i"], pdf["j"]] = pdf["d"]

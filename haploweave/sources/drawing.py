@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.palette import rgb, trait_colours
+from ..session import ship
 
 #: Settings of a drawing and their usual values.
 DEFAULTS: dict[str, Any] = {
@@ -338,6 +339,7 @@ def draw(vertices: DataFrame, edges: DataFrame, options: dict[str, Any] | None =
     vertices as from plans.layout.lay_out() with label, frequency, inferred and, if there, traits; edges with weights.
     """
     maker = {"svg": lambda v, e, o: svg(v, e, o, True, transparent), "png": lambda v, e, o: png(v, e, o, transparent), "pdf": lambda v, e, o: pdf(v, e, o, transparent)}[kind]
+    ship(vertices.sparkSession)
     extra = ["traits"] if "traits" in vertices.columns else []
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

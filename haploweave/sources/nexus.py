@@ -7,10 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ship
+
 
 class NexusError(ValueError):
     """The text isn't Nexus that can be used."""
@@ -415,16 +418,15 @@ class NexusDataSource(DataSource):
 
 def read_nexus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All tables of the Nexus files at path, by name."""
-    spark.dataSource.register(NexusDataSource)
+    ship(spark).dataSource.register(NexusDataSource)
     return {t: spark.read.format("nexus").option("table", t).load(path) for t in TABLES}
 
 
 def parse_texts(texts: DataFrame, table: str) -> DataFrame:
     """texts(dataset_id, text) -> one of TABLES. Each text is parsed in its task; a broken one fails the job."""
+    ship(texts.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         names = [f.split()[0].strip("`") for f in TABLES[table].split(", ")]
         for pdf in batches:
             rows = [r for d, t in zip(pdf["dataset_id"], pdf["text"], strict=True) for r in rows_of(table, d, parse(t))]
