@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import keep_memory, lean, prepare
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -66,6 +66,8 @@ class Pieces:
         self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         #: What stable() said, by ids: left * 2**21 + right (left -1: start or no piece, which merge with nothing).
         self.tested: dict[int, bool] = {}
+        #: Characters other than letters that some piece holds right after a letter.
+        self.late = "".join(sorted({p[1] for p in self.inner if p[0].isalpha() and not p[1].isalpha() and not p[1].isspace() and p[1] != SPACE}))
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         # No piece goes on with a space mark after another character: then a search may start anew before each run of marks.
         self.cuts_at_space = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
@@ -163,7 +165,7 @@ class StreamingViterbi:
                 if arc >= 0 and (end > reach or back[end] < 0):
                     ok = tested.get(left + arc)
                     if ok is None:
-                        if len(tested) >= 1_000_000:
+                        if len(tested) >= 400_000:
                             tested.clear()
                         ok = tested[left + arc] = stable((text[back[at] : at] if at else self.last) if left >= 0 else "", text[at:end])
                     if ok:
@@ -200,24 +202,66 @@ class Codec:
     """Encodes and decodes whole texts. Words that came before are looked up: a search is the same wherever it starts anew."""
 
     #: Words looked up come from two generations of at most REMEMBERED each, none longer than WIDE.
-    REMEMBERED, WIDE = 300_000, 64
+    REMEMBERED, WIDE = 250_000, 64
 
     def __init__(self, model: bytes) -> None:
         self.pieces = Pieces(model)
         self.known: dict[str, array] = {}
         self.older: dict[str, array] = {}
-        stop = "\n" if self.pieces.lone_newline else ""
-        self.split = re.compile(f"{stop and stop + '|'} *[^ {stop}]+| +").findall if self.pieces.cuts_at_space else lambda text: [text]
+        # Merging stops before spaces, around lone line breaks, and between a letter and most other characters: so do the
+        # parts of a text that are looked up. What may follow a letter in a piece takes all marks after it along.
+        stop = "\\n" if self.pieces.lone_newline else ""
+        mark = f"(?:(?![ {stop}])[\\W\\d_])"
+        word = r"[^\W\d_]+" + (f"(?:[{re.escape(self.pieces.late)}]{mark}*)?" if self.pieces.late else "")
+        parts = f"{stop and stop + '|'} *(?:{mark}+(?:{word})*|(?:{word})+)| +"
+        self.split = re.compile(parts).findall if self.pieces.cuts_at_space else lambda text: [text]
 
     def _search(self, part: str) -> array:
-        stream, out = StreamingViterbi(self.pieces), array("i")
+        out = array("i")
         part = part.replace(SPACE, _LITERAL).replace(" ", SPACE)
+        if len(part) <= self.WIDE:
+            out.extend(self._window(part))
+            return out
+        stream = StreamingViterbi(self.pieces)
         for i in range(0, len(part) - 256, 256):
             out.extend(stream.feed(part[i : i + 256]))
         stream.window += part[len(part) - (len(part) - 1) % 256 - 1 :] if len(part) > 256 else part
         out.extend(stream.finish())
         return out
 
+    def _window(self, text: str) -> list[int]:
+        """The stream's search for a part that fits one window: all of it is open until its end, which commits it."""
+        trie, tested, n = self.pieces.trie, self.pieces.tested, len(text)
+        back, piece = [-1] * (n + 1), [-1] * (n + 1)
+        back[0] = 0
+        for at in range(n):
+            left, follow, end = piece[at] << 21, trie, at
+            while end < n:
+                node = follow.get(text[end])
+                if node is None:
+                    break
+                arc, follow = node
+                end += 1
+                if arc >= 0 and back[end] < 0:
+                    ok = tested.get(left + arc)
+                    if ok is None:
+                        if len(tested) >= 400_000:
+                            tested.clear()
+                        ok = tested[left + arc] = self.pieces.stable(text[back[at] : at] if left >= 0 else "", text[at:end])
+                    if ok:
+                        back[end], piece[end] = at, arc
+            if back[at + 1] < 0 and trie.get(text[at], _LONE)[0] < 0:
+                back[at + 1] = at
+        out: list[int] = []
+        while n > 0:
+            if piece[n] >= 0:
+                out.append(piece[n])
+            else:
+                out.extend(reversed(self.pieces.fallback(text[back[n] : n])))
+            n = back[n]
+        out.reverse()
+        return out
+
     def encode(self, text: str, out: array) -> None:
         """Append the ids of text to out; an empty text has none."""
         if not text:
@@ -236,6 +280,9 @@ class Codec:
                     known[part] = ids
             out += ids
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def decode(self, ids: list[int] | np.ndarray) -> str:
         raw = b"".join(map(self.pieces.bytes_.__getitem__, ids))
         return (raw[1:] if self.pieces.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
@@ -244,8 +291,17 @@ class Codec:
 _codecs: dict[bytes, Codec] = {}
 
 
+def _forget() -> None:
+    for codec in _codecs.values():
+        codec.forget()
+
+
+keep_memory("pieces", _forget)
+
+
 def _codec(model: bytes) -> Codec:
-    """One codec for each model and Python process: what it remembers serves the next task too."""
+    """One codec for each model and Python process: what it remembers serves the next task too, until another operator's
+    task needs the memory."""
     key = hashlib.sha256(model).digest()
     if key not in _codecs:
         _codecs[key] = Codec(model)
@@ -284,7 +340,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
 
     picked = docs.select(*keep, "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "ids array<int>, n_ids long, decoded boolean"])
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(lean(run, "pieces"), schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -301,4 +357,4 @@ def decode(encoded: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc
 
     picked = encoded.select(*keep, "ids")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "text string"])
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(lean(run, "pieces"), schema)
