@@ -8,9 +8,7 @@ import os
 import sys
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word, and what lies between words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of an Arrow batch. A batch ends at this many bytes or rows, whichever comes first.
@@ -25,7 +25,6 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_shipped: set[str] = set()
 _given: set[str] = set()
 
 
@@ -33,16 +32,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches of this session and give executors this package. Idempotent."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        target = os.path.realpath(tempfile.mkdtemp()) + f"/{top.name}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        context.addPyFile(target)
-        _shipped.add(context.applicationId)
-    return spark
+    return ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
