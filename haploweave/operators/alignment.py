@@ -99,13 +99,19 @@ def condensed(haplotypes: DataFrame, patterns: DataFrame) -> DataFrame:
     return out.select("network_id", "hap_idx", "name", picked.alias("pattern_seq"), F.transform("p", lambda x: x["weight"]).alias("weights"), "seq", "originals", "frequency")
 
 
-def distances(condensed_: DataFrame, kind: str = "dna") -> DataFrame:
-    """(network_id, i, j, d) for i > j: weights of the patterns in which both states are defined and differ."""
+def distances(condensed_: DataFrame, kind: str = "dna", block: int = 256) -> DataFrame:
+    """(network_id, i, j, d) for i > j: weights of the patterns in which both states are defined and differ.
+
+    Pairs meet by network and block of i: the haplotypes go to each block that has larger indices than theirs, so that a
+    large network's pairs are spread over n / block tasks, and a task never holds more than block * n of them.
+    """
     states = AMBIGUOUS[kind]
-    side = condensed_.select("network_id", "hap_idx", F.transform(characters("pattern_seq"), lambda c: F.when(~F.upper(c).isin(*states), c)).alias("cs"), "weights")
-    a = side.select("network_id", F.col("hap_idx").alias("i"), F.col("cs").alias("x"))
-    b = side.select("network_id", F.col("hap_idx").alias("j"), F.col("cs").alias("y"), "weights")
-    pairs = a.join(b, "network_id").where("i > j")
+    side = condensed_.select("network_id", F.col("hap_idx").cast("int").alias("hap_idx"), F.transform(characters("pattern_seq"), lambda c: F.when(~F.upper(c).isin(*states), c)).alias("cs"), "weights")
+    last = side.groupBy("network_id").agg(F.max("hap_idx").alias("last"))
+    a = side.select("network_id", F.floor(F.col("hap_idx") / block).cast("int").alias("block"), F.col("hap_idx").alias("i"), F.col("cs").alias("x"))
+    blocks = F.sequence(F.floor(F.col("hap_idx") / block).cast("int"), F.floor(F.col("last") / block).cast("int"))
+    b = side.join(last, "network_id").select("network_id", F.explode(blocks).alias("block"), F.col("hap_idx").alias("j"), F.col("cs").alias("y"), "weights")
+    pairs = a.join(b, ["network_id", "block"]).where("i > j")
     differ = F.zip_with("x", "y", lambda p, q: F.coalesce(p != q, F.lit(False)))
     d = F.aggregate(F.zip_with(differ, "weights", lambda f, w: F.when(f, w).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, w: s + w)
     return pairs.select("network_id", "i", "j", d.alias("d"))

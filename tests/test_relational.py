@@ -38,6 +38,15 @@ def test_patterns(spark, seqs, weights, d):
     assert [r.d for r in A.distances(c).collect()] == [d]
 
 
+def test_distances_in_blocks(spark):
+    a = rows(spark, *(format(i, "08b").replace("0", "A").replace("1", "C") for i in range(1, 40)))
+    h = A.condense(a)
+    c = A.condensed(h, A.site_patterns(h)).cache()
+    want = sorted(map(tuple, A.distances(c).collect()))
+    assert len(want) == 39 * 38 // 2 and sorted(map(tuple, A.distances(c, block=7).collect())) == want
+    assert all(d == ((i + 1) ^ (j + 1)).bit_count() for _, i, j, d in want)
+
+
 def test_all_masked_and_lengths(spark):
     a = rows(spark, "NN", "AC")
     m = A.site_mask(a)
