@@ -24,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that another one holds."""
-    return passages.remove_passages(docs)
+    """Documents without the passages that another one holds; those of which nothing is left go."""
+    return passages.remove_passages(docs).where("text != ''")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
