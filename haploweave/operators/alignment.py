@@ -27,6 +27,14 @@ def checked(alignment: DataFrame) -> DataFrame:
     return alignment.withColumn("seq", F.when(same, F.col("seq")).otherwise(F.raise_error(F.lit("Sequences are not the same length."))))
 
 
+def known_taxa(rows: DataFrame, taxa: DataFrame) -> DataFrame:
+    """rows(network_id, taxon, ...); one whose taxon isn't in taxa(network_id, taxon) fails the job."""
+    names = taxa.select("network_id", "taxon", F.lit(True).alias("known")).distinct()
+    joined = rows.join(names, ["network_id", "taxon"], "left")
+    taxon = F.when(F.col("known"), F.col("taxon")).otherwise(F.raise_error(F.concat(F.lit("Taxon is not defined: "), F.col("taxon"))))
+    return joined.withColumn("taxon", taxon).select(*rows.columns)
+
+
 def sites(alignment: DataFrame) -> DataFrame:
     """Long form: (network_id, taxon_idx, site, state)."""
     return alignment.select("network_id", "taxon_idx", F.posexplode(characters(F.upper("seq"))).alias("site", "state"))

@@ -122,6 +122,27 @@ def connected(paths: DataFrame, a: int, b: int) -> DataFrame:
     return paths.groupBy("network_id").agg(F.max((F.col("i") == a) & (F.col("j") == b)).alias("connected"))
 
 
+def total_excess(paths: DataFrame, distances: DataFrame) -> DataFrame:
+    """(network_id, excess): sum over the pairs of distances(i, j, d) of path length less distance; a shorter path fails."""
+    joined = distances.join(paths, ["network_id", "i", "j"])
+    over = F.col("length") - F.col("d")
+    over = F.when(over < 0, F.raise_error(F.lit("Path length is shorter than allowed."))).otherwise(over)
+    return joined.groupBy("network_id").agg(F.sum(over).alias("excess"))
+
+
+def excess_pairs(paths: DataFrame, distances: DataFrame) -> DataFrame:
+    """(network_id, i, j, excess, place): pairs with a path too long, numbered by (excess, i, j)."""
+    over = distances.join(paths, ["network_id", "i", "j"]).withColumn("excess", F.col("length") - F.col("d")).where("excess > 0")
+    place = F.row_number().over(Window.partitionBy("network_id").orderBy("excess", "i", "j")) - 1
+    return over.select("network_id", "i", "j", "excess", place.alias("place"))
+
+
+def shared_edges(edges: DataFrame) -> DataFrame:
+    """(network_id, a, b, edge): for vertices next to each other, a < b, the first edge between them."""
+    pairs = edges.select("network_id", F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b"), "index")
+    return pairs.where("a < b").groupBy("network_id", "a", "b").agg(F.min("index").alias("edge"))
+
+
 def feasible_triplets(edges: DataFrame) -> DataFrame:
     """(network_id, edge, previous, u, v, w): each edge with every earlier one that touches it; w is the other's far end."""
     e, p = edges.alias("e"), edges.alias("p")

@@ -141,6 +141,31 @@ class Graph:
             np.minimum(d, d[:, k, None] + d[None, k, :], out=d)
         return d
 
+    def path(self, a: Vertex, b: Vertex) -> list[Vertex]:
+        """One shortest path, both ends included; none if there is none. Of equal ways the one that the vertices in order
+        gave first."""
+        n = len(self.vertices)
+        d, via = np.full((n, n), np.inf), np.full((n, n), -1)
+        np.fill_diagonal(d, 0)
+        for e in self.edges:
+            i, j = e.a.index, e.b.index
+            d[i, j] = d[j, i] = min(d[i, j], e.weight)
+        for k in range(n):
+            way = d[:, k, None] + d[None, k, :]
+            via[way < d] = k
+            np.minimum(d, way, out=d)
+        if not np.isfinite(d[a.index, b.index]):
+            return []
+        inner, todo = [], [(a.index, b.index)]
+        while todo:
+            i, j = todo.pop()
+            k = int(via[i, j]) if j >= 0 else -1
+            if j < 0:
+                inner.append(self.vertices[i])
+            elif k >= 0:
+                todo += [(k, j), (k, -1), (i, k)]
+        return [a, *inner, b]
+
     def edge_list(self) -> list[tuple[str, float, str]]:
         return [(e.a.label, e.weight, e.b.label) for e in self.edges]
 

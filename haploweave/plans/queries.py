@@ -158,6 +158,18 @@ def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
     return G.shortest_paths(*_msn(spark, folder))
 
 
+def total_excess(spark: SparkSession, folder: str) -> DataFrame:
+    return G.total_excess(G.shortest_paths(*_msn(spark, folder)), _distances(spark, folder, FEW))
+
+
+def excess_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return G.excess_pairs(G.shortest_paths(*_msn(spark, folder)), _distances(spark, folder, FEW))
+
+
+def shared_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return G.shared_edges(_msn(spark, folder)[1])
+
+
 def vertex_degree(spark: SparkSession, folder: str) -> DataFrame:
     return G.degrees(*_msn(spark, folder))
 
@@ -233,7 +245,7 @@ def layout_xy(spark: SparkSession, folder: str) -> DataFrame:
     return layout.lay_out(build.with_frequencies(build.vertices(found), haps), build.edges(found))
 
 
-_PLAIN = (alignment_long, match_char_expand, ambiguity_flags, site_mask, masked_sites, mask_apply, condense_haplotypes, site_patterns, pattern_weights, pairwise_distance, haplotype_traits, trait_frequencies, trait_summary, msn_edges_eps0, msn_edges_eps1, components_at_threshold, shortest_paths, vertex_degree, incident_edges, feasible_triplets, remove_vertex, nj_q_matrix, nj_first_pair, pair_buckets, pie_angles, vertex_radius, graph_bounds, nucleotide_classes, layout_xy)
+_PLAIN = (alignment_long, match_char_expand, ambiguity_flags, site_mask, masked_sites, mask_apply, condense_haplotypes, site_patterns, pattern_weights, pairwise_distance, haplotype_traits, trait_frequencies, trait_summary, msn_edges_eps0, msn_edges_eps1, components_at_threshold, shortest_paths, total_excess, excess_pairs, shared_edges, vertex_degree, incident_edges, feasible_triplets, remove_vertex, nj_q_matrix, nj_first_pair, pair_buckets, pie_angles, vertex_radius, graph_bounds, nucleotide_classes, layout_xy)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"{a.lower()}_edges": _network(a) for a in build.ALGORITHMS}
 
 # ---- the same in SQL
@@ -301,6 +313,9 @@ nn AS (SELECT network_id, count(*) AS n FROM su GROUP BY ALL),
 nq AS (SELECT d.network_id, d.i, d.j, ((nn.n - 2) * d.d - x.s - y.s)::BIGINT AS q FROM d JOIN su x ON x.network_id = d.network_id AND x.a = d.i JOIN su y ON y.network_id = d.network_id AND y.a = d.j JOIN nn ON nn.network_id = d.network_id)"""
 _PLACED = f"{_bin(FEW)}, {_HAPS}, v AS (SELECT h.network_id, hap_idx AS index, e[1]::DOUBLE AS x, e[2]::DOUBLE AS y, 7.5 * sqrt(greatest(4.0 / 9, frequency)) AS radius FROM h JOIN t ON t.network_id = h.network_id AND t.taxon_idx = h.lead)"
 
+_PATHS = f"""sp(network_id, i, j, length) AS (SELECT network_id, hap_idx, hap_idx, 0.0::DOUBLE FROM h
+  UNION SELECT sp.network_id, sp.i, x.other, sp.length + x.weight FROM sp JOIN ends x ON x.network_id = sp.network_id AND x.vertex = sp.j WHERE sp.length + x.weight <= 2 * {FEW})"""
+
 SQL: dict[str, str] = {
     "alignment_long": f"WITH {_DNA} SELECT network_id, taxon_idx, site, state FROM s",
     "match_char_expand": f"WITH {_DNA} SELECT network_id, taxon_idx, seq FROM q",
@@ -320,10 +335,13 @@ SQL: dict[str, str] = {
     "components_at_threshold": f"""WITH RECURSIVE {_bin(MORE)}, {_HAPS}, {_dist(MORE)}, b AS (SELECT network_id, i, j FROM d WHERE d < 3 UNION ALL SELECT network_id, j, i FROM d WHERE d < 3),
 r(network_id, x, y) AS (SELECT network_id, hap_idx, hap_idx FROM h UNION SELECT r.network_id, r.x, b.j FROM r JOIN b ON b.network_id = r.network_id AND b.i = r.y)
 SELECT network_id, x AS index, min(y) AS component FROM r GROUP BY ALL""",
-    "shortest_paths": f"""WITH RECURSIVE {_MSN}, {_ENDS},
-sp(network_id, i, j, length) AS (SELECT network_id, hap_idx, hap_idx, 0.0::DOUBLE FROM h
-  UNION SELECT sp.network_id, sp.i, x.other, sp.length + x.weight FROM sp JOIN ends x ON x.network_id = sp.network_id AND x.vertex = sp.j WHERE sp.length + x.weight <= 2 * {FEW})
+    "shortest_paths": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}
 SELECT network_id, i, j, min(length) AS length FROM sp GROUP BY ALL""",
+    "total_excess": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}, x AS (SELECT network_id, i, j, min(length) AS length FROM sp GROUP BY ALL)
+SELECT network_id, sum(length - d) AS excess FROM x JOIN d USING (network_id, i, j) GROUP BY ALL""",
+    "excess_pairs": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}, x AS (SELECT network_id, i, j, min(length) AS length FROM sp GROUP BY ALL)
+SELECT network_id, i, j, length - d AS excess, (row_number() OVER (PARTITION BY network_id ORDER BY length - d, i, j) - 1)::INT AS place FROM x JOIN d USING (network_id, i, j) WHERE length > d""",
+    "shared_edges": f"WITH RECURSIVE {_MSN} SELECT network_id, least(a, b) AS a, greatest(a, b) AS b, min(index) AS edge FROM ed WHERE a <> b GROUP BY ALL",
     "vertex_degree": f"WITH RECURSIVE {_MSN}, {_ENDS} SELECT h.network_id, hap_idx AS index, count(DISTINCT edge) AS degree FROM h LEFT JOIN ends ON ends.network_id = h.network_id AND ends.vertex = h.hap_idx GROUP BY ALL",
     "incident_edges": f"WITH RECURSIVE {_MSN}, {_ENDS} SELECT * FROM ends",
     "feasible_triplets": f"""WITH RECURSIVE {_MSN} SELECT x.network_id, x.index AS edge, y.index AS previous, x.a AS u, x.b AS v, CASE WHEN y.a IN (x.a, x.b) THEN y.b ELSE y.a END AS w

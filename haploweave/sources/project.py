@@ -8,7 +8,7 @@ import re
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .drawing import DEFAULTS, merged
@@ -159,4 +159,11 @@ def status(haplotypes: DataFrame, edges: DataFrame, mask: DataFrame) -> DataFram
     return out.select("network_id", "n_haplotypes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("n_masked", F.lit(0)).alias("n_masked"))
 
 
-__all__ = [name for name in globals() if not name.startswith("_") and name not in ("Any", "annotations", "Window")]
+def model_snapshots(condensed: DataFrame, distances: DataFrame) -> DataFrame:
+    """(network_id, json): haplotypes in order and distances (rows i > j), as stored or handed to a worker. Catalyst alone."""
+    extra = [c for c in ("traits",) if c in condensed.columns]
+    fields = ["hap_idx", "name", "pattern_seq", "seq", "originals", "frequency", *extra]
+    haps = condensed.groupBy("network_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("haplotypes"), F.first("weights").alias("site_weights"))
+    pairs = distances.groupBy("network_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "d"))).alias("distances"))
+    both = haps.join(pairs, "network_id", "left")
+    return both.select("network_id", F.to_json(F.struct(F.size("haplotypes").alias("nseqs"), "haplotypes", "site_weights", "distances")).alias("json"))

@@ -95,3 +95,13 @@ def test_drawings(spark):
     e = spark.createDataFrame([("n", x["index"], x["from"], x["to"], x["weight"]) for x in E], "network_id string, index int, from int, to int, weight double")
     assert D.draw(v, e).first().drawing.startswith("<svg")
     assert bytes(D.draw(v, e, {"width": 20, "height": 20}, "png").first().drawing[:4]) == b"\x89PNG"
+
+
+def test_model_snapshots(spark):
+    from haploweave.operators import alignment as A
+    from haploweave.plans import build
+
+    rows = spark.createDataFrame([("n", i, chr(97 + i), s) for i, s in enumerate(["AC", "AC", "GC"])], "network_id string, taxon_idx int, taxon string, seq string")
+    h = build.haplotypes(rows)
+    snapshot = json.loads(P.model_snapshots(h, A.distances(h)).first().json)
+    assert snapshot["nseqs"] == 2 and snapshot["distances"] == [{"i": 1, "j": 0, "d": 1}] and snapshot["haplotypes"][0]["originals"] == [0, 1]

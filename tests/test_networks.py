@@ -131,3 +131,16 @@ def test_mask_threshold():
     assert keep_sites([]) == []
     with pytest.raises(NetworkError):
         keep_sites(["A", "AC"])
+
+
+def test_paths():
+    from haploweave.plans.network import Graph
+
+    g = Graph()
+    a, b, c, d, e = (g.add(x) for x in "abcde")
+    for x, y, w in ((a, b, 1), (b, c, 1), (a, c, 5), (c, d, 1)):
+        g.link(x, y, w)
+    assert [v.label for v in g.path(a, d)] == ["a", "b", "c", "d"] and g.path(a, e) == [] and g.path(a, a) == [a, a]
+    assert g.paths()[0, 3] == 3 and np.isinf(g.paths()[0, 4])
+    g.drop(b)
+    assert [(x.label, w, y) for x, w, y in ((e.a, e.weight, e.b.label) for e in g.edges)] == [("a", 5, "c"), ("c", 1, "d")] and c.index == 1

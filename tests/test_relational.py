@@ -130,3 +130,22 @@ def test_queries_against_sql(spark):
         names = [d[0] for d in cur.description]
         assert sorted(names) == sorted(df.columns), name
         assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, cur.fetchall())), name
+
+
+def test_excess_and_shared_edges(spark):
+    v, e = graph(spark, [(0, 1, 2), (1, 2, 3), (2, 1, 9)], 3)
+    d = spark.createDataFrame([("g", 1, 0, 2), ("g", 2, 0, 1), ("g", 2, 1, 3)], "network_id string, i int, j int, d int")
+    paths = G.shortest_paths(v, e)
+    assert G.total_excess(paths, d).first().excess == 4
+    assert [tuple(r) for r in G.excess_pairs(paths, d).collect()] == [("g", 2, 0, 4.0, 0)]
+    assert sorted((r.a, r.b, r.edge) for r in G.shared_edges(e).collect()) == [(0, 1, 0), (1, 2, 1)]
+    with pytest.raises(Exception, match="shorter than allowed"):
+        G.total_excess(paths, d.withColumn("d", F.lit(99))).collect()
+
+
+def test_known_taxa(spark):
+    taxa = rows(spark, "A", "C").select("network_id", "taxon")
+    good = spark.createDataFrame([("n", "a", 1)], "network_id string, taxon string, x int")
+    assert [tuple(r) for r in A.known_taxa(good, taxa).collect()] == [("n", "a", 1)]
+    with pytest.raises(Exception, match="not defined: q"):
+        A.known_taxa(good.withColumn("taxon", F.lit("q")), taxa).collect()
