@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, new_path, prepare, save
+from .common import new_path, prepare, save
 
 RECORDS, INDEX = "archive/records.warc.gz", "indexes/index.cdx"
 _ID = "urn:page:"
@@ -303,5 +303,3 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, records_each: int = 20_00
     manifest = write_packages(plan_records(pages, least_bytes), folder, records_each)
     return read_packages(manifest)
 
-
-__all__ = ["Package", "Member", "digest_of", "directory", "discard", "parse_record", "plan_records", "read_packages", "read_range", "record", "round_trip", "write_packages"]

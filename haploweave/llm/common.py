@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -36,12 +37,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one.
+
+    With its file system, so that Spark's writers and others see one place.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="haploweave-"))
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

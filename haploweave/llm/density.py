@@ -25,7 +25,7 @@ _FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": (
 _SKIP = frozenset(("head", "script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "canvas", "nav", "menu", "header", "footer", "aside", "form", "button", "select", "input", "textarea", "dialog", "title"))
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"))
 #: Words of class and id that name what stands around an article.
-_AROUND = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|cookie|cookies|consent|gdpr|footer|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|popup|modal|promo|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|widgets|respond|replies)(?:$|[\s_-])", re.I)
+_AROUND = re.compile(r"(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?<!without-)(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|cookie|cookies|consent|gdpr|footer|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|popup|modal|promo|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|widgets|respond|replies)(?:$|[\s_-])", re.I)
 _HEAD = re.compile(r"(?:^|[\s_-])(?:site|page|top|global|main)[_-]?header(?:$|[\s_-])|^header$", re.I)
 
 
@@ -41,10 +41,11 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _around(name: str, attributes: str) -> bool:
+def _around(name: str, attributes: str, by_class: bool = True) -> bool:
+    """Whether an element stands around the article: by its name, or by what its attributes say."""
     if name in _SKIP:
         return True
-    if not attributes.strip() or name in ("html", "body"):
+    if not by_class or not attributes.strip() or name in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = (m[1] or m[5]).lower(), html.unescape(m[2] or m[3] or m[4] or "")
@@ -57,7 +58,7 @@ def _around(name: str, attributes: str) -> bool:
     return False
 
 
-def parse(source: str) -> Node:
+def parse(source: str, by_class: bool = True) -> Node:
     """A tree for any text: unknown, unclosed and misnested tags are taken as browsers mostly take them, nothing fails."""
     root = Node("#root", None)
     at, here, end = 0, root, len(source)
@@ -97,7 +98,7 @@ def parse(source: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        node = Node(name, here, _around(name, m[3]))
+        node = Node(name, here, _around(name, m[3], by_class))
         here.children.append(node)
         if name in _RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -204,8 +205,8 @@ def text_of(node: Node) -> str:
 
 
 def extract(source: str | None) -> str:
-    """Main text of a page; empty for null, empty and textless pages."""
-    return text_of(select(parse(source))) if source else ""
+    """Main text of a page; empty for null, empty and textless pages. Where attributes would leave nothing, names alone count."""
+    return text_of(select(parse(source))) or text_of(select(parse(source, by_class=False))) if source else ""
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, lean, mix64, per_text, prepare, save
+from .common import Words, lean, mix64, per_text, prepare, save
 from .packs import expand, expand_sorted, pack, squeeze, squeeze_sorted, unpack, word_hashes
 
 #: Words of history + 1; pseudo-count that a state gives to its failure arc.
@@ -173,5 +173,3 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, fold: int =
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packs.groupBy("pack").cogroup(told.select("bucket", "pack", "totals").groupBy("pack")).applyInArrow(tell, schema)
 
-
-__all__ = ["Automaton", "Tokens", "discard", "score"]
