@@ -98,6 +98,45 @@ def components_at(distances: DataFrame, vertices: DataFrame, threshold: float) -
     return components(vertices, edges)
 
 
+def spanning_edges(vertices: DataFrame, distances: DataFrame, epsilon: float = 0) -> DataFrame:
+    """(network_id, edge_idx, later, earlier, weight): the relaxed minimum spanning network, for networks of any size.
+
+    What plans.msn does in one task, as joins: for each distance t in turn, pairs of t whose ends links shorter than
+    t - epsilon don't connect are links; then pairs of t merge components (of components, so that each round's graph is
+    small). A network ends epsilon after it is connected. Distances are few; their list is the only thing collected.
+    """
+    pairs = _cut(distances.select("network_id", "i", "j", "d"))
+    steps = sorted(r[0] for r in pairs.select("d").distinct().collect())
+    labels = _cut(vertices.select("network_id", "index", F.col("index").alias("component")))
+    history, found = [(float("-inf"), labels)], []
+    whole = labels.groupBy("network_id").agg(F.lit(None).cast("double").alias("w"))  # the distance that connects it
+    for t in steps:
+        now = pairs.where(F.col("d") == t)
+        base = next(x for s, x in reversed(history) if s < t - epsilon)
+        found.append(_ends_in(now, base).where("ci != cj").join(whole.where(F.col("w").isNull() | (F.lit(t) <= F.col("w") + epsilon)), "network_id").select("network_id", "i", "j", "d"))
+        merged = _ends_in(now, labels).where("ci != cj").select("network_id", F.lit(0).alias("index"), F.col("ci").alias("from"), F.col("cj").alias("to"), F.lit(1).alias("weight")).distinct()
+        roots = components(labels.select("network_id", F.col("component").alias("index")).distinct(), merged)
+        labels = _cut(labels.join(roots.select("network_id", F.col("index").alias("component"), F.col("component").alias("root")), ["network_id", "component"]).select("network_id", "index", F.col("root").alias("component")))
+        history.append((t, labels))
+        one = labels.groupBy("network_id").agg((F.count_distinct("component") == 1).alias("one"))
+        whole = _cut(whole.join(one, "network_id").select("network_id", F.when(F.col("w").isNull() & F.col("one"), F.lit(float(t))).otherwise(F.col("w")).alias("w")))
+        if whole.where(F.col("w").isNull() | (F.col("w") + epsilon > t)).limit(1).count() == 0:
+            break
+    out = found[0] if found else pairs.limit(0)
+    for part in found[1:]:
+        out = out.unionByName(part)
+    place = F.row_number().over(Window.partitionBy("network_id").orderBy("d", "i", "j")) - 1
+    return out.select("network_id", place.alias("edge_idx"), F.col("i").alias("later"), F.col("j").alias("earlier"), F.col("d").alias("weight"))
+
+
+def _ends_in(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs with the components of both ends as ci and cj."""
+    out = pairs
+    for end in ("i", "j"):
+        out = out.join(labels.select("network_id", F.col("index").alias(end), F.col("component").alias(f"c{end}")), ["network_id", end])
+    return out
+
+
 def shortest_paths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(network_id, i, j, length): least sums of weights for all reachable ordered pairs, 0 from a vertex to itself.
 

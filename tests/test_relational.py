@@ -149,3 +149,15 @@ def test_known_taxa(spark):
     assert [tuple(r) for r in A.known_taxa(good, taxa).collect()] == [("n", "a", 1)]
     with pytest.raises(Exception, match="not defined: q"):
         A.known_taxa(good.withColumn("taxon", F.lit("q")), taxa).collect()
+
+
+@pytest.mark.parametrize("epsilon", [0, 1])
+def test_spanning_as_joins(spark, epsilon):
+    import random
+
+    rng = random.Random(epsilon)
+    d = [(net, i, j, rng.randint(1, 3)) for net, n in (("p", 7), ("q", 4)) for i in range(n) for j in range(i)]
+    v = [("p", i) for i in range(7)] + [("q", i) for i in range(4)]
+    pairs, vertices = spark.createDataFrame(d, "network_id string, i int, j int, d int"), spark.createDataFrame(v, "network_id string, index int")
+    want = sorted(map(tuple, build.minimum_spanning_edges(pairs, epsilon).collect()))
+    assert sorted(map(tuple, G.spanning_edges(vertices, pairs, epsilon).collect())) == want
