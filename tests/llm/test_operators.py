@@ -448,6 +448,9 @@ def test_density():
     assert density.extract(page) == f"Head & more\n{para}bold text\nSecond one <x> line\none\ntwo"
     assert density.extract("<article><h1>A</h1></article>") == "A"
     assert [density.extract(x) for x in (None, "", "<p>", "plain  text", "<", "<a <b>", "<!-- ")] == ["", "", "", "plain text", "<", "", ""]
+    assert density.extract(f"<div class='page no-sidebar'><p>{para}</p></div>") == para.strip()
+    assert density.extract(f"<div class='widget'><p>{para}</p></div>") == para.strip()
+    assert density.extract(f"<article><p>{para}</p></article><article class='comment'><p>{para * 3}</p></article>") == para.strip()
     deep = "<div>" * 3000 + "x"
     assert density.extract(deep) == "x"
 
