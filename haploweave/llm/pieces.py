@@ -280,9 +280,6 @@ class Codec:
                     known[part] = ids
             out += ids
 
-    def forget(self) -> None:
-        self.known, self.older = {}, {}
-
     def decode(self, ids: list[int] | np.ndarray) -> str:
         raw = b"".join(map(self.pieces.bytes_.__getitem__, ids))
         return (raw[1:] if self.pieces.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
@@ -291,12 +288,7 @@ class Codec:
 _codecs: dict[bytes, Codec] = {}
 
 
-def _forget() -> None:
-    for codec in _codecs.values():
-        codec.forget()
-
-
-keep_memory("pieces", _forget)
+keep_memory("pieces", _codecs.clear)
 
 
 def _codec(model: bytes) -> Codec:
