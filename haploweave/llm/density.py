@@ -24,38 +24,49 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist")}
 _SKIP = frozenset(("head", "script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "canvas", "nav", "menu", "header", "footer", "aside", "form", "button", "select", "input", "textarea", "dialog", "title"))
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"))
-#: Words of class and id that name what stands around an article.
-_AROUND = re.compile(r"(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?<!without-)(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|cookie|cookies|consent|gdpr|footer|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|popup|modal|promo|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|widgets|respond|replies)(?:$|[\s_-])", re.I)
+#: Words of class and id that mostly name what stands around an article. Density has the last word: see _drop_named().
+_AROUND = re.compile(r"(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?<!without-)(ad|ads|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|cookie|cookies|consent|gdpr|footer|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|popup|modal|promo|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|widgets|respond|replies)(?=$|[\s_-])", re.I)
 _HEAD = re.compile(r"(?:^|[\s_-])(?:site|page|top|global|main)[_-]?header(?:$|[\s_-])|^header$", re.I)
+#: Named elements go only if a subtree of the rest has at least this share of the page's largest total.
+_REST = 0.1
 
 
 class Node:
-    """An element: its children are texts and Nodes. chars and tags (with those of links apart) are of its whole subtree."""
+    """An element: its children are texts and Nodes. chars and tags (with those of links apart) are of its whole subtree.
 
-    __slots__ = ("name", "parent", "children", "skip", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    words: those of its class and id that mostly name what stands around an article.
+    """
+
+    __slots__ = ("name", "parent", "children", "skip", "words", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, skip: bool = False) -> None:
         self.name, self.parent, self.skip = name, parent, skip
+        self.words: frozenset[str] = frozenset()
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _around(name: str, attributes: str, by_class: bool = True) -> bool:
-    """Whether an element stands around the article: by its name, or by what its attributes say."""
+def _around(name: str, attributes: str, by_class: bool = True) -> tuple[bool, frozenset[str]]:
+    """Whether an element stands around the article by its name, role or being hidden; else the words of class and id."""
     if name in _SKIP:
-        return True
+        return True, frozenset()
+    words: set[str] = set()
     if not by_class or not attributes.strip() or name in ("html", "body", "main"):
-        return False
+        return False, frozenset()
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = (m[1] or m[5]).lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value.lower() in _ROLES or key in ("class", "id") and (_AROUND.search(value) or _HEAD.search(value)):
-            return True
+            return True, frozenset()
+        if key == "role" and value.lower() in _ROLES:
+            return True, frozenset()
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, frozenset()
+        if key in ("class", "id"):
+            words.update(x.lower() for x in _AROUND.findall(value))
+            if _HEAD.search(value):
+                words.add("header")
+    return False, frozenset(words)
 
 
 def parse(source: str, by_class: bool = True) -> Node:
@@ -98,7 +109,9 @@ def parse(source: str, by_class: bool = True) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        node = Node(name, here, _around(name, m[3], by_class))
+        skip, words = _around(name, m[3], by_class)
+        node = Node(name, here, skip)
+        node.words = words
         here.children.append(node)
         if name in _RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -137,6 +150,7 @@ def measure(root: Node) -> list[Node]:
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
         c, lc, t, lt = node.chars, node.link_chars, max(1, node.tags), max(1, node.link_tags)
+        node.density = 0.0
         if c:
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             node.density = c / t * math.log(max(c / max(1, lc) * t / lt, 1.0)) / math.log(base) if base > 1 else c / t * math.log(max(c / max(1, lc) * t / lt, 1.0))
@@ -145,13 +159,39 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _drop_named(root: Node) -> list[Node]:
+    """Measure the page, skip the elements that class or id name as around the article, and measure the rest.
+
+    Density decides against a name: the node with the largest total and those around it stay, and so does whatever is
+    named by the same words only (they say nothing on this page). Where no subtree of the rest comes near the largest
+    total, names would take the main text itself, and all named elements stay.
+    """
+    nodes = measure(root)
+    if not any(x.words for x in nodes):
+        return nodes
+    node: Node | None = max(nodes, key=lambda x: x.total)
+    most, known = node.total, set()
+    while node is not None:
+        known |= node.words
+        node = node.parent
+    dropped = [x for x in nodes if x.words - known]
+    for x in dropped:
+        x.skip = True
+    rest = measure(root)
+    if max(x.total for x in rest) >= _REST * most:
+        return rest
+    for x in dropped:
+        x.skip = False
+    return measure(root)
+
+
 def select(root: Node) -> Node:
-    """The node with the largest total; then up while the parent holds nothing thinner than the body path allows.
+    """The node with the largest total, of the page without what is only named; then up while the parent holds nothing thinner than the body path allows.
 
     The threshold is the least density on the path from the body to that node. An article or main element around the
     node is the whole article. The first such node wins ties.
     """
-    nodes = measure(root)
+    nodes = _drop_named(root)
     best = max(nodes, key=lambda x: x.total)
     if not best.total:
         best = max(nodes, key=lambda x: (x.chars > 0, x.density))

@@ -455,6 +455,23 @@ def test_density():
     assert density.extract(deep) == "x"
 
 
+def test_density_names_mislead():
+    """Class names that take the main text lose against density, whatever else stands on the page."""
+    rng = random.Random(20)
+    paras = [passage(rng, 60) for _ in range(6)]
+    ps = lambda some: "".join(f"<p>{x}</p>" for x in some)
+    skip, foot = "<a class='skip-link'>Skip to content</a>", "<div><p>Copyright of the site</p></div>"
+    share = "<div class='share'><a href=/f>Like</a> <a href=/t>Post</a></div>"
+    for name in ("elementor-widget elementor-widget-text-editor", "layout-sidebar-right", "post social"):
+        for some in (paras, paras[:1]):
+            got = density.extract(f"<body>{skip}<div class='{name}'>{ps(some)}{share}</div>{foot}</body>").split("\n")
+            assert [x for x in got if x in paras] == some and (len(some) == 1 or "Skip to content" not in got)
+        assert density.extract(f"<body>{skip}<div class='{name}'>{paras[0]}</div></body>").endswith(paras[0])
+    widgets = "".join(f"<div class='widget'>{ps(paras[k : k + 2])}</div>" for k in (0, 2, 4))
+    assert density.extract(f"<body>{skip}<div>{widgets}</div></body>") == "\n".join(paras)
+    assert density.extract(f"<body><div>{ps(paras)}</div><div class='comments'>{ps(paras[:2])}</div></body>") == "\n".join(paras)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>é x</p>"), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = density.main_text(df).collect()
