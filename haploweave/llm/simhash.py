@@ -46,8 +46,11 @@ def shingles(text: bytes, size: int = 3) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, fingerprint as signed long), one row per row; null text counts as empty (0)."""
+def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, fingerprint as signed long), one row per row; null text counts as empty (0).
+
+    hashed: with a column hash, xxhash64 of the text.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +67,10 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
                     found.append(fingerprint_of(np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)))
                     hashes, counts, held = [], [], 0
             found.append(fingerprint_of(np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view(np.int64)), *batch.columns[2:]], names=["doc_id", "fingerprint", "hash"][: batch.num_columns])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    hashes = [F.xxhash64("text").alias("hash")] if hashed else []
+    return docs.select("doc_id", "text", *hashes).mapInArrow(run, "doc_id long, fingerprint long" + ", hash long" * hashed)
 
 
 def block_masks(blocks: int, distance: int, bits: int = 64) -> list[int]:
@@ -114,28 +118,36 @@ def near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 4, size: i
     Repeated rows give repeated rows. A null doc_id takes part, but names a component only if it has no other id.
     An empty table gives an empty table. Other columns are not read. Copies meet as one fingerprint before any join.
     """
-    own = save(fingerprints(docs, size), "fingerprints")
-    distinct = own.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
+    own, named = _groups(docs, distance, blocks, size)
+    names = named.select("fingerprint", F.col("lead.doc_id").alias("component_id"))
+    return own.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _groups(docs: DataFrame, distance: int = 2, blocks: int = 4, size: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fingerprint, hash) of every row, and (fingerprint, root, lead) of every fingerprint.
+
+    hash: of the text; root: one for each group; lead: (no_id, doc_id, hash) of the group's first row, null ids last.
+    """
+    own = save(fingerprints(docs, size, hashed=True), "fingerprints")
+    distinct = own.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("lead"))
     distinct = save(distinct, "distinct-fingerprints")
     groups = components(near_links(distinct.select("fingerprint"), distance, blocks))
-    named = distinct.join(groups, distinct.fingerprint == groups.vertex, "left").select("fingerprint", "least_id", F.coalesce("component", "fingerprint").alias("root"))
+    named = distinct.join(groups, distinct.fingerprint == groups.vertex, "left").select("fingerprint", "lead", F.coalesce("component", "fingerprint").alias("root"))
     named = save(named, "roots")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    names = named.join(least, "root").select("fingerprint", "component_id")
-    out = own.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    least = named.groupBy("root").agg(F.min("lead").alias("lead"))
     discard(distinct)
-    return out
+    return own, named.drop("lead").join(least, "root")
 
 
 def keep_first(docs: DataFrame, **options: int) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id; of repeated rows of that id one stays.
+    """One row of each group of near-duplicates: that with the smallest doc_id, null ids last; of rows that have that id
+    and are in the group, one stays. So different texts under a null or repeated id each count for their own group.
 
-    Columns as they were. A group whose ids are all null keeps one row of that null id. Only (doc_id, fingerprint) and
+    Columns as they were. Rows are told apart by id and a 64-bit hash of the text. Only (doc_id, fingerprint, hash) and
     the texts of rows that lead a group cross the network.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
-    groups = near_duplicates(docs, **options)
-    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("key")).distinct()
-    # One exchange of the rows, by id: the join and the choice among repeated rows both go by it.
-    rows = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.join(leads, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    leads = _groups(docs, **options)[1].select("root", "lead.*").distinct().select(key.alias("key"), "no_id", "hash")
+    # One exchange of the rows, by id and hash: the join and the choice among repeated rows both go by them.
+    rows = docs.select(key.alias("key"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(leads, ["key", "no_id", "hash"], "left_semi").dropDuplicates(["key", "no_id", "hash"]).select("row.*")

@@ -345,6 +345,23 @@ def test_simhash(spark, crowded, monkeypatch):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(i), str(least.get(g))) for (i, _), g in zip(rows, group, strict=True))
 
 
+def test_keep_first_ids(spark):
+    """One row of each group stays, also where ids are null or repeated with different texts."""
+    rng = random.Random(21)
+    a, b, c, d, e, f = (passage(rng, 200) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (None, c), (3, d), (3, e), (3, e), (5, d), (2, a), (None, None), (4, ""), (-(1 << 63), f), (None, f + " end"), (None, passage(rng, 200))]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for x, y in itertools.combinations(range(len(rows)), 2):
+        if (prints[x] ^ prints[y]).bit_count() <= 2 and group[x] != group[y]:
+            group = [group[x] if g == group[y] else g for g in group]
+    want = []
+    for g in set(group):
+        want.append(min((i is None, i or 0, t or "") for (i, t), h in zip(rows, group, strict=True) if h == g))
+    got = [(r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.keep_first(docs(spark, rows)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_links_random(spark):
     rng = random.Random(11)
     center = rng.getrandbits(64)
