@@ -244,6 +244,16 @@ def test_crowded_passages(spark):
     assert {r.doc_id for r in found} == {i for i in texts if i % 2} - {1}
 
 
+def test_verify_edit_near_end():
+    """A near-equal passage is whole, too, where an edit leaves less than the shortest passage after it."""
+    a = np.arange(1, 97, dtype=np.uint32)
+    b = np.concatenate([np.arange(500, 530), a, np.arange(600, 630)]).astype(np.uint32)
+    b[30 + 55 : 30 + 60] = np.arange(900, 905)
+    ((i, j, p, q, similar),) = passages.verify(a, b, 30)
+    assert (i, j, p, q) == (0, 96, 30, 126) and abs(similar - 91 / 101) < 1e-9
+    assert passages.verify(a[:55], b, 30) == [(0, 55, 30, 85, 1.0)]
+
+
 def test_cut():
     assert passages.cut("a b  c\nd e", [(1, 3)]) == "a\nd e" and passages.cut("a b", [(0, 2)]) == "" and passages.cut(" a ", []) == " a "
 
