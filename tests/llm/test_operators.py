@@ -254,6 +254,15 @@ def test_verify_edit_near_end():
     assert passages.verify(a[:55], b, 30) == [(0, 55, 30, 85, 1.0)]
 
 
+def test_verify_repeats():
+    """An exact run is found though all its shingles stand at more than eight places before."""
+    run, rng = np.arange(1, 47, dtype=np.uint32), np.random.default_rng(22)
+    parts = [run[x : x + 23] for x in (0, 12, 23)] * 12
+    b = np.concatenate([y for x in parts for y in (x, rng.integers(1000, 1 << 30, 9))] + [run, rng.integers(1000, 1 << 30, 40)]).astype(np.uint32)
+    at = len(b) - 86
+    assert (0, 46, at, at + 46, 1.0) in passages.verify(run, b, at - 300)
+
+
 def test_cut():
     assert passages.cut("a b  c\nd e", [(1, 3)]) == "a\nd e" and passages.cut("a b", [(0, 2)]) == "" and passages.cut(" a ", []) == " a "
 
