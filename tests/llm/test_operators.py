@@ -263,6 +263,22 @@ def test_verify_repeats():
     assert (0, 46, at, at + 46, 1.0) in passages.verify(run, b, at - 300)
 
 
+def test_partial_first_text(spark):
+    """Texts that share 50 words meet, though earlier ones hold most of these words, or stand beside a near copy."""
+    rng, texts = random.Random(23), {}
+    for g in range(12):
+        whole = passage(rng, 50 + 4 * (g % 3)).split()
+        part = whole[:45] if g % 2 else whole[-45:]
+        texts[10 * g] = " ".join([passage(rng, 60), *part, passage(rng, 60)])
+        for k in range(1, 4):
+            texts[10 * g + k] = " ".join([passage(rng, 60), *whole, passage(rng, 60)])
+    table = docs(spark, sorted(texts.items()))
+    rows = {r.doc_id for r in passages.passages(table).collect()}
+    assert rows == {10 * g + k for g in range(12) for k in (2, 3)}
+    left = {r.doc_id: r.text for r in passages.remove_passages(table).collect()}
+    assert brute_links(texts) and not brute_links(left)
+
+
 def test_cut():
     assert passages.cut("a b  c\nd e", [(1, 3)]) == "a\nd e" and passages.cut("a b", [(0, 2)]) == "" and passages.cut(" a ", []) == " a "
 
