@@ -14,8 +14,6 @@ from .common import WORD, discard, join_checked, prepare, save
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Units of a block of the flight phase.
 BLOCK = 4096
-#: Runs of a source's last block; the one whose landing moves the sum of words least is taken.
-TRIES = 16
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -78,9 +76,7 @@ def _fly(seed: int, level: int):  # noqa: ANN202
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("hash", "ascending"), ("nth", "ascending")])
         source, block, land = table.column("source")[0].as_py(), table.column("block")[0].as_py(), table.column("blocks")[0].as_py() == 1
         pi, size = table.column("pi").to_pylist(), [float(x) for x in table.column("size").to_pylist()]
-        aim = sum(p * x for p, x in zip(pi, size, strict=True))
-        tries = (flight(pi, size, random.Random(f"{seed}/{level}/{source!r}/{block}/{k}"), land) for k in range(TRIES if land else 1))
-        done = min(tries, key=lambda d: abs(sum(p * x for p, x in zip(d, size, strict=True)) - aim) if land else 0)
+        done = flight(pi, size, random.Random(f"{seed}/{level}/{source!r}/{block}"), land)
         return table.set_column(table.schema.get_field_index("pi"), "pi", pa.array(done, pa.float64()))
 
     return run
@@ -99,7 +95,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     size: words of the whole text (null: 0). A source takes target / source_size of each document: the whole part for
     all, the rest by balanced sampling, so that words and documents of the sample meet their expectations up to a landing
-    problem of two units per source (the best of TRIES). taken = copies * size. Reruns agree: the draws hang on the rows, not on their places.
+    problem of two units per source, drawn once: every unit keeps its probability. The flight takes units by falling size, so that these two are
+    among the smallest. taken = copies * size. Reruns agree: the draws hang on the rows, not on their places.
     Null sources are one source, the last. Sources without words take nothing. Repeated rows are units of their own (nth).
     An empty table gives an empty table. Blocks of about BLOCK units fly apart, a hot source in many; what they leave
     open (two units each) flies again, in as many rounds as the logarithm of the size to the base BLOCK / 2 asks for.

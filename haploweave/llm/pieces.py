@@ -9,9 +9,10 @@ with that test in place of a sum, and its ids are those of the model's own encod
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .common import keep_memory, lean, prepare
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = os.environ.get("HAPLOWEAVE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 #: Stands for a literal U+2581 of a text, which must not turn into a space: no valid text and no piece holds it.
 _LITERAL = "\ud800"
@@ -39,6 +40,7 @@ class Pieces:
         proto = pb.ModelProto()
         proto.ParseFromString(model)
         self.ids: dict[str, tuple[int, float]] = {}
+        self.texts: list[str] = [p.piece for p in proto.pieces]
         self.bytes_: list[bytes] = []
         byte_ids: dict[int, int] = {}
         for i, p in enumerate(proto.pieces):
@@ -109,33 +111,39 @@ class StreamingViterbi:
 
     feed() takes characters and gives the ids that no later character can change; finish() gives the rest. Each boundary
     keeps one survivor: a piece and the boundary before it. A boundary is expanded once the window behind it holds the
-    longest piece (or the stream ended). Ids are committed up to a boundary when no piece crosses it, or else, tested
-    every CHECK characters, up to the last boundary that the backpointers of all open ends share.
+    longest piece (or the stream ended). Ids are committed as soon as the backpointers of all open ends share a
+    boundary: up to the present one where no piece crosses it, else, looked for every CHECK characters, up to the last
+    shared one; then the window begins there.
     """
 
-    CHECK = 64
+    CHECK = 32
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces, self.window = pieces, ""
         #: For each boundary of the window the start of the piece that ends there, and its id; start -1: none yet.
-        #: last: the text of the piece before the window.
         self.back: list[int] = [0]
-        self.last, self.piece = "", [-1]
-        self.at, self.reach, self.peak = 0, 0, 0
+        self.piece = [-1]
+        #: The boundary to expand next, the last end reached, the largest window, and the ids committed so far.
+        self.at, self.reach, self.peak, self.committed = 0, 0, 0, 0
 
-    def _path(self, end: int) -> list[int]:
-        """Ends of the pieces up to end."""
-        found = []
+    def _ids(self, end: int) -> list[int]:
+        """Ids of the surviving path to a boundary."""
+        out: list[int] = []
+        back, piece = self.back, self.piece
         while end > 0:
-            found.append(end)
-            end = self.back[end]
-        return found[::-1]
+            if piece[end] >= 0:
+                out.append(piece[end])
+            else:
+                out.extend(reversed(self.pieces.fallback(self.window[back[end] : end])))
+            end = back[end]
+        out.reverse()
+        return out
 
     def _commit(self, end: int) -> list[int]:
-        out: list[int] = []
-        for e in self._path(end):
-            out.extend((self.piece[e],) if self.piece[e] >= 0 else self.pieces.fallback(self.window[self.back[e] : e]))
-        self.last, self.window = self.window[self.back[end] : end], self.window[end:]
+        out = self._ids(end)
+        self.committed += len(out)
+        self.peak = max(self.peak, self.at)
+        self.window = self.window[end:]
         self.back, self.piece = [0, *(b - end for b in self.back[end + 1 :])], self.piece[end:]
         self.at, self.reach = self.at - end, self.reach - end
         return out
@@ -153,7 +161,7 @@ class StreamingViterbi:
         out: list[int] = []
         text, trie, back, piece = self.window, self.pieces.trie, self.back, self.piece
         tested, stable = self.pieces.tested, self.pieces.stable
-        at, reach, size = self.at, self.reach, len(self.window)
+        at, reach, size, since = self.at, self.reach, len(self.window), 0
         while at + room <= size and at < size:
             left, end, follow = piece[at] << 21, at, trie
             while end < size:
@@ -167,7 +175,7 @@ class StreamingViterbi:
                     if ok is None:
                         if len(tested) >= 400_000:
                             tested.clear()
-                        ok = tested[left + arc] = stable((text[back[at] : at] if at else self.last) if left >= 0 else "", text[at:end])
+                        ok = tested[left + arc] = stable(self.pieces.texts[left >> 21] if left >= 0 else "", self.pieces.texts[arc])
                     if ok:
                         while reach < end:
                             reach += 1
@@ -181,8 +189,9 @@ class StreamingViterbi:
             elif back[at + 1] < 0 and trie.get(text[at], _LONE)[0] < 0:
                 back[at + 1] = at
             at += 1
-            if at % self.CHECK == 0 or reach == at and (at == size or at >= self.CHECK // 2):
-                self.at, self.reach, self.peak = at, reach, max(self.peak, at)
+            since += 1
+            if reach == at and (at == size or since >= 16) or since >= self.CHECK:
+                since, self.at, self.reach = 0, at, reach
                 end = at if reach == at else self._shared()
                 if end > 0:
                     out += self._commit(end)
@@ -198,87 +207,65 @@ class StreamingViterbi:
         return self._run(1)
 
 
+class _Committed(dict):
+    """Stretch -> its ids as bytes: what the search committed, in two generations of at most ROOM; long ones aren't kept."""
+
+    ROOM, SHORT = 250_000, 64
+
+    def __init__(self, search: Callable[[str], array]) -> None:
+        self.search, self.older = search, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.older.get(stretch)
+        if ids is None:
+            ids = self.search(stretch).tobytes()
+        if len(stretch) <= self.SHORT:
+            if len(self) >= self.ROOM:
+                self.older = dict(self)
+                self.clear()
+            self[stretch] = ids
+        return ids
+
+
 class Codec:
-    """Encodes and decodes whole texts. Words that came before are looked up: a search is the same wherever it starts anew."""
+    """Encodes and decodes whole texts by the streaming search.
 
-    #: Words looked up come from two generations of at most REMEMBERED each, none longer than WIDE.
-    REMEMBERED, WIDE = 250_000, 64
+    A boundary that no piece can cross is one where all paths converge, whatever stands around it: the search commits
+    there and goes on as a new one. What it committed between two such boundaries is remembered, so that the same
+    stretch need not be searched again. Every id comes from the search; `searched` counts the characters it went over.
+    """
 
     def __init__(self, model: bytes) -> None:
         self.pieces = Pieces(model)
-        self.known: dict[str, array] = {}
-        self.older: dict[str, array] = {}
-        # Merging stops before spaces, around lone line breaks, and between a letter and most other characters: so do the
-        # parts of a text that are looked up. What may follow a letter in a piece takes all marks after it along.
+        self.searched = 0
+        self.committed = _Committed(self._search)
+        # Merging stops before spaces, around lone line breaks, and between a letter and most other characters. What may
+        # follow a letter in a piece takes all marks after it along.
         stop = "\\n" if self.pieces.lone_newline else ""
         mark = f"(?:(?![ {stop}])[\\W\\d_])"
         word = r"[^\W\d_]+" + (f"(?:[{re.escape(self.pieces.late)}]{mark}*)?" if self.pieces.late else "")
         parts = f"{stop and stop + '|'} *(?:{mark}+(?:{word})*|(?:{word})+)| +"
-        self.split = re.compile(parts).findall if self.pieces.cuts_at_space else lambda text: [text]
+        self.stretches = re.compile(parts).findall if self.pieces.cuts_at_space else lambda text: [text]
 
-    def _search(self, part: str) -> array:
-        out = array("i")
-        part = part.replace(SPACE, _LITERAL).replace(" ", SPACE)
-        if len(part) <= self.WIDE:
-            out.extend(self._window(part))
-            return out
+    def _search(self, stretch: str) -> array:
+        """The stream over one stretch, fed in bounded steps."""
         stream = StreamingViterbi(self.pieces)
-        for i in range(0, len(part) - 256, 256):
-            out.extend(stream.feed(part[i : i + 256]))
-        stream.window += part[len(part) - (len(part) - 1) % 256 - 1 :] if len(part) > 256 else part
+        stretch = stretch.replace(SPACE, _LITERAL).replace(" ", SPACE)
+        self.searched += len(stretch)
+        if len(stretch) <= 256:
+            stream.window = stretch
+            return array("i", stream.finish())
+        out = array("i")
+        for i in range(0, len(stretch), 256):
+            out.extend(stream.feed(stretch[i : i + 256]))
         out.extend(stream.finish())
         return out
 
-    def _window(self, text: str) -> list[int]:
-        """The stream's search for a part that fits one window: all of it is open until its end, which commits it."""
-        trie, tested, n = self.pieces.trie, self.pieces.tested, len(text)
-        back, piece = [-1] * (n + 1), [-1] * (n + 1)
-        back[0] = 0
-        for at in range(n):
-            left, follow, end = piece[at] << 21, trie, at
-            while end < n:
-                node = follow.get(text[end])
-                if node is None:
-                    break
-                arc, follow = node
-                end += 1
-                if arc >= 0 and back[end] < 0:
-                    ok = tested.get(left + arc)
-                    if ok is None:
-                        if len(tested) >= 400_000:
-                            tested.clear()
-                        ok = tested[left + arc] = self.pieces.stable(text[back[at] : at] if left >= 0 else "", text[at:end])
-                    if ok:
-                        back[end], piece[end] = at, arc
-            if back[at + 1] < 0 and trie.get(text[at], _LONE)[0] < 0:
-                back[at + 1] = at
-        out: list[int] = []
-        while n > 0:
-            if piece[n] >= 0:
-                out.append(piece[n])
-            else:
-                out.extend(reversed(self.pieces.fallback(text[back[n] : n])))
-            n = back[n]
-        out.reverse()
-        return out
-
     def encode(self, text: str, out: array) -> None:
         """Append the ids of text to out; an empty text has none."""
         if not text:
             return
-        known, get = self.known, self.known.get
-        for part in self.split(" " + text if self.pieces.prefix else text):
-            ids = get(part)
-            if ids is None:
-                ids = self.older.get(part)
-                if ids is None:
-                    ids = self._search(part)
-                if len(part) <= self.WIDE:
-                    if len(known) >= self.REMEMBERED:
-                        self.older, self.known = known, {}
-                        known, get = self.known, self.known.get
-                    known[part] = ids
-            out += ids
+        out.frombytes(b"".join(map(self.committed.__getitem__, self.stretches(" " + text if self.pieces.prefix else text))))
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         raw = b"".join(map(self.pieces.bytes_.__getitem__, ids))

@@ -469,6 +469,32 @@ def test_pieces_equal_the_models_own():
         assert codec.decode(ids) == t
 
 
+@needs_model
+def test_search_makes_all_ids(spark):
+    """The ids of a whole table are the search's own: each stretch is searched once, one stream over a whole text without
+    stretches or memory gives the same ids, commits where the stretches end, and its window stays small."""
+    import sentencepiece
+
+    with open(pieces.MODEL, "rb") as f:
+        raw = f.read()
+    own, codec = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.Codec(raw)
+    seen, n, longest = set(), 0, 0
+    for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if os.path.exists("/root/testdata/sf0.01") else [("a b c " * 50,)]):
+        text, ids = r[0] or "", array("i")
+        codec.encode(text, ids)
+        assert list(ids) == own.encode(text)
+        if text:
+            seen.update(codec.stretches(" " + text))
+        if i % 10 == 0 and text:
+            stream, got = pieces.StreamingViterbi(codec.pieces), []
+            for lo in range(0, len(text) + 1, 100):
+                got += stream.feed((" " + text)[lo : lo + 100].replace(pieces.SPACE, pieces._LITERAL).replace(" ", pieces.SPACE))
+                longest = max(longest, len(stream.window))
+            assert got + stream.finish() == list(ids) and stream.committed == len(ids)
+        n += len(ids)
+    assert n and codec.searched == sum(map(len, seen)) and longest < 250
+
+
 @needs_model
 def test_stream_is_bounded():
     with open(pieces.MODEL, "rb") as f:
