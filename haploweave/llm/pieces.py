@@ -161,7 +161,7 @@ class StreamingViterbi:
         out: list[int] = []
         text, trie, back, piece = self.window, self.pieces.trie, self.back, self.piece
         tested, stable = self.pieces.tested, self.pieces.stable
-        at, reach, size, since = self.at, self.reach, len(self.window), 0
+        at, reach, size = self.at, self.reach, len(self.window)
         while at + room <= size and at < size:
             left, end, follow = piece[at] << 21, at, trie
             while end < size:
@@ -189,9 +189,8 @@ class StreamingViterbi:
             elif back[at + 1] < 0 and trie.get(text[at], _LONE)[0] < 0:
                 back[at + 1] = at
             at += 1
-            since += 1
-            if reach == at and (at == size or since >= 16) or since >= self.CHECK:
-                since, self.at, self.reach = 0, at, reach
+            if reach == at and (at == size or at >= self.CHECK // 2) or at % self.CHECK == 0:
+                self.at, self.reach = at, reach
                 end = at if reach == at else self._shared()
                 if end > 0:
                     out += self._commit(end)
