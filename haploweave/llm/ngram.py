@@ -1,4 +1,8 @@
-"""LM scoring: smoothed n-grams as a weighted automaton with failure arcs, its parts brought to the texts that need them."""
+"""LM scoring: a backoff automaton of smoothed n-grams, its parts brought to the texts that need them, run over each text.
+
+States are histories, arcs the n-grams seen in training; a state's failure arc leads to the next shorter history. Counts
+are discounted by a constant (public: Ney, Essen and Kneser, 1994): what a state's arcs lose is what its failure arc hands on.
+"""
 
 from __future__ import annotations
 
@@ -9,19 +13,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lean, mix64, per_text, prepare, save
+from .common import Words, discard, lean, mix64, per_text, prepare, save
 from .packs import expand, expand_sorted, pack, squeeze, squeeze_sorted, unpack, word_hashes
 
-#: Words of history + 1; pseudo-count that a state gives to its failure arc.
-ORDER, PRIOR = 2, 100.0
-#: Keys of the corpus, repeats in other packs included, that meet in one bucket.
-BUCKET = 1 << 20
+#: Words of history + 1; what is taken off each count of an n-gram of two words or more.
+ORDER, DISCOUNT = 2, 0.75
+#: Keys go by their upper bits to 2**RANGE ranges of each order; FAN packs' counts of a range meet in one task, and where
+#: there are more packs, their sums, cut 2**SPLIT times finer, meet in turn.
+RANGE, SPLIT, FAN = 6, 8, 256
 #: Hashes of the two marks. An even key is of one token, an odd one of a longer n-gram or of the start.
 END, START = np.uint64(0x9E3779B97F4A7C14), np.uint64(0xD1B54A32D192ED03)
+_ASKED = "bucket long, asker long, keys binary, own binary"
+_TOLD = "bucket long, asker long, totals binary, n long, v long"
 
 
 class Tokens:
-    """The tokens of a pack: words and an end for each text, with the keys of the n-grams that end at each token."""
+    """The tokens of a pack: words and an end for each text, with the keys of the n-grams that end at each token.
+
+    For each order: keys (distinct, ascending), own (training counts in the pack), where (each token's key; -1: none),
+    and, for two tokens or more, history (each key's history among the keys of the order below). The mark of the start
+    is a key among the single tokens: the history of each text's first token.
+    """
 
     def __init__(self, lengths: list[int], blob: bytes, held: list[bool], order: int) -> None:
         words = Words(unpack(lengths, blob), lower=True)
@@ -29,147 +41,247 @@ class Tokens:
         self.counts = words.counts + 1
         self.first = np.zeros(len(lengths) + 1, dtype=np.int64)
         np.cumsum(self.counts, out=self.first[1:])
-        n = int(self.first[-1])
+        n, texts = int(self.first[-1]), len(lengths)
         tokens = np.empty(n, dtype=np.uint64)
         is_end = np.zeros(n, dtype=bool)
         is_end[self.first[1:] - 1] = True
         tokens[is_end] = END
         if len(words):
             tokens[~is_end] = known
-        self.train = np.repeat(~np.array(held, dtype=bool), self.counts)
-        self.train_texts = int((~np.array(held, dtype=bool)).sum())
+        train = ~np.array(held, dtype=bool)
+        self.train = np.repeat(train, self.counts)
         place = np.arange(n) - np.repeat(self.first[:-1], self.counts)
-        self.keys = [tokens]
+        self.keys: list[np.ndarray] = []
+        self.own: list[np.ndarray] = []
+        self.where: list[np.ndarray] = []
+        self.history: list[np.ndarray | None] = []
+        where = self._table(np.concatenate([tokens, np.full(texts, START)]), np.concatenate([self.train, train]))
+        self.start = int(where[n]) if texts else 0
+        self.where.append(where[:n])
+        self.history.append(None)
         before, key = tokens, tokens
         for k in range(1, order):
-            # The n-gram one token longer; where a text has no such token, the mark of the start, once, then nothing more.
             before = np.roll(before, 1)
             before[place == k - 1] = START
-            longer = mix64(key * np.uint64(0x9FB21C651E98DF25) + mix64(before)) | np.uint64(1)
-            key = np.where(place >= k - 1, longer, key)
-            self.keys.append(key)
-
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order the distinct keys, ascending, their training counts in the pack, and each token's key's index."""
-        found = []
-        for keys in self.keys:
-            by = np.argsort(keys)
-            fresh = np.ones(len(by), dtype=bool)
-            fresh[1:] = keys[by][1:] != keys[by][:-1]
-            where = np.empty(len(by), dtype=np.int64)
-            where[by] = np.cumsum(fresh) - 1
-            found.append((keys[by][fresh], np.bincount(where[self.train], minlength=int(fresh.sum())).astype(np.uint32), where))
-        return found
+            key = mix64(key * np.uint64(0x9FB21C651E98DF25) + mix64(before)) | np.uint64(1)
+            # A text's first tokens have no longer history than the start.
+            has = np.flatnonzero(place >= k - 1)
+            where = np.full(n, -1, dtype=np.int64)
+            where[has] = self._table(key[has], self.train[has])
+            shorter = np.roll(self.where[-1], 1)
+            if k == 1:
+                shorter[place == 0] = self.start
+            history = np.zeros(len(self.keys[k]), dtype=np.int64)
+            history[where[has]] = shorter[has]
+            self.where.append(where)
+            self.history.append(history)
+
+    def _table(self, keys: np.ndarray, train: np.ndarray) -> np.ndarray:
+        by = np.argsort(keys)
+        fresh = np.ones(len(by), dtype=bool)
+        fresh[1:] = keys[by][1:] != keys[by][:-1]
+        where = np.empty(len(by), dtype=np.int64)
+        where[by] = np.cumsum(fresh) - 1
+        self.keys.append(keys[by][fresh])
+        self.own.append(np.bincount(where[train], minlength=int(fresh.sum())).astype(np.uint32))
+        return where
 
 
 class Automaton:
-    """States: histories; arcs: n-grams seen in training, of weight log10 p; a failure arc to the next shorter history.
+    """The part of the automaton that a pack's texts run through.
 
-    With c counts, K the prior and p' the next shorter history's probability, an arc has p = (c(hw) + K p') / (c(h) + K),
-    and the failure arc weighs log10 K / (c(h) + K): each state's arcs and failures sum to one. The root adds one to each
-    count, one more for all unknown words together.
+    With c a count, N(h) the number of distinct arcs of state h, D the discount and p' the probability from the next
+    shorter history: an arc has p = (c(hw) - D) / c(h) + D N(h) / c(h) p', and the failure arc weighs D N(h) / c(h), so
+    that each state's arcs and failures sum to one. The root adds one to each count, one more for all unknown words
+    together. A history that training doesn't have is no state: then the state is the longest one that it has.
     """
 
-    def __init__(self, counts: list[np.ndarray], starts: int, n: int, v: int, prior: float) -> None:
-        """counts: of each order's keys; starts: of the state before any token; n, v: tokens, and distinct ones."""
-        self.counts, self.starts, self.n, self.v, self.prior = [c.astype(np.float64) for c in counts], float(starts), n, v, prior
-
-    def run(self, where: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities of each token: of the root alone, and of the whole automaton, from left to right.
-
-        where: the index of each token's key, for each order. The state before a token is its longest history; all
-        tokens advance at once, as each state is the key before it.
-        """
-        root = np.log10((self.counts[0][where[0]] + 1) / (self.n + self.v + 1))
-        weight, begins = root.copy(), first[:-1]
-        place = np.arange(len(root)) - np.repeat(begins, np.diff(first))
-        for k in range(1, len(where)):
-            total = np.roll(self.counts[k - 1][where[k - 1]], 1)
-            total[begins] = self.starts
-            seen = self.counts[k][where[k]]
-            with np.errstate(divide="ignore"):
-                arc = np.log10(seen + self.prior * 10.0**weight) - np.log10(total + self.prior)
-                fail = np.log10(self.prior / (total + self.prior)) + weight
-            # A text's first tokens have no longer history than the start.
-            weight = np.where(place >= k - 1, np.where(seen > 0, arc, fail), weight)
-        return root, weight
+    def __init__(self, tokens: Tokens, counts: list[np.ndarray], kinds: list[np.ndarray], n: int, v: int, discount: float) -> None:
+        """counts: of each order's keys; kinds: distinct arcs of each order's keys but the last; n, v: tokens, distinct ones."""
+        p = (counts[0][tokens.where[0]] + 1.0) / (n + v + 1.0)
+        #: Whether the token's arc leaves the state of so many words, log10 weights of that arc and of the state's failure.
+        self.hit, self.arc, self.fail = [np.ones(len(p), dtype=bool)], [np.log10(p)], [np.zeros(len(p))]
+        self.start = min(len(counts) - 1, 1 if len(counts[0]) and counts[0][tokens.start] > 0 else 0)
+        for k in range(1, len(counts)):
+            where = np.maximum(tokens.where[k], 0)
+            history, seen = tokens.history[k][where] if len(tokens.keys[k]) else where, counts[k][where].astype(float) if len(tokens.keys[k]) else np.zeros(len(where))
+            total = np.maximum(counts[k - 1][history], 1).astype(float)
+            back = np.maximum(discount * kinds[k - 1][history] / total, 1e-300)
+            hit = (seen > 0) & (tokens.where[k] >= 0)
+            p = np.where(hit, (seen - discount) / total + back * p, np.where((counts[k - 1][history] > 0) & (tokens.where[k] >= 0), back * p, p))
+            self.hit.append(hit)
+            self.arc.append(np.log10(p))
+            self.fail.append(np.log10(back))
+        self.first = tokens.first
+
+    def root(self) -> np.ndarray:
+        return np.add.reduceat(self.arc[0], self.first[:-1])
+
+    def run(self) -> np.ndarray:
+        """log10 probability of each text: one pass from left to right that carries the state (words of its history)."""
+        out, top = [], len(self.hit) - 1
+        lo = 0
+        while lo < len(self.first) - 1:
+            hi = max(lo + 1, int(np.searchsorted(self.first, self.first[lo] + (1 << 16), side="right")) - 1)
+            part = slice(int(self.first[lo]), int(self.first[hi]))
+            hit, arc, fail = ([x[part].tolist() for x in kind] for kind in (self.hit, self.arc, self.fail))
+            for begin, end in zip((self.first[lo:hi] - part.start).tolist(), (self.first[lo + 1 : hi + 1] - part.start).tolist(), strict=True):
+                state, score = self.start, 0.0
+                for i in range(begin, end):
+                    while not hit[state][i]:
+                        score += fail[state][i]
+                        state -= 1
+                    score += arc[state][i]
+                    if state < top:
+                        state += 1
+                out.append(score)
+            lo = hi
+        return np.array(out)
+
+
+def _rows(bucket: list[int], asker: int, keys: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
+    data = [pa.array(bucket, pa.int64()), pa.array([asker] * len(bucket), pa.int64()), pa.array([squeeze_sorted(k) for k in keys], pa.binary()), pa.array([squeeze(o.astype(np.uint32)) for o in own], pa.binary())]
+    return pa.RecordBatch.from_arrays(data, names=["bucket", "asker", "keys", "own"])
+
+
+def _ask(orders: list[int], pack_: int, keys: list[np.ndarray], own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A pack's keys, by range."""
+    for k, mine, counts in zip(orders, keys, own, strict=True):
+        at = np.searchsorted(mine >> np.uint64(64 - RANGE), np.arange((1 << RANGE) + 1, dtype=np.uint64))
+        some = [int(b) for b in np.flatnonzero(at[1:] > at[:-1])]
+        yield _rows([k << RANGE | b for b in some], pack_, [mine[at[b] : at[b + 1]] for b in some], [counts[at[b] : at[b + 1]] for b in some])
+
+
+class _Meeting:
+    """What the askers of a bucket sent: distinct keys and their sums."""
+
+    def __init__(self, table: pa.Table) -> None:
+        parts = [expand_sorted(x.as_py()) for x in table.column("keys")]
+        keys, self.own = np.concatenate(parts), np.concatenate([expand(x.as_py(), np.uint32) for x in table.column("own")]).astype(np.int64)
+        self.ends = np.cumsum([len(p) for p in parts])
+        self.by = np.argsort(keys, kind="stable")
+        ordered = keys[self.by]
+        fresh = np.ones(len(ordered), dtype=bool)
+        fresh[1:] = ordered[1:] != ordered[:-1]
+        self.begins = np.flatnonzero(fresh)
+        self.keys, self.place = ordered[self.begins], np.cumsum(fresh) - 1
+        self.sums = np.add.reduceat(self.own[self.by], self.begins)
+
+    def deal(self, totals: np.ndarray, mine: np.ndarray) -> list[bytes]:
+        """For each asker, in its order, twice the total of each of its keys; one more in the first that has counted it
+        in training, where the key is ours to give (mine)."""
+        n = len(self.by)
+        first = np.minimum.reduceat(np.where(self.own[self.by] > 0, np.arange(n), n), self.begins)
+        value = (totals << 1)[self.place]
+        first = first[mine & (first < n)]
+        value[first] |= 1
+        out = np.empty(n, dtype=np.uint64)
+        out[self.by] = value.astype(np.uint64)
+        return [squeeze(x) for x in np.split(out, self.ends[:-1])]
+
+
+def _told(table: pa.Table, blobs: list[bytes], n: int, v: int) -> pa.Table:
+    zero = np.zeros(len(blobs), dtype=np.int64)
+    some = [zero.copy(), zero.copy()]
+    some[0][:1], some[1][:1] = n, v
+    return pa.table({"bucket": table.column("bucket"), "asker": table.column("asker"), "totals": pa.array(blobs, pa.binary()), "n": pa.array(some[0]), "v": pa.array(some[1])})
+
 
+def totals(asked: DataFrame, askers: int, fan: int = FAN, bits: int = RANGE) -> DataFrame:
+    """asked(bucket, asker, keys, own) -> (bucket, asker, totals, n, v): for each key the sum of own over all askers.
 
-def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, fold: int = 7, held_out: int = 2) -> DataFrame:
+    totals: see deal(). n, v sum up to the total and the number of counted single tokens. At most about fan askers meet in one
+    task; more are grouped, and their sums ask for them, in narrower buckets, level by level. So no task gets more rows
+    as the corpus grows, and a key that all packs hold is summed up before it moves on.
+    """
+
+    def answer(table: pa.Table) -> pa.Table:
+        m = _Meeting(table)
+        single = (m.keys & np.uint64(1) == 0) & (table.column("bucket")[0].as_py() >> bits == 0)
+        return _told(table, m.deal(m.sums, np.ones(len(m.keys), dtype=bool)), int(m.sums[single].sum()), int((m.sums[single] > 0).sum()))
+
+    if askers <= fan:
+        return asked.groupBy("bucket").applyInArrow(answer, _TOLD)
+    groups = -(-askers // fan)
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("asker"), F.lit(groups)).cast("long"))
+
+    def merge(table: pa.Table) -> pa.Table:
+        m, bucket = _Meeting(table), table.column("bucket")[0].as_py()
+        at = np.searchsorted(m.keys >> np.uint64(64 - bits - SPLIT) & np.uint64((1 << SPLIT) - 1), np.arange((1 << SPLIT) + 1, dtype=np.uint64))
+        some = [int(b) for b in np.flatnonzero(at[1:] > at[:-1])]
+        return pa.Table.from_batches([_rows([bucket << SPLIT | b for b in some], table.column("group")[0].as_py(), [m.keys[at[b] : at[b + 1]] for b in some], [m.sums[at[b] : at[b + 1]] for b in some])])
+
+    merged = save(asked.groupBy("bucket", "group").applyInArrow(merge, _ASKED), "merged")
+    told = totals(merged, groups, fan, bits + SPLIT).withColumn("parent", F.shiftright("bucket", SPLIT))
+
+    def hand_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        m, right = _Meeting(left), right.sort_by("bucket")
+        value = np.concatenate([expand(x.as_py()) for x in right.column("totals")]).astype(np.int64)
+        return _told(left, m.deal(value >> 1, (value & 1).astype(bool)), int(np.sum(right.column("n").to_numpy())), int(np.sum(right.column("v").to_numpy())))
+
+    return asked.groupBy("bucket", "group").cogroup(told.groupBy("parent", "asker")).applyInArrow(hand_on, _TOLD)
+
+
+def _answers(told: pa.Table, orders: list[int]) -> list[np.ndarray]:
+    """A pack's answers for each order, in the order of its keys."""
+    parts = dict(zip(told.column("bucket").to_pylist(), told.column("totals"), strict=True))
+    return [np.concatenate([np.zeros(0, np.int64), *(expand(parts[b].as_py()).astype(np.int64) for b in sorted(b for b in parts if b >> RANGE == k))]) for k in orders]
+
+
+def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, fold: int = 7, held_out: int = 2, fan: int = FAN) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row.
 
     Learns from documents whose crc32(doc_id as text) mod fold isn't held_out (a null id counts as the empty text), and
     scores all, whole texts, null as empty: the end alone. Words are told apart by 64-bit hashes. Nothing is pruned.
+    Repeated rows count as often as they stand there; an empty table gives an empty table; other columns aren't read.
 
-    Packs of documents count their n-grams; a key's counts meet once, in the bucket of the key, and go back to the packs
-    that asked for it. So no task and no machine holds more than a pack and its part of the automaton, or a bucket, and
-    what moves grows with the corpus. However common a key is, it comes at most once from each pack.
+    Packs of documents ask twice: for the counts of their n-grams, then for the number of distinct arcs of their states
+    (of each n-gram, one pack is told that it is the first to have it: that one adds it to its state's arcs). Sums meet
+    by ranges of keys, see totals(). So no task holds more than a pack and its part of the automaton, or a bucket of a
+    bounded number of askers, and what moves grows with the corpus.
     """
     prepare(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == held_out, F.lit(held_out == 0))
     packs = save(pack(docs.select("doc_id", held.alias("held"), "text")), "packs")
-
-    # Keys go by their upper bits to so many buckets of each order that one holds about BUCKET keys of the corpus.
-    size = packs.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
-    bits = max(4, int((size[0] or 0) / 6 / BUCKET).bit_length())
-    starts = size[1] or 0
-
-    def cuts(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    n_packs = packs.count()
+    every, below = list(range(order)), list(range(order - 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                out: list[tuple] = []
-                for k, (keys, own, _) in enumerate(Tokens(row["lengths"], row["blob"], row["held"], order).tables()):
-                    at = cuts(keys)
-                    for b in np.flatnonzero(at[1:] > at[:-1]):
-                        part = slice(int(at[b]), int(at[b + 1]))
-                        out.append((k << bits | int(b), row["pack"], squeeze_sorted(keys[part]), squeeze(own[part])))
-                for lo in range(0, len(out), 2000):
-                    columns = list(zip(*out[lo : lo + 2000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["bucket", "pack", "keys", "own"])
-
-    asked = packs.select("pack", "held", "lengths", "blob").mapInArrow(lean(ask), "bucket long, pack long, keys binary, own binary")
+                t = Tokens(row["lengths"], row["blob"], row["held"], order)
+                yield from _ask(every, row["pack"], t.keys, t.own)
 
-    def answer(table: pa.Table) -> pa.Table:
-        """Sum a bucket's counts and give each pack those of its keys, in its order."""
-        parts = [expand_sorted(x.as_py()) for x in table.column("keys")]
-        keys, own = np.concatenate(parts), np.concatenate([expand(x.as_py(), np.uint32) for x in table.column("own")]).astype(np.int64)
-        by = np.argsort(keys)
-        fresh = np.ones(len(by), dtype=bool)
-        fresh[1:] = keys[by][1:] != keys[by][:-1]
-        sums = np.add.reduceat(own[by], np.flatnonzero(fresh))
-        where = np.empty(len(by), dtype=np.int64)
-        where[by] = np.cumsum(fresh) - 1
-        totals = sums[where]
-        ends = np.cumsum([len(p) for p in parts])
-        blobs = [squeeze(t) for t in np.split(totals.astype(np.uint64), ends[:-1])]
-        words = table.column("bucket")[0].as_py() >> bits == 0
-        found = np.zeros(len(parts), dtype=np.int64), np.zeros(len(parts), dtype=np.int64)
-        if words:
-            found[0][0], found[1][0] = int(sums.sum()), int((sums > 0).sum())
-        return pa.table({"bucket": table.column("bucket"), "pack": table.column("pack"), "totals": pa.array(blobs, pa.binary()), "n": pa.array(found[0]), "v": pa.array(found[1])})
-
-    told = save(asked.groupBy("bucket").applyInArrow(answer, "bucket long, pack long, totals binary, n long, v long"), "counts")
-    n, v = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    thin = packs.select("pack", "held", "lengths", "blob")
+    asked = thin.mapInArrow(lean(ask), _ASKED)
+    counts = save(totals(asked if n_packs <= fan else save(asked, "asked"), n_packs, fan), "counts")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of what is saved by now
+
+    def arcs(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A pack's states, with the arcs that it is the first to have."""
+        row = left.to_pylist()[0]
+        t, found = Tokens(row["lengths"], row["blob"], row["held"], order), _answers(right, every)
+        new = [np.bincount(t.history[k + 1][found[k + 1] & 1 == 1], minlength=len(t.keys[k])) for k in below]
+        return pa.Table.from_batches(list(_ask(below, row["pack"], [t.keys[k] for k in below], new)), schema=pa.schema([("bucket", pa.int64()), ("asker", pa.int64()), ("keys", pa.binary()), ("own", pa.binary())]))
+
+    kinds = counts.select("asker", (F.col("bucket") * 2).alias("bucket"), "totals")
+    if order > 1:
+        given = counts.select("bucket", "asker", "totals")
+        asked = save(thin.groupBy("pack").cogroup(given.groupBy("asker")).applyInArrow(arcs, _ASKED), "states")
+        states = save(totals(asked, n_packs, fan), "arcs")
+        kinds = kinds.unionByName(states.select("asker", (F.col("bucket") * 2 + 1).alias("bucket"), "totals"))
+        discard(asked)
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        if not left.num_rows:
-            return schema.empty_table()
         row = left.to_pylist()[0]
-        tokens = Tokens(row["lengths"], row["blob"], row["held"], order)
-        tables = tokens.tables()
-        parts = dict(zip(right.column("bucket").to_pylist(), right.column("totals"), strict=True))
-        counts = []
-        for k in range(order):
-            own = [expand(parts[b].as_py()) for b in sorted(b for b in parts if b >> bits == k)]
-            counts.append(np.concatenate(own).astype(np.int64))
-        root, weight = Automaton(counts, starts, n, v, prior).run([w for _, _, w in tables], tokens.first)
-        begins = tokens.first[:-1]
-        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(tokens.counts.astype(np.int64)), pa.array(per_text(counts[0][tables[0][2]] > 0, tokens.first)), pa.array(np.full(len(begins), n, dtype=np.int64)), pa.array(np.add.reduceat(root, begins)), pa.array(np.add.reduceat(weight, begins))], schema=schema)
+        t = Tokens(row["lengths"], row["blob"], row["held"], order)
+        bucket = right.column("bucket").to_numpy()
+        own, other = (pa.table({"bucket": pa.array(bucket[bucket % 2 == b] // 2), "totals": right.column("totals").filter(pa.array(bucket % 2 == b))}) for b in (0, 1))
+        found = [x >> 1 for x in _answers(own, every)]
+        a = Automaton(t, found, [x >> 1 for x in _answers(other, below)], n, v, discount)
+        known = per_text((found[0][t.where[0]] > 0).astype(np.int64), t.first)
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(t.counts.astype(np.int64)), pa.array(known), pa.array(np.full(len(t.counts), n, dtype=np.int64)), pa.array(a.root()), pa.array(a.run())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packs.groupBy("pack").cogroup(told.select("bucket", "pack", "totals").groupBy("pack")).applyInArrow(tell, schema)
-
+    return packs.groupBy("pack").cogroup(kinds.groupBy("asker")).applyInArrow(tell, schema)

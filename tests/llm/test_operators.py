@@ -286,32 +286,66 @@ def test_cut():
 # ---- 4
 
 
-def test_scores(spark):
+def brute_scores(rows, order):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base, score) from plain counts of tuples."""
+    tokens = {k: [*words(lower(t)), "</>"] for k, (_, t) in enumerate(rows)}
+    train = {k for k, (i, _) in enumerate(rows) if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2}
+    counts, arcs = Counter(), {}
+    for k in train:
+        padded = ["<s>", *tokens[k]]
+        for n in range(1, order + 1):
+            for a in range(len(padded) - n + 1):
+                gram = tuple(padded[a : a + n])
+                counts[gram] += 1
+                arcs.setdefault(gram[:-1], set()).add(gram[-1])
+    n_all, v = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 and g != ("<s>",) for g in counts)
+
+    def p(h, w):
+        if not h:
+            return (counts[(w,)] + 1) / (n_all + v + 1)
+        if not counts[h]:
+            return p(h[1:], w)
+        back = ngram.DISCOUNT * len(arcs[h]) / counts[h] * p(h[1:], w)
+        return (counts[(*h, w)] - ngram.DISCOUNT) / counts[h] + back if counts[(*h, w)] else back
+
+    for h in [(), *list(arcs)[1:20]] if order > 1 else [()]:  # each state's probabilities sum to one
+        if h and len(h) < order and h[0] != "<s>":
+            assert math.isclose(sum(p(h, w) for (w,) in [g for g in counts if len(g) == 1 and g != ("<s>",)]) + p(h, "never seen"), 1, rel_tol=1e-9)
+    out = []
+    for k, (i, _) in enumerate(rows):
+        padded = ["<s>", *tokens[k]]
+        score = sum(math.log10(p(tuple(padded[max(0, a - order + 1) : a]), padded[a])) for a in range(1, len(padded)))
+        base = sum(math.log10(p((), w)) for w in tokens[k])
+        out.append((str(i), k not in train, len(tokens[k]), sum(counts[(x,)] > 0 for x in tokens[k]), n_all, round(base, 6), round(score, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("order", "fan"), [(1, 256), (2, 256), (2, 2), (3, 2), (4, 256)])
+def test_scores(spark, order, fan, monkeypatch):
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice(["the", "of", "Tea", "x", "yy", "zz"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(61, None), (62, "New words"), (None, "the of")]
-    for order in (1, 2, 3):
-        tokens = {k: [*words(lower(t)), "</>"] for k, (_, t) in enumerate(rows)}
-        train = {k for k, (i, _) in enumerate(rows) if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2}
-        counts = Counter()
-        for k in train:
-            padded = ["<s>", *tokens[k]]
-            for n in range(1, order + 1):
-                counts.update(tuple(padded[a : a + n]) for a in range(len(padded) - n + 1))
-        n_all, v = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 and g != ("<s>",) for g in counts)
-        want = []
-        for k, (i, _) in enumerate(rows):
-            padded, base, score = ["<s>", *tokens[k]], 0.0, 0.0
-            for a in range(1, len(padded)):
-                p = (counts[(padded[a],)] + 1) / (n_all + v + 1)
-                base += math.log10(p)
-                for n in range(2, order + 1):
-                    h = tuple(padded[max(0, a - n + 1) : a])
-                    if len(h) == n - 1:
-                        p = (counts[(*h, padded[a])] + ngram.PRIOR * p) / (counts[h] + ngram.PRIOR)
-                score += math.log10(p)
-            want.append((str(i), k not in train, len(tokens[k]), sum(counts[(x,)] > 0 for x in tokens[k]), n_all, round(base, 6), round(score, 6)))
-        got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ngram.score(docs(spark, rows), order=order).collect()]
-        assert sorted(got) == sorted(want)
+    rows = [(i, " ".join(rng.choice(["the", "of", "Tea", "x", "yy", "zz"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(61, None), (62, "New words"), (None, "the of"), (62, "New words")]
+    plain = ngram.pack
+    monkeypatch.setattr(ngram, "pack", lambda d: plain(d, 200))  # many packs, so that counts meet in levels
+    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ngram.score(docs(spark, rows), order=order, fan=fan).collect()]
+    assert sorted(got) == brute_scores(rows, order)
+
+
+def test_failure_arcs_are_taken():
+    """The traversal gives the sum of arc and failure weights; a text whose words never stood together takes failures."""
+    import zstandard
+
+    texts = [b"a b c", b"a b d", b"c a", b"d c b a"]
+    t = ngram.Tokens([len(x) for x in texts], zstandard.ZstdCompressor().compress(b"".join(texts)), [False, False, False, True], 3)
+    counts = [x.astype(np.int64) for x in t.own]
+    kinds = [np.bincount(t.history[k + 1][counts[k + 1] > 0], minlength=len(t.keys[k])) for k in (0, 1)]
+    a = ngram.Automaton(t, counts, kinds, 11, 5, 0.75)
+    whole = a.run()
+    assert math.isfinite(whole[3])
+    a.fail = [x - 1 for x in a.fail]
+    taken = np.round(whole - a.run()).astype(int).tolist()
+    assert taken[:3] == [0, 0, 0] and taken[3] >= 4
+    a.fail = [x + 1 for x in a.fail]
+    assert np.allclose(whole[:3], [math.fsum(a.arc[min(2, i + 1)][b + i] for i in range(e - b)) for b, e in zip(t.first[:3], t.first[1:4])])
 
 
 # ---- 5
