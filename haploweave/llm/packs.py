@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import Words, lean, mix64
 
@@ -22,33 +23,36 @@ def pack(docs: DataFrame, bytes_: int = PACK) -> DataFrame:
     A pack's number is its task's and its place there: a repeated task numbers alike. A row is pack << DOCS | place.
     """
 
-    kind = docs.schema["held"].dataType.simpleString()
+    held_kind = docs.schema["held"].dataType
+    schema = StructType().add("pack", "long").add("ids", ArrayType(LongType())).add("held", ArrayType(held_kind)).add("lengths", ArrayType(LongType())).add("blob", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
-        held: list = []
+        held: list[pa.Array] = []
         texts: list[bytes] = []
         size = number = 0
 
         def close() -> pa.RecordBatch:
-            columns = [[TaskContext.get().partitionId() << 16 | number], [ids], [held], [[len(t) for t in texts]], [zstandard.ZstdCompressor(3).compress(b"".join(texts))]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_() if kind == "boolean" else pa.string()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pack", "ids", "held", "lengths", "blob"])
+            whole = pa.concat_arrays(held)
+            columns = [pa.array([TaskContext.get().partitionId() << 16 | number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(3).compress(b"".join(texts))], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["pack", "ids", "held", "lengths", "blob"])
 
         for batch in batches:
-            for i, out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            begin = 0
+            for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 if ids and (size + len(raw) > bytes_ or len(ids) >> DOCS):
+                    held.append(batch.column(1).slice(begin, k - begin))
                     yield close()
-                    ids, held, texts, size, number = [], [], [], 0, number + 1
+                    ids, held, texts, size, number, begin = [], [], [], 0, number + 1, k
                 ids.append(i)
-                held.append(out)
                 texts.append(raw)
                 size += len(raw)
+            held.append(batch.column(1).slice(begin))
         if ids:
             yield close()
 
-    return docs.mapInArrow(lean(run), f"pack long, ids array<long>, held array<{kind}>, lengths array<long>, blob binary")
+    return docs.mapInArrow(lean(run), schema)
 
 
 def unpack(lengths: list[int], blob: bytes) -> pa.Array:

@@ -279,6 +279,40 @@ def test_partial_first_text(spark):
     assert brute_links(texts) and not brute_links(left)
 
 
+def test_near_passages_recall(spark):
+    """Near-equal passages against brute force, behind earlier texts that hold only the phrase at their middle."""
+    rng, texts, pairs = random.Random(24), {}, []
+    stock = passage(rng, 9)
+    for g in range(80):
+        n = rng.randint(60, 110)
+        first = f"{passage(rng, n // 2 - 4)} {stock if g % 2 else passage(rng, 9)} {passage(rng, n // 2 - 4)}".split()
+        second = list(first)
+        for at in rng.sample(range(len(first)), max(1, n // 55)):
+            second[at] = "edited%d" % at
+        one, two = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (first, second))
+        texts[10 * g] = f"{passage(rng, 60)} {stock} {passage(rng, 60)}"
+        texts[10 * g + 1] = " ".join([passage(rng, 40), *first, passage(rng, 40)])
+        texts[10 * g + 2] = " ".join([passage(rng, 40), *second, passage(rng, 40)])
+        if len(one & two) / len(one | two) >= 0.8:
+            pairs.append(10 * g + 2)
+    found = {r.doc_id for r in passages.passages(docs(spark, sorted(texts.items()))).where("end - start >= 50").collect()}
+    assert len(pairs) > 50 and found <= {i for i in texts if i % 10 == 2}
+    assert len(found & set(pairs)) >= 0.97 * len(pairs), len(found & set(pairs)) / len(pairs)
+
+
+def test_columns_travel(spark):
+    """Types and names of other columns survive the removal of passages."""
+    import datetime
+    from decimal import Decimal
+
+    rng = random.Random(25)
+    p, when = passage(rng, 60), datetime.datetime(2024, 1, 2, 3, 4, 5, 123456)
+    rows = [(i, t, when, Decimal("1.23"), [1, None], {"k": "v"}, "x") for i, t in enumerate([p + " " + passage(rng, 30), p, None, ""])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `a.b` timestamp, __null decimal(9,2), row array<int>, empty map<string,string>, pack string")
+    out = sorted(passages.remove_passages(table).collect())
+    assert [tuple(r)[2:] for r in out] == [r[2:] for r in rows] and [r.text for r in out] == [rows[0][1], "", None, ""]
+
+
 def test_cut():
     assert passages.cut("a b  c\nd e", [(1, 3)]) == "a\nd e" and passages.cut("a b", [(0, 2)]) == "" and passages.cut(" a ", []) == " a "
 
