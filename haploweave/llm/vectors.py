@@ -1,8 +1,12 @@
-"""Embedding near-dedup: vectors described by their nearest pivots, retrieved through inverted lists, verified by cosine."""
+"""Embedding near-dedup: vectors described by their nearest pivots in order, retrieved through inverted lists, verified by cosine.
+
+Candidates share at least SHARED of their NEAREST pivots. A pivot's inverted list would grow with the table, so lists are
+those of SHARED pivots each: two vectors meet in one if and only if their count of shared pivots reaches SHARED.
+(Public: Chávez et al., 2008; Tellez, Chávez and Navarro, 2013.)
+"""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, prepare, save
+from .common import discard, join_checked, prepare, save
 from .components import components
 
-#: Fitting: at most PIVOTS reference vectors, out of SAMPLE vectors with the least hashes, no two of cosine over APART.
-PIVOTS, SAMPLE, APART = 512, 8192, 0.7
-#: Index: a vector's NEAREST pivots; candidates share at least SHARED of them. Sides of a verified tile hold about TILE rows.
+#: Fitting, for each vector length: at most PIVOTS reference vectors, no two of cosine over APART, out of a sample drawn by
+#: hash: about SAMPLE vectors of all lengths together, but about FEW at least (or all) of each.
+PIVOTS, SAMPLE, FEW, APART = 512, 8192, 256, 0.7
+#: Index: a vector's NEAREST pivots; candidates share at least SHARED of them. Sides of a tile hold about TILE rows.
 NEAREST, SHARED, TILE = 7, 3, 512
 
 
@@ -35,8 +40,18 @@ def choose_pivots(sample: np.ndarray, pivots: int = PIVOTS, apart: float = APART
 
 
 def describe(units: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
-    """Ids of the nearest pivots of each vector, ascending by id (ties in nearness: lower id)."""
-    return np.sort(np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :nearest], axis=1)
+    """Ids of the nearest pivots of each vector, nearest first (ties: the lower id first)."""
+    return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :nearest]
+
+
+def postings_of(lists: np.ndarray, shared: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the inverted lists of each described vector, and its class in each: its least pivot that isn't the list's but
+    comes before the list's last (-1: none). Two vectors of one class share that pivot too: another list counts them."""
+    lists = np.sort(lists, axis=1)
+    combos = np.array(list(combinations(range(lists.shape[1]), shared)), dtype=np.int64).reshape(-1, shared)
+    keys = lists[:, combos] @ (np.int64(base) ** np.arange(shared - 1, -1, -1, dtype=np.int64))
+    out = [next((k for k in range(c[-1]) if k not in c), -1) for c in combos.tolist()]
+    return keys, np.stack([lists[:, k] if k >= 0 else np.full(len(lists), -1) for k in out], axis=1)
 
 
 def _units(payloads: list[bytes], kind: str) -> np.ndarray:
@@ -48,8 +63,8 @@ def _units(payloads: list[bytes], kind: str) -> np.ndarray:
 def verify_tile(units: np.ndarray, lists: np.ndarray, copies: np.ndarray, key: list[int], across: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows of one tile: links of each row (weighted by the other's copies), and the least row reachable in the tile.
 
-    across: the chunk of each row if the tile joins two chunks; then only pairs across count. A pair that shares more
-    than one key is counted under the first only: there, the pivots shared up to the key's last one are the key's own.
+    across: the chunk of each row if the tile joins two chunks; then only pairs across count. A pair that meets in more
+    than one list is counted in the first only: there, the count of pivots shared up to the list's last is the list's own.
     """
     linked = units @ units.T >= least
     np.fill_diagonal(linked, False)
@@ -75,12 +90,14 @@ def verify_tile(units: np.ndarray, lists: np.ndarray, copies: np.ndarray, key: l
 def links(embeddings: DataFrame, least: float = 0.9, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, tile: int = TILE) -> DataFrame:
     """embeddings(vec_id, embedding, ...) -> (vec_id, n_links, component_id, kept): one row per row.
 
-    Pairs found with cosine >= least (double precision) are linked. Every row is indexed; the index is approximate: a
-    pair is found if `shared` of its `nearest` pivots agree. Vectors that are null, empty, zero, of another length than
-    most, or with null or non-finite components link with nothing: 0 links, their own vec_id, kept. Equal vectors
-    meet as one before the search, and are links of each other. Repeated rows count as vectors; a null vec_id takes part
-    and names a component only if it has no other id. kept: vec_id = component_id (null ids: false unless alone).
-    A crowded inverted list is cut into tiles of bounded size: tasks share it, and only sums leave a tile, never pairs.
+    Pairs found with cosine >= least (double precision) are linked. Every row is indexed, each vector length by pivots of
+    its own; the index is approximate: a pair is found if `shared` of its `nearest` pivots agree. Vectors that are null,
+    empty, zero, or with null or non-finite components link with nothing: 0 links, their own vec_id, kept. Vectors of
+    different lengths don't link. Equal vectors (by a 64-bit hash of their components) meet as one before the search, and
+    are links of each other. Repeated rows count as vectors; a null vec_id takes part and names a component only if it
+    has no other id. kept: vec_id = component_id (null ids: false unless alone). An empty table gives an empty table.
+    A crowded inverted list is cut into chunks of one class and about tile rows, and pairs of chunks into tiles: tasks share
+    it, pairs that another list counts aren't looked at twice where a class is large, and only sums leave a tile, never pairs.
     """
     prepare(embeddings.sparkSession)
     element = embeddings.schema["embedding"].dataType.elementType
@@ -102,40 +119,60 @@ def links(embeddings: DataFrame, least: float = 0.9, pivots: int = PIVOTS, neare
     rows = embeddings.select("vec_id", value.alias("embedding")).mapInArrow(pack, "vec_id long, payload binary")
     rows = save(rows.withColumn("node", F.when(F.col("payload").isNotNull(), F.xxhash64("payload"))), "vectors")
     classes = rows.where("payload is not null").groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
-    classes = save(classes, "distinct-vectors")
-    sample = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("payload").collect()]
-    width = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
-    refs = choose_pivots(_units([p for p in sample if len(p) == width], kind), pivots) if width else np.zeros((0, 1))
-    nearest, shared = min(nearest, len(refs)), min(shared, max(1, len(refs)))
+    classes = save(classes.withColumn("width", F.length("payload")), "distinct-vectors")
+    # Fitting: of each length at least FEW vectors, or all; SAMPLE and FEW bound what the driver gets of one length.
+    counted = {r.width: r.n for r in classes.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    every = sum(counted.values())
+    rates = [(w, min(1.0, max(SAMPLE / every, FEW / n))) for w, n in counted.items()]
+    some = embeddings.sparkSession.createDataFrame(rates, "width int, rate double")
+    draw = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
+    drawn = join_checked(classes.select("node", "width", "payload"), some, ["width"], len(rates)).where(draw < F.col("rate"))
+    by_width: dict[int, list] = {}
+    for r in drawn.select("width", F.xxhash64("node").alias("h"), "payload").collect():
+        by_width.setdefault(r.width, []).append((r.h, bytes(r.payload)))
+    refs = {w: choose_pivots(_units([p for _, p in sorted(rows)], kind), pivots) for w, rows in by_width.items()}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        combos = np.array(list(combinations(range(nearest), shared)), dtype=np.int64).reshape(-1, shared)
-        power = np.int64(len(refs)) ** np.arange(shared - 1, -1, -1, dtype=np.int64)
+        names = ["node", "copies", "payload", "width", "pivots", "keys", "classes"]
         for batch in batches:
-            batch = batch.filter(pa.compute.equal(pa.compute.binary_length(batch.column(2)), width))
-            if not batch.num_rows:
-                continue
-            lists = describe(_units(batch.column(2).to_pylist(), kind), refs, nearest)
-            keys = lists[:, combos] @ power
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["node", "copies", "payload", "pivots", "keys"])
-
-    indexed = classes.select("node", "copies", "payload").mapInArrow(index, "node long, copies long, payload binary, pivots array<int>, keys array<long>")
+            widths = batch.column(3).to_numpy()
+            for w in np.unique(widths):
+                part, own = batch.filter(pa.array(widths == w)), refs[int(w)]
+                lists = describe(_units(part.column(2).to_pylist(), kind), own, min(nearest, len(own)))
+                keys, extra = postings_of(lists, min(shared, len(own)), pivots)
+                made = [pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array(extra.astype(np.int32).tolist(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
+
+    indexed = classes.select("node", "copies", "payload", "width").mapInArrow(index, "node long, copies long, payload binary, width int, pivots array<int>, keys array<long>, classes array<int>")
     indexed = save(indexed, "index")
-    postings = indexed.select("node", F.explode("keys").alias("key"))
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), chunks).cast("int")
-    found = postings.join(sizes, "key").select("node", "key", chunks.alias("chunks"), own.alias("own"))
-    tiles = found.select("node", "key", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tiles = tiles.select("node", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    full = tiles.join(indexed.drop("keys"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    postings = indexed.select("node", "width", F.explode(F.arrays_zip("keys", "classes")).alias("p")).select("node", "width", F.col("p.keys").alias("key"), F.col("p.classes").alias("class"))
+    by = ["width", "key"]
+    sizes = save(postings.groupBy(*by, "class").agg(F.count("*").alias("n")), "list-sizes")
+    crowd = sizes.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 1")
+    found = postings.join(crowd, by)
+    zero = F.lit(0)
+    few = found.where(F.col("n") <= tile).select("node", *by, zero.alias("own"), zero.alias("lo"), zero.alias("hi"))
+    # Crowded lists: chunks are numbered one after another, those of the large classes first, then those of all else.
+    large = sizes.join(crowd.where(F.col("n") > tile).select(*by), by)
+    large = large.withColumn("class", F.when(F.col("n") >= tile // 4, F.col("class")).otherwise(-1)).groupBy(*by, "class").agg(F.ceil(F.sum("n") / tile).cast("int").alias("chunks"))
+    plans = large.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("class", "chunks"))).alias("plan"))
+    plans = plans.withColumn("of", F.flatten(F.transform("plan", lambda x: F.array_repeat(x["class"], x["chunks"]))))
+    plans = save(plans.select(*by, "of"), "crowded-lists")
+    many = join_checked(found.where(F.col("n") > tile), plans, by, plans.count())
+    many = many.withColumn("class", F.when(F.array_contains("of", F.col("class")), F.col("class")).otherwise(-1))
+    mine = F.filter(F.sequence(zero, F.size("of") - 1), lambda i: F.element_at("of", i + 1) == F.col("class"))
+    many = many.withColumn("mine", mine).withColumn("own", F.element_at("mine", F.pmod(F.xxhash64("node", "key"), F.size("mine")).cast("int") + 1))
+    others = F.filter(F.sequence(zero, F.size("of") - 1), lambda i: (F.col("class") == -1) | (F.element_at("of", i + 1) != F.col("class")))
+    many = many.select("node", *by, "own", F.explode(others).alias("other")).select("node", *by, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    tiles = few.unionByName(many)
+    full = tiles.join(indexed.drop("keys", "classes", "width"), "node").repartition(*by, "lo", "hi").sortWithinPartitions(*by, "lo", "hi", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(group: pa.RecordBatch) -> pa.RecordBatch | None:
             if group.num_rows < 2:
                 return None
             key, lo, hi = (group.column(c)[0].as_py() for c in ("key", "lo", "hi"))
-            digits = [int(key // len(refs) ** k % len(refs)) for k in range(shared - 1, -1, -1)]
+            digits = [int(key // pivots**k % pivots) for k in range(min(shared, len(refs[group.column("width")[0].as_py()])) - 1, -1, -1)]
             lists = np.array(group.column("pivots").to_pylist(), dtype=np.int64)
             across = group.column("own").to_numpy(zero_copy_only=False) if lo != hi else None
             copies = group.column("copies").to_numpy(zero_copy_only=False)
@@ -152,8 +189,8 @@ def links(embeddings: DataFrame, least: float = 0.9, pivots: int = PIVOTS, neare
                 continue
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            k, lo, hi = (held.column(c).to_numpy() for c in ("key", "lo", "hi"))
-            cuts = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            w, k, lo, hi = (held.column(c).to_numpy() for c in ("width", "key", "lo", "hi"))
+            cuts = np.flatnonzero((w[1:] != w[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             if len(cuts):
                 flat = held.combine_chunks().to_batches()[0]
                 for a, b in zip([0, *cuts[:-1]], cuts, strict=True):

@@ -410,6 +410,40 @@ def test_vectors(spark):
     assert vectors.links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("tile", [16, 512])
+def test_vector_lengths(spark, tile):
+    """Neighbours of every length are found; a cluster of one description is counted once; the SQL agrees where all are found."""
+    import duckdb
+
+    from haploweave.llm import queries
+
+    rng = np.random.default_rng(31)
+    rows = []
+    for width, groups, each, noise in ((16, 30, 12, 0.15), (8, 1, 2, 0.02), (24, 12, 8, 0.2), (3, 1, 150, 0.05), (1, 1, 3, 0)):
+        for _ in range(groups):
+            centre = rng.normal(size=width)
+            rows += [(len(rows) + k, (centre * rng.uniform(0.5, 2) + noise * rng.normal(size=width)).tolist(), width) for k in range(each)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in ("node", "width", "key", "class", "own", "n", "payload")})
+    got = {r.vec_id: r for r in vectors.links(table, tile=tile).collect()}
+    embeddings = table.select("vec_id", "embedding", "label").toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("embeddings", embeddings)
+    want = {r[0]: r for r in con.execute(queries.SQL["op5_pivots"]).fetchall()}
+    for width in (16, 8, 24, 3, 1):
+        ids = [i for i, _, w in rows if w == width]
+        true, found = sum(want[i][1] for i in ids), sum(got[i].n_links for i in ids)
+        assert all(got[i].n_links <= want[i][1] for i in ids) and true > 0 and found >= 0.9 * true, (width, found, true)
+    assert [(got[i].n_links, got[i].component_id) for i, _, w in rows if w in (8, 3, 1)] == [want[i][1:3] for i, _, w in rows if w in (8, 3, 1)]
+
+
+def test_descriptions():
+    refs = np.eye(6)
+    lists = vectors.describe(np.array([[0.1, 0.9, 0.2, 0.3, 0, 0], [0.5, 0.5, 0.4, 0.3, 0, 0]]), refs, 4)
+    assert lists.tolist() == [[1, 3, 2, 0], [0, 1, 2, 3]]  # nearest first, ties by id
+    keys, extra = vectors.postings_of(lists, 3, 10)
+    assert keys[0].tolist() == [12, 13, 23, 123] and extra[0].tolist() == [-1, 2, 1, 0] and (keys[0] == keys[1]).all()
+
+
 # ---- 6
 
 
