@@ -37,12 +37,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one.
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and both are one machine (tests), a
+    temporary one; a cluster needs the setting.
 
     With its file system, so that Spark's writers and others see one place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
         found = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="haploweave-"))
         spark.conf.set("spark.checkpoint.dir", found)
     where = spark._jvm.org.apache.hadoop.fs.Path(found)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,104 +26,140 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist")}
 _SKIP = frozenset(("head", "script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "canvas", "nav", "menu", "header", "footer", "aside", "form", "button", "select", "input", "textarea", "dialog", "title"))
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"))
-#: Words of class and id that mostly name what stands around an article. Density has the last word: see _drop_named().
-_AROUND = re.compile(r"(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?<!without-)(ad|ads|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|cookie|cookies|consent|gdpr|footer|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|popup|modal|promo|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|widgets|respond|replies)(?=$|[\s_-])", re.I)
-_HEAD = re.compile(r"(?:^|[\s_-])(?:site|page|top|global|main)[_-]?header(?:$|[\s_-])|^header$", re.I)
-#: Named elements go only if a subtree of the rest has at least this share of the page's largest total.
-_REST = 0.1
+#: Words of class and id that mostly name what stands around an article: texts of their own, and lists of links. They only
+#: weigh: see measure() and select().
+_TEXTS = frozenset("ad ads advert adverts advertisement advertising adsense banner comment comments commentlist disqus cookie cookies consent gdpr footer masthead newsletter notice notices popup modal promo respond replies sidebar sponsor sponsored subscribe".split())
+_LISTS = frozenset("breadcrumb breadcrumbs header menu nav navbar navigation related share sharing social toolbar widget widgets".split())
+#: Words that may stand beside one of these in a name, as in comment-list or site_footer.
+_BESIDE = frozenset("area articles bar block body bottom box buttons container content form global icons inner item items law left level links list main message page policy posts right section signup site slot stories thread top unit wrap wrapper".split())
+#: What a named text's density counts for; named lists are left out of the main text if they are thinner than its path, or
+#: at least this share of them is links.
+_NAMED, _LINKED = 0.02, 0.5
+_INLINE_OR_SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dd dt blockquote pre figcaption span a b i em strong small label code font mark".split())
 
 
 class Node:
     """An element: its children are texts and Nodes. chars and tags (with those of links apart) are of its whole subtree.
 
-    words: those of its class and id that mostly name what stands around an article.
+    named: "texts" or "lists" if its class or id mostly names such things around an article. weight: what its density
+    counts for.
     """
 
-    __slots__ = ("name", "parent", "children", "skip", "words", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "skip", "named", "weight", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, skip: bool = False) -> None:
-        self.name, self.parent, self.skip = name, parent, skip
-        self.words: frozenset[str] = frozenset()
+    def __init__(self, name: str, parent: Node | None, skip: bool = False, named: str = "") -> None:
+        self.name, self.parent, self.skip, self.named, self.weight = name, parent, skip, named, 1.0
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _around(name: str, attributes: str, by_class: bool = True) -> tuple[bool, frozenset[str]]:
-    """Whether an element stands around the article by its name, role or being hidden; else the words of class and id."""
+def _named(value: str) -> str:
+    """Whether a class or id attribute names texts or lists around an article: by a whole name, or with words beside it."""
+    found = ""
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+|\d+", name) if x]
+        if any(x in _TEXTS for x in parts) and all(x in _TEXTS or x in _LISTS or x in _BESIDE for x in parts):
+            return "texts"
+        if any(x in _LISTS for x in parts) and all(x in _LISTS or x in _BESIDE for x in parts):
+            found = "lists"
+    return found
+
+
+def _around(name: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is no part of any main text by its name, role or being hidden; else what class and id name."""
     if name in _SKIP:
-        return True, frozenset()
-    words: set[str] = set()
-    if not by_class or not attributes.strip() or name in ("html", "body", "main"):
-        return False, frozenset()
+        return True, ""
+    if not attributes.strip() or name in ("html", "body", "main"):
+        return False, ""
+    named = ""
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = (m[1] or m[5]).lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True, frozenset()
-        if key == "role" and value.lower() in _ROLES:
-            return True, frozenset()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in _ROLES:
+            return True, ""
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, frozenset()
-        if key in ("class", "id"):
-            words.update(x.lower() for x in _AROUND.findall(value))
-            if _HEAD.search(value):
-                words.add("header")
-    return False, frozenset(words)
+            return True, ""
+        if key in ("class", "id") and named != "texts":
+            named = _named(value) or named
+    return False, "" if named == "lists" and name in _INLINE_OR_SINGLE else named
+
+
+class _Open:
+    """The open elements, and where those of a name stand among them: each is found, and each is left, once."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.at = [root], {}
 
+    def enter(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.stack))
+        if node.name in _BLOCK and node.name != "p":
+            self.at.setdefault("", []).append(len(self.stack))
+        self.stack.append(node)
 
-def parse(source: str, by_class: bool = True) -> Node:
-    """A tree for any text: unknown, unclosed and misnested tags are taken as browsers mostly take them, nothing fails."""
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of a name ("": of a block that isn't a paragraph); 0 if there is none."""
+        places = self.at.get(name)
+        return places[-1] if places else 0
+
+    def leave(self, place: int) -> None:
+        """Close the element at a place, and all in it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.name].pop()
+            if node.name in _BLOCK and node.name != "p":
+                self.at[""].pop()
+
+
+def parse(source: str) -> Node:
+    """A tree for any text: unknown, unclosed and misnested tags are taken as browsers mostly take them, nothing fails.
+
+    One pass: each end tag finds its element by name.
+    """
     root = Node("#root", None)
-    at, here, end = 0, root, len(source)
+    at, open_, end = 0, _Open(root), len(source)
     while at < end:
         m = _TOKEN.search(source, at)
         if m is None:
-            here.children.append(html.unescape(source[at:]))
+            open_.stack[-1].children.append(html.unescape(source[at:]))
             break
         if m.start() > at:
-            here.children.append(html.unescape(source[at : m.start()]))
+            open_.stack[-1].children.append(html.unescape(source[at : m.start()]))
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:].removesuffix("]]>"))
+                open_.stack[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         name = m[2].lower()
         if m[1]:
-            node = here
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if place := open_.last(name):
+                open_.leave(place)
             elif name == "br":
-                here.children.append(Node("br", here))
+                open_.stack[-1].children.append(Node("br", open_.stack[-1]))
             continue
-        if name in _ENDS_P:
-            node = here
-            while node is not root and node.name != "p" and (node.name not in _BLOCK or node.name == "p"):
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
-        for other in (name,) if name in _CLOSES else ():
-            node, last = here, None
-            while node is not root and node.name not in _FENCES.get(other, ("table",)):
-                if node.name in _CLOSES[other]:
-                    last = node
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        skip, words = _around(name, m[3], by_class)
-        node = Node(name, here, skip)
-        node.words = words
+        if name in _ENDS_P and (place := open_.last("p")) > open_.last(""):
+            open_.leave(place)
+        if name in _CLOSES:
+            fence = max(open_.last(x) for x in _FENCES.get(name, ("table",)))
+            inside = [places[k] for x in _CLOSES[name] if (places := open_.at.get(x)) and (k := bisect_right(places, fence)) < len(places)]
+            if inside:
+                open_.leave(min(inside))
+        here = open_.stack[-1]
+        node = Node(name, here, *_around(name, m[3]))
         here.children.append(node)
         if name in _RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+            close = _ends(name).search(source, at)
             node.children.append(source[at : close.start() if close else end])
             at = close.end() if close else end
         elif name not in _VOID and not m[3].rstrip().endswith("/"):
-            here = node
+            open_.enter(node)
     return root
 
 
+@cache
+def _ends(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+
+
 def _order(root: Node) -> list[Node]:
     found, todo = [], [root]
     while todo:
@@ -136,77 +174,69 @@ def measure(root: Node) -> list[Node]:
     """Set density and total of every node that isn't skipped. Density: characters per tag, lowered by the share of links.
 
     density = C / T * log_b(C / LC * T / LT), b = ln(C / (C - LC) * LC + LC_body / C_body * C + e), zero counts taken as
-    one; C, LC: characters, of links; T, LT: tags, of links. total: the sum of the children's densities.
+    one; C, LC: characters, of links; T, LT: tags, of links. total: the sum of the children's densities. In texts that a
+    class or id names as apart from the article, each character counts for less outside, and each density.
     """
     nodes = _order(root)
+    for node in nodes:
+        node.weight = (node.parent.weight if node.parent is not None else 1.0) * (_NAMED if node.named == "texts" else 1.0)
     for node in reversed(nodes):
         own = sum(len(_SPACE.sub(" ", x).strip(" ")) for x in node.children if isinstance(x, str))
         inner = [x for x in node.children if isinstance(x, Node) and not x.skip]
-        node.chars, node.tags = own + sum(x.chars for x in inner), len(inner) + sum(x.tags for x in inner)
+        share = [_NAMED if x.named == "texts" else 1.0 for x in inner]
+        node.chars, node.tags = own + sum(x.chars * w for x, w in zip(inner, share, strict=True)), len(inner) + sum(x.tags for x in inner)
         if node.name == "a":
             node.link_chars, node.link_tags = node.chars, 1 + sum(x.link_tags for x in inner)
         else:
-            node.link_chars, node.link_tags = sum(x.link_chars for x in inner), sum(x.link_tags for x in inner)
+            node.link_chars, node.link_tags = sum(x.link_chars * w for x, w in zip(inner, share, strict=True)), sum(x.link_tags for x in inner)
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
         c, lc, t, lt = node.chars, node.link_chars, max(1, node.tags), max(1, node.link_tags)
         node.density = 0.0
         if c:
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            node.density = c / t * math.log(max(c / max(1, lc) * t / lt, 1.0)) / math.log(base) if base > 1 else c / t * math.log(max(c / max(1, lc) * t / lt, 1.0))
+            node.density = node.weight * c / t * math.log(max(c / max(1, lc) * t / lt, 1.0)) / (math.log(base) if base > 1 else 1.0)
     for node in nodes:
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.skip)
     return nodes
 
 
-def _drop_named(root: Node) -> list[Node]:
-    """Measure the page, skip the elements that class or id name as around the article, and measure the rest.
-
-    Density decides against a name: the node with the largest total and those around it stay, and so does whatever is
-    named by the same words only (they say nothing on this page). Where no subtree of the rest comes near the largest
-    total, names would take the main text itself, and all named elements stay.
-    """
-    nodes = measure(root)
-    if not any(x.words for x in nodes):
-        return nodes
-    node: Node | None = max(nodes, key=lambda x: x.total)
-    most, known = node.total, set()
-    while node is not None:
-        known |= node.words
-        node = node.parent
-    dropped = [x for x in nodes if x.words - known]
-    for x in dropped:
-        x.skip = True
-    rest = measure(root)
-    if max(x.total for x in rest) >= _REST * most:
-        return rest
-    for x in dropped:
-        x.skip = False
-    return measure(root)
-
-
 def select(root: Node) -> Node:
-    """The node with the largest total, of the page without what is only named; then up while the parent holds nothing thinner than the body path allows.
+    """The node with the largest total; then up while the parent holds nothing thinner than the body path allows.
 
     The threshold is the least density on the path from the body to that node. An article or main element around the
-    node is the whole article. The first such node wins ties.
+    node is the whole article. The first such node wins ties. Of what class or id names within it, texts are left out, and
+    lists that are thinner than the threshold or mostly links, unless that would be half of it or more.
     """
-    nodes = _drop_named(root)
+    nodes = measure(root)
+    nodes = nodes[next((k for k, x in enumerate(nodes) if x.name == "body"), 0) :]
     best = max(nodes, key=lambda x: x.total)
     if not best.total:
         best = max(nodes, key=lambda x: (x.chars > 0, x.density))
     path = [best]
     while path[-1].parent is not None and path[-1].name != "body":
         path.append(path[-1].parent)
-    for node in path:
-        if node.name in ("article", "main"):
-            return node
     threshold = min((x.density for x in path if x.chars), default=0.0)
-    for node in path[1:]:
-        if all(x.density >= threshold for x in node.children if isinstance(x, Node) and not x.skip and x.chars):
-            best = node
+    whole = next((x for x in path if x.name in ("article", "main")), None)
+    if whole is not None:
+        best = whole
+    else:
+        for node in path[1:]:
+            if all(x.density >= threshold for x in node.children if isinstance(x, Node) and not x.skip and x.chars):
+                best = node
+            else:
+                break
+    out, todo = [], [x for x in best.children if isinstance(x, Node) and not x.skip]
+    while todo:
+        x = todo.pop()
+        thin = x.density * best.weight < threshold * x.weight or x.link_chars >= _LINKED * max(1, x.chars)
+        if x.named == "texts" or x.named == "lists" and thin:
+            out.append(x)
         else:
-            break
+            todo.extend(y for y in x.children if isinstance(y, Node) and not y.skip)
+    if 2 * sum(x.chars * (_NAMED if x.named == "texts" else 1.0) for x in out) < best.chars:
+        for x in out:
+            x.skip = True
     return best
 
 
@@ -245,8 +275,8 @@ def text_of(node: Node) -> str:
 
 
 def extract(source: str | None) -> str:
-    """Main text of a page; empty for null, empty and textless pages. Where attributes would leave nothing, names alone count."""
-    return text_of(select(parse(source))) or text_of(select(parse(source, by_class=False))) if source else ""
+    """Main text of a page; empty for null, empty and textless pages."""
+    return text_of(select(parse(source))) if source else ""
 
 
 def main_text(pages: DataFrame) -> DataFrame:

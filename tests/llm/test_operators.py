@@ -96,6 +96,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_shared_folder_needs_a_setting():
+    """Without spark.checkpoint.dir, a folder of our own is only taken where driver and executors are one machine."""
+    from types import SimpleNamespace
+
+    from haploweave.llm import common
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(away)
+
+
 # ---- 1
 
 
@@ -652,6 +663,72 @@ def test_density_names_mislead():
     assert density.extract(f"<body><div>{ps(paras)}</div><div class='comments'>{ps(paras[:2])}</div></body>") == "\n".join(paras)
 
 
+def test_density_formula():
+    """Densities and totals of random trees against the formula taken literally, from the tree and not from the parser."""
+    rng = random.Random(32)
+
+    def grow(depth):
+        kids = []
+        for _ in range(rng.randint(0, 4)):
+            kids.append(grow(depth - 1) if depth and rng.random() < 0.6 else "x" * rng.randint(1, 60))
+        return rng.choice(["div", "section", "a", "span"]), kids
+
+    def html_of(t):
+        return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(html_of, t[1]))}</{t[0]}>"
+
+    def subtree(t):
+        return [t] + [y for x in t[1] if not isinstance(x, str) for y in subtree(x)]
+
+    def chars(t):
+        return sum(len(x) if isinstance(x, str) else chars(x) for x in t[1])
+
+    def links(t):
+        """Outermost links of a subtree, itself included."""
+        return [t] if t[0] == "a" else [y for x in t[1] if not isinstance(x, str) for y in links(x)]
+
+    def density_of(t, body):
+        c, tags = chars(t), len(subtree(t)) - 1
+        lc, lt = sum(map(chars, links(t))), sum(x[0] == "a" for x in subtree(t))
+        if not c:
+            return 0.0
+        lcb, cb = sum(map(chars, links(body))), chars(body)
+        base = math.log(c / max(1, c - lc) * lc + lcb / cb * c + math.e)
+        value = math.log(max(1.0, c / max(1, lc) * max(1, tags) / max(1, lt)))
+        return c / max(1, tags) * (value / math.log(base) if base > 1 else value)
+
+    for _ in range(200):
+        body = ("body", [grow(3) for _ in range(rng.randint(1, 4))])
+        # Adjacent texts are one in a page; links within links close nothing in this parser.
+        nodes = density.measure(density.parse(html_of(body)))[1:]
+        want = subtree(body)
+        assert len(nodes) == len(want)
+        for n, t in zip(nodes, want, strict=True):
+            assert n.name == t[0] and math.isclose(n.density, density_of(t, body), rel_tol=1e-9)
+            assert math.isclose(n.total, sum(density_of(x, body) for x in t[1] if not isinstance(x, str)), rel_tol=1e-9, abs_tol=1e-12)
+        assert density.select(density.parse(html_of(body))).name
+
+
+def test_density_keeps_article_parts():
+    """Names alone drop no part of an article; what they name goes where it is a text of its own, or thin, or links."""
+    rng = random.Random(33)
+    a, b, c, d = (passage(rng, 40) for _ in range(4))
+    page = f"<body><article><p>{a}</p><p class='share'>{b}</p><p class='stock share price'>{c}</p><section id='related-work'><p>{d}</p></section><div class='share'><a href=/>Like</a></div><div class='comments'><p>{passage(rng, 20)}</p></div></article></body>"
+    assert density.extract(page).split("\n") == [a, b, c, d]
+
+
+def test_density_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        for page in ("<div>" * n + "</x>" * n, "<p><section>" + "<b>" * n + "<div></div>" * n + "<ul>" + "<li>" * n + "<table>" + "<td>" * n):
+            density.extract(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(32000) < 16 * seconds(4000)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>é x</p>"), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = density.main_text(df).collect()
@@ -697,3 +774,45 @@ def test_archive_round_trip(spark):
     assert next(bytes(r.payload) for r in got if r.page_id == 5) == "yé\r\n\r\n".encode()
     assert {r.record_type for r in archive.round_trip(df, least_bytes=2).collect()} == {"response"}
     assert archive.round_trip(df.limit(0)).count() == 0
+
+
+# ---- pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Stages in turn against plain Python: rejects go, one row of each group of copies stays, a passage stays once, the mix
+    takes what mix() says, ids are those of the public encoder; nulls, repeats, an empty table and odd columns included."""
+    pipe = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(41)
+    p = passage(rng, 70)
+    rows = [(i, passage(rng, 120), "ab"[i % 2]) for i in range(40)]
+    rows += [(100, rows[3][1], "a"), (101, rows[3][1], "b"), (200, f"{passage(rng, 60)} {p} {passage(rng, 60)}", "a"), (201, f"{passage(rng, 60)} {p} {passage(rng, 60)}", None)]
+    rows += [(300, "too short", "a"), (301, None, "b"), (None, passage(rng, 90), "a"), (302, " ".join([passage(rng, 10)] * 30), "b"), (5, rows[5][1], "b")]
+    table = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], DOCS)
+    made, docs_ = {}, table
+    for name, stage in pipe.STAGES:
+        docs_ = stage(spark, docs_, "")
+        docs_.write.parquet(str(tmp_path / name))
+        docs_ = spark.read.parquet(str(tmp_path / name))
+        made[name] = docs_.collect()
+        if name != "encoded":
+            assert docs_.columns == table.columns
+    kept = sorted((str(i), t) for i, t, _ in rows if t and i not in (300, 302))
+    assert sorted((str(r.doc_id), r.text) for r in made["quality"]) == kept
+    one = sorted({(str(i), t) for i, t, _ in rows if t and i not in (300, 302, 100, 101)})
+    assert sorted((str(r.doc_id), r.text) for r in made["near_duplicates"]) == one
+    assert [p in r.text for r in sorted(made["repeated_passages"], key=str) if r.doc_id in (200, 201)].count(True) == 1 and len(made["repeated_passages"]) == len(one)
+    want = {(str(r.doc_id), r.nth): r.copies for r in mixing.mix(spark.read.parquet(str(tmp_path / "repeated_passages"))).collect()}
+    taken = Counter(str(r.doc_id) for r in made["mixture"])
+    assert all(taken[i] == n for (i, _), n in want.items())
+    texts = Counter(r.text for r in made["mixture"])
+    if os.path.exists(pieces.MODEL):
+        import sentencepiece
+
+        own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+        assert Counter(tuple(r.ids) for r in made["encoded"]) == Counter({tuple(own.encode(t)): n for t, n in texts.items()})
+    assert len(made["encoded"]) == len(made["mixture"]) and all(r.decoded for r in made["encoded"])
+    empty = table.limit(0)
+    for _, stage in pipe.STAGES:
+        empty = stage(spark, empty, "")
+        assert empty.count() == 0
