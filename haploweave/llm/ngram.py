@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, lean, mix64, per_text, prepare, save
+from .common import Words, discard, free_shuffles, lean, mix64, per_text, prepare, save
 from .packs import expand, expand_sorted, pack, squeeze, squeeze_sorted, unpack, word_hashes
 
 #: Words of history + 1; what is taken off each count of an n-gram of two words or more.
@@ -256,7 +256,7 @@ def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, fold:
     asked = thin.mapInArrow(lean(ask), _ASKED)
     counts = save(totals(asked if n_packs <= fan else save(asked, "asked"), n_packs, fan), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of what is saved by now
+    free_shuffles(docs.sparkSession)
 
     def arcs(left: pa.Table, right: pa.Table) -> pa.Table:
         """A pack's states, with the arcs that it is the first to have."""

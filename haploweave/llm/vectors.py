@@ -147,18 +147,18 @@ def links(embeddings: DataFrame, least: float = 0.9, pivots: int = PIVOTS, neare
     indexed = save(indexed, "index")
     postings = indexed.select("node", "width", F.explode(F.arrays_zip("keys", "classes")).alias("p")).select("node", "width", F.col("p.keys").alias("key"), F.col("p.classes").alias("class"))
     by = ["width", "key"]
-    sizes = save(postings.groupBy(*by, "class").agg(F.count("*").alias("n")), "list-sizes")
-    crowd = sizes.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 1")
+    crowd = save(postings.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
     found = postings.join(crowd, by)
     zero = F.lit(0)
     few = found.where(F.col("n") <= tile).select("node", *by, zero.alias("own"), zero.alias("lo"), zero.alias("hi"))
     # Crowded lists: chunks are numbered one after another, those of the large classes first, then those of all else.
-    large = sizes.join(crowd.where(F.col("n") > tile).select(*by), by)
+    big = crowd.where(F.col("n") > tile).select(*by)
+    large = join_checked(postings, big, by, big.count()).groupBy(*by, "class").agg(F.count("*").alias("n"))
     large = large.withColumn("class", F.when(F.col("n") >= tile // 4, F.col("class")).otherwise(-1)).groupBy(*by, "class").agg(F.ceil(F.sum("n") / tile).cast("int").alias("chunks"))
     plans = large.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("class", "chunks"))).alias("plan"))
     plans = plans.withColumn("of", F.flatten(F.transform("plan", lambda x: F.array_repeat(x["class"], x["chunks"]))))
     plans = save(plans.select(*by, "of"), "crowded-lists")
-    many = join_checked(found.where(F.col("n") > tile), plans, by, plans.count())
+    many = join_checked(postings, plans, by, plans.count())
     many = many.withColumn("class", F.when(F.array_contains("of", F.col("class")), F.col("class")).otherwise(-1))
     mine = F.filter(F.sequence(zero, F.size("of") - 1), lambda i: F.element_at("of", i + 1) == F.col("class"))
     many = many.withColumn("mine", mine).withColumn("own", F.element_at("mine", F.pmod(F.xxhash64("node", "key"), F.size("mine")).cast("int") + 1))
