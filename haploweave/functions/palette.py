@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 #: The two categorical palettes, in order.
 TABLEAU10 = ("#4e79a7", "#f28e2c", "#e15759", "#76b7b2", "#59a14f", "#edc949", "#af7aa1", "#ff9da7", "#9c755f", "#bab0ab")
 SET3 = ("#8dd3c7", "#ffffb3", "#bebada", "#fb8072", "#80b1d3", "#fdb462", "#b3de69", "#fccde5", "#d9d9d9", "#bc80bd", "#ccebc5", "#ffed6f")
@@ -16,22 +18,29 @@ def rgb(colour: str) -> tuple[int, int, int] | None:
         return None
 
 
+#: How far the variants of a colour go towards white and black, in pairs; the last for all that follow.
+SHADES = (0.16, 0.24, 0.32, 0.4, 0.45)
+
+
 def shade(colour: str, step: int) -> str:
-    """A lighter (odd steps) or darker (even steps) variant; later steps go further."""
+    """The step-th variant (from 1) of a colour: towards white and black in turn, each pair further than the one before."""
     channels = rgb(colour)
     if channels is None:
         return colour
-    amount, goal = min(0.45, 0.16 + (step - 1) // 2 * 0.08), 0 if step % 2 == 0 else 255
-    return "#" + "".join(f"{int(c + (goal - c) * amount + 0.5):02x}" for c in channels)
+    pair, dark = divmod(step - 1, 2)
+    part = SHADES[min(pair, len(SHADES) - 1)]
+    mixed = ((1 - part) * c + (0 if dark else 255 * part) for c in channels)
+    return "#" + bytes(math.floor(x + 0.5) for x in mixed).hex()
 
 
 def trait_colours(n: int) -> list[str]:
-    """Up to 10 traits the one palette, up to 12 the other; beyond, both in turn and then shades of the first."""
-    if n <= 10:
-        return list(TABLEAU10[:n])
-    if n <= 12:
-        return list(SET3[:n])
-    return [TABLEAU10[i] if i < 10 else SET3[i] if i < 12 else shade(TABLEAU10[i % 10], i // 10) for i in range(n)]
+    """The smaller palette that is enough; beyond both, the first, what the second has beyond it, and rounds of variants."""
+    for palette in (TABLEAU10, SET3):
+        if n <= len(palette):
+            return list(palette[:n])
+    whole = [*TABLEAU10, *SET3[len(TABLEAU10) :]]
+    rounds = [shade(TABLEAU10[k % len(TABLEAU10)], k // len(TABLEAU10)) for k in range(len(whole), n)]
+    return whole + rounds
 
 
 def assigned(existing: list[str], n: int) -> list[str]:

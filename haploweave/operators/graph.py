@@ -184,11 +184,13 @@ def shared_edges(edges: DataFrame) -> DataFrame:
 
 def feasible_triplets(edges: DataFrame) -> DataFrame:
     """(network_id, edge, previous, u, v, w): each edge with every earlier one that touches it; w is the other's far end."""
-    e, p = edges.alias("e"), edges.alias("p")
-    at_from = (F.col("p.from") == F.col("e.from")) | (F.col("p.from") == F.col("e.to"))
-    at_to = (F.col("p.to") == F.col("e.from")) | (F.col("p.to") == F.col("e.to"))
-    joined = e.join(p, (F.col("e.network_id") == F.col("p.network_id")) & (F.col("e.index") > F.col("p.index"))).where(at_from | at_to)
-    return joined.select(F.col("e.network_id").alias("network_id"), F.col("e.index").alias("edge"), F.col("p.index").alias("previous"), F.col("e.from").alias("u"), F.col("e.to").alias("v"), F.when(at_from, F.col("p.to")).otherwise(F.col("p.from")).alias("w"))
+    ends = edges.select("network_id", "index", F.explode(F.array_distinct(F.array("from", "to"))).alias("vertex"))
+    later, earlier = ends.withColumnRenamed("index", "edge"), ends.withColumnRenamed("index", "previous")
+    # Edges meet at a shared vertex: the join grows with the degrees, not with all pairs of a network's edges.
+    met = later.join(earlier, ["network_id", "vertex"]).where("edge > previous").select("network_id", "edge", "previous").distinct()
+    met = met.join(edges.select("network_id", F.col("index").alias("edge"), F.col("from").alias("u"), F.col("to").alias("v")), ["network_id", "edge"])
+    met = met.join(edges.select("network_id", F.col("index").alias("previous"), F.col("from").alias("a"), F.col("to").alias("b")), ["network_id", "previous"])
+    return met.select("network_id", "edge", "previous", "u", "v", F.when(F.col("a").isin(F.col("u"), F.col("v")), F.col("b")).otherwise(F.col("a")).alias("w"))
 
 
 def nj_scores(distances: DataFrame) -> DataFrame:

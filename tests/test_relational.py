@@ -116,20 +116,24 @@ def test_palette():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables aren't here")
-def test_queries_against_sql(spark):
-    import duckdb
+def _names():
+    from haploweave.plans import documents, queries
+
+    return [(m, n) for m in (queries, documents) for n in m.SQL]
 
-    from haploweave.plans import queries as Q
+
+@pytest.mark.parametrize(("module", "name"), _names(), ids=lambda x: x if isinstance(x, str) else "")
+def test_queries_against_sql(spark, module, name):
+    import duckdb
 
     con = duckdb.connect()
     for t in ("embeddings", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    for name in ("mask_apply", "site_patterns", "pairwise_distance", "trait_frequencies", "msn_edges_eps1", "feasible_triplets", "pie_angles"):
-        df = Q.QUERIES[name](spark, DATA)
-        cur = con.execute(Q.SQL[name])
-        names = [d[0] for d in cur.description]
-        assert sorted(names) == sorted(df.columns), name
-        assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, cur.fetchall())), name
+    df = module.QUERIES[name](spark, DATA)
+    cur = con.execute(module.SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns), name
+    assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, cur.fetchall())), name
 
 
 def test_excess_and_shared_edges(spark):
