@@ -15,8 +15,12 @@ def datatype(name: Column) -> Column:
     return F.when(low.isin("standard", "binary"), "binary").when(low.isin("protein", "aa", "aminoacid"), "aa").otherwise("dna")
 
 
-def ambiguous(state: Column, kind: str = "dna") -> Column:
-    return F.upper(state).isin(*AMBIGUOUS[kind])
+def ambiguous(state: Column, kind: str | Column = "dna") -> Column:
+    """Whether a state stands for unknown; kind: a datatype, or a column of them."""
+    up = F.upper(state)
+    if isinstance(kind, str):
+        return up.isin(*AMBIGUOUS[kind])
+    return F.when(kind == "binary", up.isin(*AMBIGUOUS["binary"])).when(kind == "aa", up.isin(*AMBIGUOUS["aa"])).otherwise(up.isin(*AMBIGUOUS["dna"]))
 
 
 def characters(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """From aligned sequences to haplotypes, site patterns and distances. All networks at once, by network_id.
 
-alignment: (network_id, taxon_idx, taxon, seq). Everything here is DataFrame built-ins; sequences are condensed, rows and
+alignment: (network_id, taxon_idx, taxon, seq), and datatype (dna, binary or aa) if the networks differ in it: the steps
+carry that column along, and it goes before their argument `kind`. Everything here is DataFrame built-ins; sequences are condensed, rows and
 columns, before any pair is formed.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.states import AMBIGUOUS, ambiguous, characters
+from ..functions.states import ambiguous, characters
 
 
 def ordered_sequences(taxa: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -20,11 +21,18 @@ def ordered_sequences(taxa: DataFrame, sequences: DataFrame) -> DataFrame:
     return joined.select("network_id", "taxon_idx", "taxon", seq.alias("seq"))
 
 
+def _datatype(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "datatype"]
+
+
 def checked(alignment: DataFrame) -> DataFrame:
-    """The alignment; it fails if a network's sequences differ in length."""
+    """The alignment; it fails if a network's sequences differ in length, or if its datatype is aa."""
     by = Window.partitionBy("network_id")
     same = F.min(F.length("seq")).over(by) == F.max(F.length("seq")).over(by)
-    return alignment.withColumn("seq", F.when(same, F.col("seq")).otherwise(F.raise_error(F.lit("Sequences are not the same length."))))
+    seq = F.when(same, F.col("seq")).otherwise(F.raise_error(F.lit("Sequences are not the same length.")))
+    if _datatype(alignment):
+        seq = F.when(F.col("datatype") == "aa", F.raise_error(F.lit("Haplotype networks should not be inferred from protein data."))).otherwise(seq)
+    return alignment.withColumn("seq", seq)
 
 
 def known_taxa(rows: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -66,7 +74,7 @@ def apply_mask(alignment: DataFrame, mask: DataFrame) -> DataFrame:
     flags = F.coalesce("flags", F.array().cast("array<boolean>"))
     flags = F.when(F.size(flags) == F.length("seq"), flags).otherwise(F.raise_error(F.lit("Mask and alignment differ in length.")))
     chosen = F.filter(F.zip_with(characters(F.col("seq")), flags, lambda c, k: F.when(k, c)), lambda c: c.isNotNull())
-    return joined.select("network_id", "taxon_idx", "taxon", F.array_join(chosen, "").alias("seq"))
+    return joined.select("network_id", "taxon_idx", "taxon", F.array_join(chosen, "").alias("seq"), *_datatype(alignment))
 
 
 def condense(alignment: DataFrame) -> DataFrame:
@@ -74,9 +82,9 @@ def condense(alignment: DataFrame) -> DataFrame:
 
     Name and order are those of the first taxon with the sequence. Rows meet as partial aggregates on the sequence.
     """
-    groups = alignment.groupBy("network_id", "seq").agg(F.min(F.struct("taxon_idx", "taxon")).alias("lead"), F.sort_array(F.collect_list("taxon_idx")).alias("originals"), F.count("*").cast("double").alias("frequency"))
+    groups = alignment.groupBy("network_id", *_datatype(alignment), "seq").agg(F.min(F.struct("taxon_idx", "taxon")).alias("lead"), F.sort_array(F.collect_list("taxon_idx")).alias("originals"), F.count("*").cast("double").alias("frequency"))
     place = F.row_number().over(Window.partitionBy("network_id").orderBy("lead.taxon_idx")) - 1
-    return groups.select("network_id", place.alias("hap_idx"), F.col("lead.taxon").alias("name"), "seq", "originals", "frequency")
+    return groups.select("network_id", place.alias("hap_idx"), F.col("lead.taxon").alias("name"), "seq", "originals", "frequency", *_datatype(alignment))
 
 
 def site_patterns(haplotypes: DataFrame, kind: str = "dna") -> DataFrame:
@@ -85,10 +93,12 @@ def site_patterns(haplotypes: DataFrame, kind: str = "dna") -> DataFrame:
     A site's canonical form names each state by its first place in the column, ambiguous states by themselves: equal
     forms, equal patterns. Sites that are ambiguous throughout have none.
     """
-    columns = haplotypes.select("network_id", "hap_idx", F.posexplode(characters("seq")).alias("site", "state"))
-    columns = columns.groupBy("network_id", "site").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap_idx", "state"))), lambda x: x["state"]).alias("states"))
-    columns = columns.where(~F.forall("states", lambda c: ambiguous(c, kind)))
-    form = F.transform("states", lambda c: F.when(ambiguous(c, kind), c).otherwise(F.array_position(F.col("states"), c).cast("string")))
+    own = _datatype(haplotypes)
+    unknown = lambda c: ambiguous(c, F.col("datatype") if own else kind)
+    columns = haplotypes.select("network_id", *own, "hap_idx", F.posexplode(characters("seq")).alias("site", "state"))
+    columns = columns.groupBy("network_id", *own, "site").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap_idx", "state"))), lambda x: x["state"]).alias("states"))
+    columns = columns.where(~F.forall("states", unknown))
+    form = F.transform("states", lambda c: F.when(unknown(c), c).otherwise(F.array_position(F.col("states"), c).cast("string")))
     columns = columns.select("network_id", "site", form.alias("form"))
     first = columns.withColumn("first", F.min("site").over(Window.partitionBy("network_id", "form")))
     return first.select("network_id", "site", (F.dense_rank().over(Window.partitionBy("network_id").orderBy("first")) - 1).alias("pattern_idx"))
@@ -104,7 +114,7 @@ def condensed(haplotypes: DataFrame, patterns: DataFrame) -> DataFrame:
     by = pattern_weights(patterns).groupBy("network_id").agg(F.sort_array(F.collect_list(F.struct("pattern_idx", "site", "weight"))).alias("p"))
     out = haplotypes.join(by, "network_id", "left").withColumn("p", F.coalesce("p", F.array().cast("array<struct<pattern_idx:int,site:int,weight:bigint>>")))
     picked = F.array_join(F.transform("p", lambda x: F.substring(F.col("seq"), x["site"] + 1, F.lit(1))), "")
-    return out.select("network_id", "hap_idx", "name", picked.alias("pattern_seq"), F.transform("p", lambda x: x["weight"]).alias("weights"), "seq", "originals", "frequency")
+    return out.select("network_id", "hap_idx", "name", picked.alias("pattern_seq"), F.transform("p", lambda x: x["weight"]).alias("weights"), "seq", "originals", "frequency", *_datatype(haplotypes))
 
 
 def distances(condensed_: DataFrame, kind: str = "dna", block: int = 256) -> DataFrame:
@@ -113,8 +123,8 @@ def distances(condensed_: DataFrame, kind: str = "dna", block: int = 256) -> Dat
     Pairs meet by network and block of i: the haplotypes go to each block that has larger indices than theirs, so that a
     large network's pairs are spread over n / block tasks, and a task never holds more than block * n of them.
     """
-    states = AMBIGUOUS[kind]
-    side = condensed_.select("network_id", F.col("hap_idx").cast("int").alias("hap_idx"), F.transform(characters("pattern_seq"), lambda c: F.when(~F.upper(c).isin(*states), c)).alias("cs"), "weights")
+    unknown = lambda c: ambiguous(c, F.col("datatype") if _datatype(condensed_) else kind)
+    side = condensed_.select("network_id", F.col("hap_idx").cast("int").alias("hap_idx"), F.transform(characters("pattern_seq"), lambda c: F.when(~unknown(c), c)).alias("cs"), "weights")
     last = side.groupBy("network_id").agg(F.max("hap_idx").alias("last"))
     a = side.select("network_id", F.floor(F.col("hap_idx") / block).cast("int").alias("block"), F.col("hap_idx").alias("i"), F.col("cs").alias("x"))
     blocks = F.sequence(F.floor(F.col("hap_idx") / block).cast("int"), F.floor(F.col("last") / block).cast("int"))

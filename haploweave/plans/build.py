@@ -23,7 +23,7 @@ ELEMENTS = "network_id string, kind string, index int, label string, hap_idx int
 
 
 def haplotypes(alignment: DataFrame, mask: bool = True, kind: str = "dna") -> DataFrame:
-    """condensed() haplotypes of checked, masked and condensed alignments."""
+    """condensed() haplotypes of checked, masked and condensed alignments. A column datatype, if there, goes before kind."""
     sequences = A.checked(alignment)
     if mask:
         sequences = A.apply_mask(sequences, A.site_mask(sequences))
@@ -41,21 +41,22 @@ def elements(condensed: DataFrame, algorithm: str = "MJN", epsilon: float = 0, a
     """Vertices and edges of every network (ELEMENTS), each built in one task from its haplotypes.
 
     The algorithms are sequential and a network's haplotypes are few (its sequences were condensed before), so that
-    networks, not pairs, are what runs in parallel. Sampled vertices come first.
+    networks, not pairs, are what runs in parallel. Sampled vertices come first. A column datatype, if there, goes before kind.
     """
     options, build = _options(algorithm, epsilon, alpha), ALGORITHMS[algorithm]
     ship(condensed.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hap_idx")
-        haps = Haplotypes(pdf["name"].tolist(), pdf["pattern_seq"].tolist(), list(pdf["weights"].iloc[0]), kind)
+        own = pdf["datatype"].iloc[0] if "datatype" in pdf else kind
+        haps = Haplotypes(pdf["name"].tolist(), pdf["pattern_seq"].tolist(), list(pdf["weights"].iloc[0]), own)
         g = build(haps, **options)
         net = pdf["network_id"].iloc[0]
         rows = [(net, "v", v.index, v.label, v.origin, v.seq, v.origin is None, None, None, None, None, None) for v in g.vertices]
         rows += [(net, "e", e.index, None, None, None, None, e.a.index, e.b.index, float(e.weight), e.a.label, e.b.label) for e in g.edges]
         return pd.DataFrame(rows, columns=["network_id", "kind", "index", "label", "hap_idx", "sequence", "inferred", "from", "to", "weight", "from_label", "to_label"]).astype(object)
 
-    slim = condensed.select(F.col("network_id").cast("string").alias("network_id"), "hap_idx", "name", "pattern_seq", "weights")
+    slim = condensed.select(F.col("network_id").cast("string").alias("network_id"), "hap_idx", "name", "pattern_seq", "weights", *(c for c in condensed.columns if c == "datatype"))
     return slim.groupBy("network_id").applyInPandas(run, ELEMENTS)
 
 

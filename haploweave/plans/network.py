@@ -70,6 +70,8 @@ class Edge:
         self.index, self.a, self.b, self.weight = index, a, b, weight
 
     def other(self, v: Vertex) -> Vertex:
+        if v is not self.a and v is not self.b:
+            raise NetworkError("The vertex isn't an end of the edge.")
         return self.b if v is self.a else self.a
 
 
@@ -92,7 +94,25 @@ class Graph:
         self.vertices.append(v)
         return v
 
+    def vertex(self, index: int) -> Vertex:
+        if not 0 <= index < len(self.vertices):
+            raise NetworkError(f"There is no vertex {index}.")
+        return self.vertices[index]
+
+    def edge(self, index: int) -> Edge:
+        if not 0 <= index < len(self.edges):
+            raise NetworkError(f"There is no edge {index}.")
+        return self.edges[index]
+
+    def _own(self, *parts: Vertex | Edge) -> None:
+        """Fail if a vertex or edge isn't (or is no longer) one of this graph's."""
+        for p in parts:
+            have = self.edges if isinstance(p, Edge) else self.vertices
+            if not (0 <= p.index < len(have) and have[p.index] is p):
+                raise NetworkError(f"The {type(p).__name__.lower()} isn't part of this graph.")
+
     def link(self, a: Vertex, b: Vertex, weight: float = 1) -> Edge:
+        self._own(a, b)
         e = Edge(len(self.edges), a, b, weight)
         self.edges.append(e)
         a.links.append(e)
@@ -101,6 +121,7 @@ class Graph:
         return e
 
     def unlink(self, e: Edge) -> None:
+        self._own(e)
         e.a.links.remove(e)
         if e.b is not e.a:
             e.b.links.remove(e)
@@ -109,6 +130,7 @@ class Graph:
             self.edges[i].index = i
 
     def drop(self, v: Vertex) -> None:
+        self._own(v)
         while v.links:
             self.unlink(v.links[0])
         del self.vertices[v.index]
@@ -117,6 +139,7 @@ class Graph:
 
     def relink(self, e: Edge, a: Vertex, b: Vertex) -> None:
         """Move an edge to other ends; it becomes their last."""
+        self._own(e, a, b)
         for v in {e.a, e.b}:
             v.links.remove(e)
         e.a, e.b = a, b
@@ -166,6 +189,11 @@ class Graph:
                 todo += [(k, j), (k, -1), (i, k)]
         return [a, *inner, b]
 
+    def path_edges(self, a: Vertex, b: Vertex) -> list[Edge]:
+        """The edges along path(a, b), in that order; of parallel ones the lightest, then the first."""
+        way = self.path(a, b) if a is not b else []
+        return [min((e for e in v.links if e.other(v) is w), key=lambda e: (e.weight, e.index)) for v, w in zip(way[:-1], way[1:], strict=True)]
+
     def edge_list(self) -> list[tuple[str, float, str]]:
         return [(e.a.label, e.weight, e.b.label) for e in self.edges]
 

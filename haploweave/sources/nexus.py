@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.states import datatype
 from ..session import ship
 
 
@@ -443,5 +444,12 @@ def nexus_text(taxa: list[Row], datatype: str = "DNA") -> str:
 
 
 def alignment(tables: dict[str, DataFrame]) -> DataFrame:
-    """(network_id, taxon_idx, taxon, seq) of read_nexus()'s tables, a network for each data set."""
-    return tables["characters"].select(F.col("dataset_id").alias("network_id"), "taxon_idx", "taxon", F.upper("seq").alias("seq"))
+    """(network_id, taxon_idx, taxon, seq, datatype) of read_nexus()'s tables, a network for each data set.
+
+    datatype as the plans know it, of the table characters_meta; without that table there is no such column.
+    """
+    out = tables["characters"].select(F.col("dataset_id").alias("network_id"), "taxon_idx", "taxon", F.upper("seq").alias("seq"))
+    if "characters_meta" not in tables:
+        return out
+    kinds = tables["characters_meta"].select(F.col("dataset_id").alias("network_id"), datatype(F.col("datatype")).alias("datatype"))
+    return out.join(kinds, "network_id", "left").withColumn("datatype", F.coalesce("datatype", F.lit("dna")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 from datetime import UTC, datetime
 from typing import Any
 
@@ -67,9 +68,9 @@ def read_project(path: str) -> dict[str, Any]:
 
 
 def route(path: str) -> str:
-    """nexus or project by the file's ending; others can't be opened."""
+    """nexus (.nex) or project by the file's ending, in any case; others can't be opened."""
     low = path.lower()
-    if low.endswith((".nex", ".nexus")):
+    if low.endswith(".nex"):
         return "nexus"
     if low.endswith(f".{EXTENSION}"):
         return "project"
@@ -77,10 +78,18 @@ def route(path: str) -> str:
 
 
 class Autosave:
-    """One slot in a folder: each save replaces it."""
-
-    def __init__(self, folder: str) -> None:
-        self.path = os.path.join(folder, f"autosave.{EXTENSION}")
+    """One slot in a folder: each save replaces it. keep() saves once every `period` seconds."""
+
+    def __init__(self, folder: str, period: float = 300.0) -> None:
+        self.path, self.period, self._last = os.path.join(folder, f"autosave.{EXTENSION}"), period, time.monotonic()
+
+    def keep(self, state: dict[str, Any]) -> bool:
+        """Save a state that has a graph if the period has passed since the last such save; whether it did."""
+        if not state.get("graph") or time.monotonic() - self._last < self.period:
+            return False
+        self.save(state)
+        self._last = time.monotonic()
+        return True
 
     def save(self, state: dict[str, Any]) -> None:
         write_project(state, self.path)

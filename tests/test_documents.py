@@ -68,13 +68,18 @@ def test_autosave_history_route(tmp_path):
     assert slot.load()["algorithm"] == "MSN"
     slot.clear()
     assert not slot.exists()
+    graph = {"version": 1, "graph": {"vertices": [], "edges": []}}
+    assert not slot.keep(graph) and not slot.exists()  # the period hasn't passed
+    often = P.Autosave(str(tmp_path), period=0)
+    assert not often.keep({"graph": None}) and often.keep(graph) and slot.exists()
     h = P.History(2)
     for k in range(4):
         h.record(k)
     assert [h.undo(9), h.undo(3), h.undo(2)] == [3, 2, 2] and h.redo(2) == 3
     assert (P.route("A.NEX"), P.route("b.hapnet")) == ("nexus", "project")
-    with pytest.raises(ValueError, match="Unsupported"):
-        P.route("c.txt")
+    for name in ("c.txt", "c.nexus", "nex"):
+        with pytest.raises(ValueError, match="Unsupported"):
+            P.route(name)
 
 
 def test_spark_documents(spark, tmp_path):

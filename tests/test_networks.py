@@ -12,7 +12,7 @@ from haploweave.plans.intnj import intnj
 from haploweave.plans.mjn import mjn, pruned, quasi_medians, triplets
 from haploweave.plans.model import haplotypes_of, keep_sites
 from haploweave.plans.msn import msn, spanning_links
-from haploweave.plans.network import Haplotypes, NetworkError
+from haploweave.plans.network import Graph, Haplotypes, NetworkError
 from haploweave.plans.tcs import tcs
 from haploweave.sources.nexus import parse
 
@@ -101,6 +101,22 @@ def test_zero_distance_is_one_step_in_tcs():
     assert ("h0", 1, "h1") in tcs(h).edge_list()
 
 
+def test_graph_guards_and_paths():
+    g, other = Graph(), Graph()
+    a, b, c = (g.add() for _ in range(3))
+    heavy, light, last = g.link(a, b, 3), g.link(a, b, 1), g.link(b, c, 2)
+    far = other.add()
+    assert g.path_edges(a, c) == [light, last] and g.path_edges(a, a) == [] and last.other(c) is b
+    assert g.vertex(2) is c and g.edge(0) is heavy
+    for wrong in (lambda: last.other(a), lambda: last.other(far), lambda: g.vertex(3), lambda: g.edge(-1), lambda: g.link(a, far), lambda: g.relink(last, a, far), lambda: g.drop(far)):
+        with pytest.raises(NetworkError):
+            wrong()
+    g.unlink(heavy)
+    with pytest.raises(NetworkError):
+        g.unlink(heavy)
+    assert (light.index, last.index) == (0, 1)
+
+
 def test_protein_and_lengths():
     with pytest.raises(NetworkError):
         haps("AA", "AC", kind="aa")

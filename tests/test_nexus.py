@@ -2,6 +2,8 @@ import math
 
 import pytest
 
+from haploweave.operators import alignment as A
+from haploweave.plans import build
 from haploweave.sources import nexus as N
 
 TEXT = """#NEXUS [a comment; with a stop]
@@ -98,6 +100,21 @@ def test_parse_texts(spark):
     assert [r.label for r in N.parse_texts(df, "trait_labels").orderBy("trait_idx").collect()] == ["North", "South"]
 
 
+def test_datatype_goes_along(spark):
+    """A binary and a DNA file, with the letters N and B, which only DNA reads as unknown; proteins have no network."""
+    made = "#NEXUS\nBEGIN DATA; FORMAT DATATYPE={}; MATRIX\na NAB\nb BAN\nc NCB\n; END;"
+    read = lambda *kinds: {t: N.parse_texts(spark.createDataFrame([(k, made.format(k)) for k in kinds], "dataset_id string, text string"), t) for t in ("characters", "characters_meta")}
+    a = N.alignment(read("DNA", "Standard"))
+    assert {(r.network_id, r.datatype) for r in a.collect()} == {("DNA", "dna"), ("Standard", "binary")}
+    haps = build.haplotypes(a, mask=False)
+    d = {(r.network_id, r.i, r.j): r.d for r in A.distances(haps).collect()}
+    assert d == {("DNA", 1, 0): 0, ("DNA", 2, 0): 1, ("DNA", 2, 1): 1, ("Standard", 1, 0): 2, ("Standard", 2, 0): 1, ("Standard", 2, 1): 3}
+    edges = {(r.network_id, r.from_label, r.weight, r.to_label) for r in build.labelled_edges(build.elements(haps, "MSN")).collect()}
+    assert {e for e in edges if e[0] == "Standard"} == {("Standard", "c", 1, "a"), ("Standard", "b", 2, "a")}
+    with pytest.raises(Exception, match="protein"):
+        build.haplotypes(N.alignment(read("protein"))).collect()
+
+
 def test_text_round_trip():
     text = N.nexus_text([{"taxon": "a b", "seq": "AC"}, {"taxon": "c", "seq": "GT"}])
     assert N.parse(text).characters.matrix == {"a b": "AC", "c": "GT"}
