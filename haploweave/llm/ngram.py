@@ -6,7 +6,7 @@ are discounted by a constant (public: Ney, Essen and Kneser, 1994): what a state
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from .common import Words, discard, free_shuffles, lean, mix64, per_text, prepar
 from .packs import expand, expand_sorted, pack, squeeze, squeeze_sorted, unpack, word_hashes
 
 #: Words of history + 1; what is taken off each count of an n-gram of two words or more.
-ORDER, DISCOUNT = 2, 0.75
+ORDER, DISCOUNT = 3, 0.75
 #: Keys go by their upper bits to 2**RANGE ranges of each order; FAN packs' counts of a range meet in one task, and where
 #: there are more packs, their sums, cut 2**SPLIT times finer, meet in turn.
 RANGE, SPLIT, FAN = 6, 8, 256
@@ -32,10 +32,10 @@ class Tokens:
 
     For each order: keys (distinct, ascending), own (training counts in the pack), where (each token's key; -1: none),
     and, for two tokens or more, history (each key's history among the keys of the order below). The mark of the start
-    is a key among the single tokens: the history of each text's first token.
+    is a key among the single tokens: the history of each text's first token. Orders below least stay empty.
     """
 
-    def __init__(self, lengths: list[int], blob: bytes, held: list[bool], order: int) -> None:
+    def __init__(self, lengths: list[int], blob: bytes, held: list[bool], order: int, least: int = 0) -> None:
         words = Words(unpack(lengths, blob), lower=True)
         known = word_hashes(words) & ~np.uint64(1)
         self.counts = words.counts + 1
@@ -55,19 +55,30 @@ class Tokens:
         self.own: list[np.ndarray] = []
         self.where: list[np.ndarray] = []
         self.history: list[np.ndarray | None] = []
-        where = self._table(np.concatenate([tokens, np.full(texts, START)]), np.concatenate([self.train, train]))
-        self.start = int(where[n]) if texts else 0
-        self.where.append(where[:n])
+        if least == 0:
+            where = self._table(np.concatenate([tokens, np.full(texts, START)]), np.concatenate([self.train, train]))
+            self.start = int(where[n]) if texts else 0
+            self.where.append(where[:n])
+        else:
+            self._skip()
         self.history.append(None)
         before, key = tokens, tokens
         for k in range(1, order):
             before = np.roll(before, 1)
             before[place == k - 1] = START
             key = mix64(key * np.uint64(0x9FB21C651E98DF25) + mix64(before)) | np.uint64(1)
+            if k < least:
+                self._skip()
+                self.history.append(None)
+                continue
             # A text's first tokens have no longer history than the start.
             has = np.flatnonzero(place >= k - 1)
             where = np.full(n, -1, dtype=np.int64)
             where[has] = self._table(key[has], self.train[has])
+            if k == least:
+                self.where.append(where)
+                self.history.append(None)
+                continue
             shorter = np.roll(self.where[-1], 1)
             if k == 1:
                 shorter[place == 0] = self.start
@@ -76,6 +87,11 @@ class Tokens:
             self.where.append(where)
             self.history.append(history)
 
+    def _skip(self) -> None:
+        self.keys.append(np.zeros(0, dtype=np.uint64))
+        self.own.append(np.zeros(0, dtype=np.uint32))
+        self.where.append(np.zeros(0, dtype=np.int64))
+
     def _table(self, keys: np.ndarray, train: np.ndarray) -> np.ndarray:
         by = np.argsort(keys)
         fresh = np.ones(len(by), dtype=bool)
@@ -228,6 +244,13 @@ def _answers(told: pa.Table, orders: list[int]) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, np.int64), *(expand(parts[b].as_py()).astype(np.int64) for b in sorted(b for b in parts if b >> RANGE == k))]) for k in orders]
 
 
+def _kinds(total: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """Distinct arcs of each history: one seen once has one, the others' were asked for."""
+    out = np.minimum(total, 1)
+    out[total > 1] = answers
+    return out
+
+
 def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, fold: int = 7, held_out: int = 2, fan: int = FAN) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row.
 
@@ -235,10 +258,11 @@ def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, fold:
     scores all, whole texts, null as empty: the end alone. Words are told apart by 64-bit hashes. Nothing is pruned.
     Repeated rows count as often as they stand there; an empty table gives an empty table; other columns aren't read.
 
-    Packs of documents ask twice: for the counts of their n-grams, then for the number of distinct arcs of their states
-    (of each n-gram, one pack is told that it is the first to have it: that one adds it to its state's arcs). Sums meet
-    by ranges of keys, see totals(). So no task holds more than a pack and its part of the automaton, or a bucket of a
-    bounded number of askers, and what moves grows with the corpus.
+    Packs of documents ask for the counts of their n-grams, for one and two tokens at once and then order by order, so that
+    not all keys lie on disk together; and last for the number of distinct arcs of the states seen twice or more (of each
+    n-gram, one pack is told that it is the first to have it: that one adds it to its state's arcs). Sums meet by ranges
+    of keys, see totals(). So no task holds more than a pack and its part of the automaton, or a bucket of a bounded
+    number of askers, and what moves grows with the corpus.
     """
     prepare(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == held_out, F.lit(held_out == 0))
@@ -246,32 +270,44 @@ def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, fold:
     n_packs = packs.count()
     every, below = list(range(order)), list(range(order - 1))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                t = Tokens(row["lengths"], row["blob"], row["held"], order)
-                yield from _ask(every, row["pack"], t.keys, t.own)
+    def ask(orders: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    t = Tokens(row["lengths"], row["blob"], row["held"], orders[-1] + 1, orders[0])
+                    yield from _ask(orders, row["pack"], [t.keys[k] for k in orders], [t.own[k] for k in orders])
+
+        return run
 
     thin = packs.select("pack", "held", "lengths", "blob")
-    asked = thin.mapInArrow(lean(ask), _ASKED)
-    counts = save(totals(asked if n_packs <= fan else save(asked, "asked"), n_packs, fan), "counts")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    free_shuffles(docs.sparkSession)
+    parts = []
+    for orders in (every[:2], *([k] for k in every[2:])):
+        asked = thin.mapInArrow(lean(ask(orders)), _ASKED)
+        parts.append(save(totals(asked if n_packs <= fan else save(asked, "asked"), n_packs, fan), "counts"))
+        del asked
+        free_shuffles(docs.sparkSession)
+    n, v = parts[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
 
     def arcs(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A pack's states, with the arcs that it is the first to have."""
+        """A pack's states that are seen twice or more, with the arcs that it is the first to have."""
         row = left.to_pylist()[0]
         t, found = Tokens(row["lengths"], row["blob"], row["held"], order), _answers(right, every)
         new = [np.bincount(t.history[k + 1][found[k + 1] & 1 == 1], minlength=len(t.keys[k])) for k in below]
-        return pa.Table.from_batches(list(_ask(below, row["pack"], [t.keys[k] for k in below], new)), schema=pa.schema([("bucket", pa.int64()), ("asker", pa.int64()), ("keys", pa.binary()), ("own", pa.binary())]))
+        many = [found[k] >> 1 > 1 for k in below]
+        return pa.Table.from_batches(list(_ask(below, row["pack"], [t.keys[k][m] for k, m in zip(below, many, strict=True)], [x[m] for x, m in zip(new, many, strict=True)])), schema=pa.schema([("bucket", pa.int64()), ("asker", pa.int64()), ("keys", pa.binary()), ("own", pa.binary())]))
 
     kinds = counts.select("asker", (F.col("bucket") * 2).alias("bucket"), "totals")
     if order > 1:
         given = counts.select("bucket", "asker", "totals")
         asked = save(thin.groupBy("pack").cogroup(given.groupBy("asker")).applyInArrow(arcs, _ASKED), "states")
+        free_shuffles(docs.sparkSession)
         states = save(totals(asked, n_packs, fan), "arcs")
         kinds = kinds.unionByName(states.select("asker", (F.col("bucket") * 2 + 1).alias("bucket"), "totals"))
         discard(asked)
+        free_shuffles(docs.sparkSession)
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -279,7 +315,8 @@ def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, fold:
         bucket = right.column("bucket").to_numpy()
         own, other = (pa.table({"bucket": pa.array(bucket[bucket % 2 == b] // 2), "totals": right.column("totals").filter(pa.array(bucket % 2 == b))}) for b in (0, 1))
         found = [x >> 1 for x in _answers(own, every)]
-        a = Automaton(t, found, [x >> 1 for x in _answers(other, below)], n, v, discount)
+        kinds = [_kinds(found[k], x >> 1) for k, x in zip(below, _answers(other, below), strict=True)]
+        a = Automaton(t, found, kinds, n, v, discount)
         known = per_text((found[0][t.where[0]] > 0).astype(np.int64), t.first)
         return pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(t.counts.astype(np.int64)), pa.array(known), pa.array(np.full(len(t.counts), n, dtype=np.int64)), pa.array(a.root()), pa.array(a.run())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
