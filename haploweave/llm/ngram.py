@@ -302,11 +302,12 @@ def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, fold:
     kinds = counts.select("asker", (F.col("bucket") * 2).alias("bucket"), "totals")
     if order > 1:
         given = counts.select("bucket", "asker", "totals")
-        asked = save(thin.groupBy("pack").cogroup(given.groupBy("asker")).applyInArrow(arcs, _ASKED), "states")
-        free_shuffles(docs.sparkSession)
+        asked = thin.groupBy("pack").cogroup(given.groupBy("asker")).applyInArrow(arcs, _ASKED)
+        asked = asked if n_packs <= fan else save(asked, "states")
         states = save(totals(asked, n_packs, fan), "arcs")
         kinds = kinds.unionByName(states.select("asker", (F.col("bucket") * 2 + 1).alias("bucket"), "totals"))
         discard(asked)
+        del asked
         free_shuffles(docs.sparkSession)
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
