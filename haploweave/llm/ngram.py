@@ -117,14 +117,17 @@ class Automaton:
         p = (counts[0][tokens.where[0]] + 1.0) / (n + v + 1.0)
         #: Whether the token's arc leaves the state of so many words, log10 weights of that arc and of the state's failure.
         self.hit, self.arc, self.fail = [np.ones(len(p), dtype=bool)], [np.log10(p)], [np.zeros(len(p))]
+        self.known = counts[0][tokens.where[0]] > 0
         self.start = min(len(counts) - 1, 1 if len(counts[0]) and counts[0][tokens.start] > 0 else 0)
         for k in range(1, len(counts)):
             where = np.maximum(tokens.where[k], 0)
             history, seen = tokens.history[k][where] if len(tokens.keys[k]) else where, counts[k][where].astype(float) if len(tokens.keys[k]) else np.zeros(len(where))
             total = np.maximum(counts[k - 1][history], 1).astype(float)
-            back = np.maximum(discount * kinds[k - 1][history] / total, 1e-300)
+            # A history that isn't a state has no failure arc: a score that took one would not be a number.
+            state = (counts[k - 1][history] > 0) & (tokens.where[k] >= 0)
+            back = np.where(state, discount * kinds[k - 1][history] / total, np.nan)
             hit = (seen > 0) & (tokens.where[k] >= 0)
-            p = np.where(hit, (seen - discount) / total + back * p, np.where((counts[k - 1][history] > 0) & (tokens.where[k] >= 0), back * p, p))
+            p = np.where(hit, (seen - discount) / total + back * p, np.where(state, back * p, p))
             self.hit.append(hit)
             self.arc.append(np.log10(p))
             self.fail.append(np.log10(back))
@@ -140,6 +143,7 @@ class Automaton:
         while lo < len(self.first) - 1:
             hi = max(lo + 1, int(np.searchsorted(self.first, self.first[lo] + (1 << 16), side="right")) - 1)
             part = slice(int(self.first[lo]), int(self.first[hi]))
+            known = self.known[part].tolist()
             hit, arc, fail = ([x[part].tolist() for x in kind] for kind in (self.hit, self.arc, self.fail))
             for begin, end in zip((self.first[lo:hi] - part.start).tolist(), (self.first[lo + 1 : hi + 1] - part.start).tolist(), strict=True):
                 state, score = self.start, 0.0
@@ -148,11 +152,15 @@ class Automaton:
                         score += fail[state][i]
                         state -= 1
                     score += arc[state][i]
-                    if state < top:
+                    # An arc leads to the next longer history; a word that training lacks, taken at the root, is none.
+                    if state < top and (state or known[i]):
                         state += 1
                 out.append(score)
             lo = hi
-        return np.array(out)
+        scores = np.array(out)
+        if np.isnan(scores).any():
+            raise ValueError("The traversal took the failure arc of a history that training doesn't have.")
+        return scores
 
 
 def _rows(bucket: list[int], asker: int, keys: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:

@@ -365,6 +365,33 @@ def brute_scores(rows, order):
     return sorted(out)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_unseen_words(spark, order):
+    """Held-out texts with words that training lacks at their start, middle and end, alone, in a row and after known words."""
+    rng = random.Random(9)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, " ".join(rng.choice(["the", "of", "tea", "x", "yy"]) for _ in range(rng.randint(1, 25)))) for i in range(60) if i not in held]
+    odd = ["new the of", "the of new", "the new of tea", "new", "new newer newest", "the of new newer tea x yy the of", "new the new of new", "tea tea tea", ""]
+    rows += list(zip(held, odd, strict=False))
+    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ngram.score(docs(spark, rows), order=order).collect()]
+    assert sorted(got) == brute_scores(rows, order)
+
+
+def test_scores_beat_the_base(spark):
+    """Over prose with unseen words, held-out documents get more on average than the base of single words gives them."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(300):
+        out, word = [], 0
+        for _ in range(80):
+            word = (word * 3 + rng.randint(0, 2)) % 50 if rng.random() < 0.95 else 1000 + rng.randint(0, 10**6)
+            out.append(f"w{word}")
+        rows.append((i, " ".join(out)))
+    found = [r for r in ngram.score(docs(spark, rows)).collect() if r.held_out]
+    assert any(r.n_known < r.n_tokens for r in found)
+    assert sum(r.score for r in found) > sum(r.base_score for r in found) and all(r.score > r.base_score - 0.5 * r.n_tokens for r in found)
+
+
 @pytest.mark.parametrize(("order", "fan"), [(1, 256), (2, 256), (2, 2), (3, 2), (4, 256)])
 def test_scores(spark, order, fan, monkeypatch):
     rng = random.Random(8)
