@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, density, mixing, ngram, passages, pieces, repetition, simhash, vectors
+from . import archive, chat, density, mixing, ngram, passages, pieces, repetition, simhash, urls, vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,13 +65,18 @@ def op10_archive(spark: SparkSession, folder: str) -> DataFrame:
     return archive.round_trip(_table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_urls(spark: SparkSession, folder: str) -> DataFrame:
+    found = urls.judge(_table(spark, folder, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "n_terms")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_passages, op4_ngrams, op5_pivots, op6_simhash, op7_chat, op8_pieces, op9_density, op10_archive, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_passages, op4_ngrams, op5_pivots, op6_simhash, op7_chat, op8_pieces, op9_density, op10_archive, op11_urls, pipeline)}
 
 _OP1 = rf"""
 WITH w AS (
@@ -144,4 +149,30 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN top END AS refers_to
 FROM g"""
 
-SQL: dict[str, str] = {"op1_repetition": _OP1, "op5_pivots": _OP5, "op7_chat": _OP7, "op10_archive": _OP10}
+def _within(term: str) -> str:
+    """A pattern of a term within boundaries, for an engine without looking around."""
+    return ("(^|[^a-z0-9])" if term[0].isalnum() else "") + term.replace(".", "[.]") + ("($|[^a-z0-9])" if term[-1].isalnum() else "")
+
+
+_OP11 = f"""
+WITH r(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)}),
+u AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(coalesce(url, ''), '{urls._UPPER}', '{urls._LOWER}') AS low,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (
+  SELECT rid, page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{urls._UPPER}', '{urls._LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (
+  SELECT rid, max(struct_pack(n := length(h || p), rule := h || p, v := v)) AS best
+  FROM s JOIN r ON (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p) GROUP BY rid),
+t AS (
+  SELECT s.*, best,
+    {" + ".join(f"regexp_matches(low, '{_within(t)}')::BIGINT" for t in sorted(set(urls.STRICT)))} AS strict,
+    {" + ".join(f"regexp_matches(low, '{_within(t)}')::BIGINT" for t in sorted(set(urls.SOFT) - set(urls.STRICT)))} AS soft
+  FROM s LEFT JOIN f USING (rid))
+SELECT page_id, host, path, best.rule AS rule,
+  coalesce(best.v, CASE WHEN strict > 0 OR soft >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN best IS NULL THEN strict + soft ELSE 0 END AS n_terms
+FROM t"""
+
+SQL: dict[str, str] = {"op1_repetition": _OP1, "op5_pivots": _OP5, "op7_chat": _OP7, "op10_archive": _OP10, "op11_urls": _OP11}
