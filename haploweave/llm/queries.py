@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, density, mixing, ngram, passages, pieces, repetition, simhash, urls, vectors
+from . import archive, chat, density, mixing, ngram, passages, pieces, quantize, repetition, simhash, urls, vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,13 +70,19 @@ def op11_urls(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "n_terms")
 
 
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = quantize.fit(_table(spark, folder, "embeddings"))
+    digest = F.create_map(*(F.lit(x) for length, book in books.items() for x in (length, book.digest()))) if books else F.create_map().cast("map<int,string>")
+    return quantize.summed_by_label(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest[F.col("length")].alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_passages, op4_ngrams, op5_pivots, op6_simhash, op7_chat, op8_pieces, op9_density, op10_archive, op11_urls, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_passages, op4_ngrams, op5_pivots, op6_simhash, op7_chat, op8_pieces, op9_density, op10_archive, op11_urls, op12_codes, pipeline)}
 
 _OP1 = rf"""
 WITH w AS (
@@ -175,4 +181,35 @@ SELECT page_id, host, path, best.rule AS rule,
   CASE WHEN best IS NULL THEN strict + soft ELSE 0 END AS n_terms
 FROM t"""
 
-SQL: dict[str, str] = {"op1_repetition": _OP1, "op5_pivots": _OP5, "op7_chat": _OP7, "op10_archive": _OP10, "op11_urls": _OP11}
+def _op12(parts: int = quantize.PARTS, entries: int = quantize.ENTRIES, rounds: int = quantize.ROUNDS) -> str:
+    """Lloyd's rounds one after another, each part against each entry. For vectors of one length that parts divide."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor({quantize.SCALE} * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT rid, p, e[p * (len(e) // {parts}) + 1:(p + 1) * (len(e) // {parts})] AS e FROM (SELECT rid, e, unnest(range({parts})) AS p FROM v)),
+f AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS k FROM v QUALIFY k < {entries}),
+c0 AS MATERIALIZED (SELECT p, k, e FROM x JOIN f USING (rid))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, x.p, min(struct_pack(d := list_inner_product(x.e, x.e) - 2 * list_inner_product(x.e, c.e) + list_inner_product(c.e, c.e), k := k)) AS b
+  FROM x JOIN c{r} c ON x.p = c.p GROUP BY rid, x.p)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT p, k, list(floor(s / n) ORDER BY i) AS e
+  FROM (SELECT p, k, i, sum(y) AS s, count(*) AS n FROM (
+    SELECT x.p, b.k AS k, unnest(x.e) AS y, unnest(range(len(x.e))) AS i FROM x JOIN a{r} USING (rid, p)) GROUP BY p, k, i) GROUP BY p, k),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m USING (p, k))""")
+    return ",".join(steps) + f""",
+o AS (
+  SELECT rid, string_agg(format('{{:02x}}', b.k), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM a{rounds} GROUP BY rid),
+h AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, k, i)) AS s FROM (
+  SELECT p, k, unnest(e) AS y, unnest(range(len(e))) AS i FROM c{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h.s AS codebooks_sha256
+FROM v JOIN o USING (rid), h"""
+
+
+SQL: dict[str, str] = {"op1_repetition": _OP1, "op5_pivots": _OP5, "op7_chat": _OP7, "op10_archive": _OP10, "op11_urls": _OP11, "op12_codes": _op12()}
