@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, density, mixing, ngram, passages, pieces, quantize, repetition, simhash, urls, vectors
+from . import archive, chat, density, mixing, ngram, passages, pieces, quantize, repetition, runs, simhash, urls, vectors
+from .common import WORD
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,13 +77,37 @@ def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
     return quantize.summed_by_label(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest[F.col("length")].alias("codebooks_sha256"))
 
 
+def _made_periodic(text: Column, doc_id: Column) -> Column:
+    """A tenth of the texts, by the checksum of their id, repeat their words from some word on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
+    g, n = F.floor(h / 10), F.size(words)
+    start = g % n
+    period = 1 + F.floor((n - start) / (3 + g % 8))
+    place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i >= start, start + (i - start) % period).otherwise(i))
+    made = F.array_join(F.transform(place, lambda i: words[i.cast("int")]), " ")
+    return F.when((h % 10 == 0) & F.regexp_like(text, F.lit(WORD)), made).otherwise(text)
+
+
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", _made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = runs.longest()
+    found = runs.find(docs).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_passages, op4_ngrams, op5_pivots, op6_simhash, op7_chat, op8_pieces, op9_density, op10_archive, op11_urls, op12_codes, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repetition, op2_mixing, op3_passages, op4_ngrams, op5_pivots, op6_simhash, op7_chat, op8_pieces, op9_density, op10_archive, op11_urls, op12_codes, op13_runs, pipeline)}
 
 _OP1 = rf"""
 WITH w AS (
@@ -212,4 +237,56 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM v JOIN o USING (rid), h"""
 
 
-SQL: dict[str, str] = {"op1_repetition": _OP1, "op5_pivots": _OP5, "op7_chat": _OP7, "op10_archive": _OP10, "op11_urls": _OP11, "op12_codes": _op12()}
+def _checksums() -> list[int]:
+    """CRC-32 of each byte alone, as its table is defined."""
+    out = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        out.append(b)
+    return out
+
+
+def _op13(levels: int = 20) -> str:
+    """Runs by grams of doubling length: within a run, a gram of a period or more recurs first a period further on.
+
+    Level k finds the periods above 2^(k-1), up to 2^k: gaps and islands over places whose gram of 2^k words recurs first
+    at the same distance. For periods up to 2^(levels-1) words.
+    """
+    parts = [rf"""
+WITH tab AS (SELECT {_checksums()}::BIGINT[] AS t),
+d0 AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) AS h
+  FROM documents, tab),
+d1 AS (SELECT *, len(ws) AS n, h // 10 AS g FROM d0),
+d2 AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM d1),
+d3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d2),
+w AS MATERIALIZED (
+  SELECT rid, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM d3)),
+g0 AS MATERIALIZED (SELECT rid, i, hash(word) AS g FROM w)"""]
+    for k in range(levels):
+        m = 1 << k
+        parts.append(f"""
+n{k} AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid, g ORDER BY i) - i AS d FROM g{k}),
+r{k} AS (
+  SELECT rid, min(i) AS start, max(i) - min(i) + {m} + d AS length, d AS period
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, d ORDER BY i) AS island FROM n{k} WHERE d > {m // 2} AND d <= {m})
+  GROUP BY rid, d, island HAVING max(i) - min(i) + {m} + d >= greatest({runs.MIN_WORDS}, {runs.MIN_PERIODS} * d)),
+g{k + 1} AS MATERIALIZED (
+  SELECT rid, i, hash(g, f) AS g FROM (SELECT *, lead(g, {m}) OVER (PARTITION BY rid ORDER BY i) AS f FROM g{k}) WHERE f IS NOT NULL)""")
+    return ",".join(parts) + f""",
+r AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(levels))}),
+s AS (
+  SELECT rid, count(*) AS n_runs, max(struct_pack(l := length, s := -start, p := -period)) AS b,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY rid),
+x AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN x USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-b.s)::BIGINT AS start, b.l::BIGINT AS length, (-b.p)::BIGINT AS period,
+  (1000 * b.l // -b.p)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d0 LEFT JOIN s USING (rid) LEFT JOIN c USING (rid)"""
+
+
+SQL: dict[str, str] = {"op1_repetition": _OP1, "op5_pivots": _OP5, "op7_chat": _OP7, "op10_archive": _OP10, "op11_urls": _OP11, "op12_codes": _op12(), "op13_runs": _op13()}
