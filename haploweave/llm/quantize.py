@@ -234,10 +234,8 @@ def _packing(parts: int, scale: int):  # noqa: ANN202
     return run
 
 
-def _block(row: dict, book: Codebook, parts: int) -> Block:
-    x = np.frombuffer(row["x"], dtype=np.int16 if row["narrow"] else np.int64).reshape(-1, parts, book.entries.shape[2])
-    if not x.size:  # vectors without components
-        x = np.zeros((len(row["ids"]), parts, 0), dtype=np.int64)
+def _block(row: dict, n: int, book: Codebook, parts: int) -> Block:
+    x = np.frombuffer(row["x"], dtype=np.int16 if row["narrow"] else np.int64).reshape(n, parts, book.entries.shape[2])
     found = Block(x, book.entries.shape[1])
     return found if row["codes"] is None else found.load(row)
 
@@ -246,8 +244,9 @@ def _opened(batches: Iterator[pa.RecordBatch], books: dict[int, Codebook], parts
     for batch in batches:
         for k in range(len(batch)):
             one = batch.slice(k, 1)
-            row = {c: one.column(c)[0].as_py() for c in ("length", "narrow", "x", *_STATE)} | {"ids": one.column("ids")[0]}
-            yield one, books[row["length"]], _block(row, books[row["length"]], parts)
+            row = {c: one.column(c)[0].as_py() for c in ("length", "narrow", "x", *_STATE)}
+            book = books[row["length"]]
+            yield one, book, _block(row, len(one.column("ids").flatten()), book, parts)
 
 
 def _stepping(books: dict[int, Codebook], parts: int):  # noqa: ANN202

@@ -82,10 +82,10 @@ def _made_periodic(text: Column, doc_id: Column) -> Column:
     h = F.crc32(doc_id.cast("string").cast("binary"))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
     g, n = F.floor(h / 10), F.size(words)
-    start = g % n
-    period = 1 + F.floor((n - start) / (3 + g % 8))
-    place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i >= start, start + (i - start) % period).otherwise(i))
-    made = F.array_join(F.transform(place, lambda i: words[i.cast("int")]), " ")
+    start = (g % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int")))
+    made = F.array_join(F.concat(F.slice(words, 1, start), F.slice(repeated, 1, n - start)), " ")
     return F.when((h % 10 == 0) & F.regexp_like(text, F.lit(WORD)), made).otherwise(text)
 
 
