@@ -27,12 +27,12 @@ def _datatype(df: DataFrame) -> list[str]:
 
 def checked(alignment: DataFrame) -> DataFrame:
     """The alignment; it fails if a network's sequences differ in length, or if its datatype is aa."""
-    by = Window.partitionBy("network_id")
-    same = F.min(F.length("seq")).over(by) == F.max(F.length("seq")).over(by)
-    seq = F.when(same, F.col("seq")).otherwise(F.raise_error(F.lit("Sequences are not the same length.")))
+    lengths = alignment.groupBy(F.col("network_id").alias("net")).agg(F.min(F.length("seq")).alias("least"), F.max(F.length("seq")).alias("most"))
+    joined = alignment.join(lengths, F.col("network_id").eqNullSafe(F.col("net")))
+    seq = F.when(F.col("least") == F.col("most"), F.col("seq")).otherwise(F.raise_error(F.lit("Sequences are not the same length.")))
     if _datatype(alignment):
         seq = F.when(F.col("datatype") == "aa", F.raise_error(F.lit("Haplotype networks should not be inferred from protein data."))).otherwise(seq)
-    return alignment.withColumn("seq", seq)
+    return joined.withColumn("seq", seq).select(*alignment.columns)
 
 
 def known_taxa(rows: DataFrame, taxa: DataFrame) -> DataFrame:

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import discard, save
+
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again, so that a loop's plan stays short and lost executors cost little."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
-        top = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="haploweave-"))
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place, from 0, within their network in the given order."""
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy("network_id").orderBy(*order)) - 1).cast("long"))
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -78,18 +67,20 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 64) -> D
     Labels take the least label next to them and then, twice, their label's label, so that rounds grow with the
     logarithm of a path's length.
     """
-    links = _cut(endpoints(edges).select("network_id", F.col("vertex").alias("index"), "other").where(F.col("index") != F.col("other")).distinct())
-    labels = _cut(vertices.select("network_id", "index", F.col("index").alias("component")))
+    links = save(endpoints(edges).select("network_id", F.col("vertex").alias("index"), "other").where(F.col("index") != F.col("other")).distinct())
+    labels = save(vertices.select("network_id", "index", F.col("index").alias("component")))
     for _ in range(max_rounds):
         near = links.join(labels.select("network_id", F.col("index").alias("other"), F.col("component").alias("c")), ["network_id", "other"]).groupBy("network_id", "index").agg(F.min("c").alias("c"))
         new = labels.join(near, ["network_id", "index"], "left").select("network_id", "index", F.least("component", F.coalesce("c", "component")).alias("component"))
         for _ in range(2):
             up = new.select("network_id", F.col("index").alias("component"), F.col("component").alias("c"))
             new = new.join(up, ["network_id", "component"]).select("network_id", "index", F.col("c").alias("component"))
-        new = _cut(new)
-        both = new.join(labels.withColumnRenamed("component", "old"), ["network_id", "index"])
+        new = save(new)
+        same = new.join(labels.withColumnRenamed("component", "old"), ["network_id", "index"]).where("component != old").isEmpty()
+        discard(labels)
         labels = new
-        if both.where("component != old").limit(1).count() == 0:
+        if same:
+            discard(links)
             return labels
     raise RuntimeError("components: no end")
 
@@ -100,66 +91,8 @@ def components_at(distances: DataFrame, vertices: DataFrame, threshold: float) -
     return components(vertices, edges)
 
 
-def spanning_edges(vertices: DataFrame, distances: DataFrame, epsilon: float = 0) -> DataFrame:
-    """(network_id, edge_idx, later, earlier, weight): the relaxed minimum spanning network, for networks of any size.
-
-    What plans.msn does in one task, as joins: for each distance t in turn, pairs of t whose ends links shorter than
-    t - epsilon don't connect are links; then pairs of t merge components (of components, so that each round's graph is
-    small). A network ends epsilon after it is connected. Distances are few; their list is the only thing collected.
-    """
-    pairs = _cut(distances.select("network_id", "i", "j", "d"))
-    steps = sorted(r[0] for r in pairs.select("d").distinct().collect())
-    labels = _cut(vertices.select("network_id", "index", F.col("index").alias("component")))
-    history, found = [(float("-inf"), labels)], []
-    whole = labels.groupBy("network_id").agg(F.lit(None).cast("double").alias("w"))  # the distance that connects it
-    for t in steps:
-        now = pairs.where(F.col("d") == t)
-        base = next(x for s, x in reversed(history) if s < t - epsilon)
-        found.append(_ends_in(now, base).where("ci != cj").join(whole.where(F.col("w").isNull() | (F.lit(t) <= F.col("w") + epsilon)), "network_id").select("network_id", "i", "j", "d"))
-        merged = _ends_in(now, labels).where("ci != cj").select("network_id", F.lit(0).alias("index"), F.col("ci").alias("from"), F.col("cj").alias("to"), F.lit(1).alias("weight")).distinct()
-        roots = components(labels.select("network_id", F.col("component").alias("index")).distinct(), merged)
-        labels = _cut(labels.join(roots.select("network_id", F.col("index").alias("component"), F.col("component").alias("root")), ["network_id", "component"]).select("network_id", "index", F.col("root").alias("component")))
-        history.append((t, labels))
-        one = labels.groupBy("network_id").agg((F.count_distinct("component") == 1).alias("one"))
-        whole = _cut(whole.join(one, "network_id").select("network_id", F.when(F.col("w").isNull() & F.col("one"), F.lit(float(t))).otherwise(F.col("w")).alias("w")))
-        if whole.where(F.col("w").isNull() | (F.col("w") + epsilon > t)).limit(1).count() == 0:
-            break
-    out = found[0] if found else pairs.limit(0)
-    for part in found[1:]:
-        out = out.unionByName(part)
-    place = F.row_number().over(Window.partitionBy("network_id").orderBy("d", "i", "j")) - 1
-    return out.select("network_id", place.alias("edge_idx"), F.col("i").alias("later"), F.col("j").alias("earlier"), F.col("d").alias("weight"))
-
-
-def _ends_in(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs with the components of both ends as ci and cj."""
-    out = pairs
-    for end in ("i", "j"):
-        out = out.join(labels.select("network_id", F.col("index").alias(end), F.col("component").alias(f"c{end}")), ["network_id", end])
-    return out
-
-
-def shortest_paths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(network_id, i, j, length): least sums of weights for all reachable ordered pairs, 0 from a vertex to itself.
-
-    Path lengths double in each round (min-plus products), until none gets shorter. Parallel edges count by the least.
-    """
-    ends = endpoints(edges).select("network_id", F.col("vertex").alias("i"), F.col("other").alias("j"), F.col("weight").cast("double").alias("length"))
-    zero = vertices.select("network_id", F.col("index").alias("i"), F.col("index").alias("j"), F.lit(0.0).alias("length"))
-    paths = _cut(ends.unionByName(zero).groupBy("network_id", "i", "j").agg(F.min("length").alias("length")))
-    before = None
-    while True:
-        state = paths.agg(F.count("*"), F.sum("length")).first()
-        if state == before:
-            return paths
-        before = state
-        a = paths.select("network_id", "i", F.col("j").alias("k"), F.col("length").alias("a"))
-        b = paths.select("network_id", F.col("i").alias("k"), "j", F.col("length").alias("b"))
-        paths = _cut(a.join(b, ["network_id", "k"]).groupBy("network_id", "i", "j").agg(F.min(F.col("a") + F.col("b")).alias("length")))
-
-
 def connected(paths: DataFrame, a: int, b: int) -> DataFrame:
-    """(network_id, connected) for two vertices, from shortest_paths()."""
+    """(network_id, connected) for two vertices, from paths.shortest_paths()."""
     return paths.groupBy("network_id").agg(F.max((F.col("i") == a) & (F.col("j") == b)).alias("connected"))
 
 

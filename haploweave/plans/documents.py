@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.states import characters
 from ..operators import alignment as A
 from ..operators import graph as G
+from ..operators import paths
 from ..sources import nexus, project
 from . import build, layout
 from . import queries as Q
@@ -108,7 +109,7 @@ def edge_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def project_json(spark: SparkSession, folder: str) -> DataFrame:
-    haps = Q._haps(spark, folder, Q.FEW).select("network_id", F.col("hap_idx").alias("index"), F.col("name").alias("label"))
+    haps = Q._haps(spark, folder, Q.MORE).select("network_id", F.col("hap_idx").alias("index"), F.col("name").alias("label"))
     return project.project_documents(haps, Q._msn(spark, folder)[1], "MSN")
 
 
@@ -129,7 +130,7 @@ def model_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def network_status(spark: SparkSession, folder: str) -> DataFrame:
-    haps = Q._haps(spark, folder, Q.FEW)
+    haps = Q._haps(spark, folder, Q.MORE)
     return project.status(haps, Q._msn(spark, folder)[1], A.site_mask(Q.dna(spark, folder)))
 
 
@@ -154,10 +155,10 @@ def _checked(algorithm: str) -> Callable[[SparkSession, str], DataFrame]:
         v = build.vertices(found).select("network_id", "index", "hap_idx", "inferred")
         e = build.edges(found)
         d = Q._distances(spark, folder, Q.FEW).withColumn("network_id", F.col("network_id").cast("string"))
-        paths = G.shortest_paths(v, e)
+        lengths = paths.shortest_paths(v, e)
         # Statistical parsimony may join two haplotypes by fewer steps than they differ in, over vertices that others need.
         short = F.lit(False) if algorithm == "TCS" else F.col("length") < F.col("d")
-        pairs = d.join(paths, ["network_id", "i", "j"], "left").groupBy("network_id").agg(F.count_if(F.col("length").isNull()).alias("n_apart"), F.count_if(short).alias("n_short"))
+        pairs = d.join(lengths, ["network_id", "i", "j"], "left").groupBy("network_id").agg(F.count_if(F.col("length").isNull()).alias("n_apart"), F.count_if(short).alias("n_short"))
         thin = G.degrees(v, e).join(v, ["network_id", "index"]).groupBy("network_id").agg(F.count_if(~F.col("inferred")).alias("n_sampled"), F.count_if(F.col("inferred") & (F.col("degree") < (3 if algorithm == "TCS" else 2))).alias("n_thin"))
         bad = e.groupBy("network_id").agg(F.count_if((F.col("weight") < 1) | (F.col("from") == F.col("to"))).alias("n_bad_edges"))
         out = thin.join(pairs, "network_id").join(bad, "network_id")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.states import characters, expand_match, nucleotide_class
 from ..operators import alignment as A
 from ..operators import graph as G
+from ..operators import near, paths
+from ..shared import save
 from . import build, layout
 
 #: Sites of the alignments: few where sequences are to be equal, more where they are to differ.
@@ -22,8 +24,18 @@ FEW, MORE, NETWORK = 6, 16, 8
 
 def _taxa(spark: SparkSession, folder: str) -> DataFrame:
     e = spark.read.parquet(f"{folder}/embeddings.parquet")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return e.select(F.col("label").alias("network_id"), place.alias("taxon_idx"), F.col("vec_id").cast("string").alias("taxon"), "embedding")
+    return _placed_in_label(e).select(F.col("label").alias("network_id"), "taxon_idx", F.col("vec_id").cast("string").alias("taxon"), "embedding")
+
+
+def _placed_in_label(rows: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """rows with taxon_idx: the place by vec_id within the label. Counted within spans of ids, after what lies in lower ones,
+    so that a label of any size is numbered in many tasks."""
+    rows = rows.withColumn("span", F.floor(F.col("vec_id") / span))
+    counts = rows.groupBy(F.col("label").alias("l"), F.col("span").alias("s")).agg(F.count("*").alias("n"))
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy("l").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("label", "span").orderBy("vec_id")) - 1)
+    joined = placed.join(counts.select("l", "s", lower.alias("lower")), F.col("label").eqNullSafe(F.col("l")) & F.col("span").eqNullSafe(F.col("s")))
+    return joined.withColumn("taxon_idx", (F.col("lower") + F.col("place")).cast("int")).drop("span", "l", "s", "lower", "place")
 
 
 def dna(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,10 +65,11 @@ def _distances(spark: SparkSession, folder: str, sites: int = MORE) -> DataFrame
     return A.distances(_condensed(spark, folder, sites), "binary").select("network_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "d")
 
 
-def _msn(spark: SparkSession, folder: str, sites: int = FEW) -> tuple[DataFrame, DataFrame]:
+def _msn(spark: SparkSession, folder: str, sites: int = MORE) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges of the spanning networks."""
-    haps = _haps(spark, folder, sites).select("network_id", F.col("hap_idx").alias("index"))
-    e = build.minimum_spanning_edges(_distances(spark, folder, sites))
+    haps = _haps(spark, folder, sites).select("network_id", F.col("hap_idx").alias("index"), "seq")
+    e = near.spanning_network(haps, kind="binary")
+    haps = haps.drop("seq")
     return haps, e.select("network_id", F.col("edge_idx").cast("int").alias("index"), F.col("later").cast("int").alias("from"), F.col("earlier").cast("int").alias("to"), "weight")
 
 
@@ -142,11 +155,20 @@ def trait_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def msn_edges_eps0(spark: SparkSession, folder: str) -> DataFrame:
-    return build.minimum_spanning_edges(_distances(spark, folder))
+    return near.spanning_network(_sequences(_haps(spark, folder, MORE)), kind="binary")
 
 
 def msn_edges_eps1(spark: SparkSession, folder: str) -> DataFrame:
-    return build.minimum_spanning_edges(_distances(spark, folder, NETWORK), 1)
+    return near.spanning_network(_sequences(_haps(spark, folder, NETWORK)), 1, "binary")
+
+
+def spanning_network(spark: SparkSession, folder: str) -> DataFrame:
+    """Spanning networks of all components as nucleotides."""
+    return near.spanning_network(_sequences(A.condense(dna(spark, folder))))
+
+
+def _sequences(haps: DataFrame) -> DataFrame:
+    return haps.select("network_id", F.col("hap_idx").alias("index"), "seq")
 
 
 def components_at_threshold(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,15 +178,27 @@ def components_at_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return G.shortest_paths(*_msn(spark, folder))
+    return paths.shortest_paths(*_msn(spark, folder)).select("network_id", "i", "j", "length")
+
+
+def path_vias(spark: SparkSession, folder: str) -> DataFrame:
+    """For each pair the vertex that its shortest path goes by, as the triple loop notes it."""
+    return paths.shortest_paths(*_msn(spark, folder)).select("network_id", "i", "j", "via")
+
+
+def path_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The shortest path between every two vertices, edge by edge."""
+    v, e = _msn(spark, folder)
+    e = save(e, "edges")
+    return paths.path_edges(save(paths.shortest_paths(v, e), "paths"), e)
 
 
 def total_excess(spark: SparkSession, folder: str) -> DataFrame:
-    return G.total_excess(G.shortest_paths(*_msn(spark, folder)), _distances(spark, folder, FEW))
+    return G.total_excess(paths.shortest_paths(*_msn(spark, folder)), _distances(spark, folder))
 
 
 def excess_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return G.excess_pairs(G.shortest_paths(*_msn(spark, folder)), _distances(spark, folder, FEW))
+    return G.excess_pairs(paths.shortest_paths(*_msn(spark, folder)), _distances(spark, folder))
 
 
 def shared_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,7 +280,7 @@ def layout_xy(spark: SparkSession, folder: str) -> DataFrame:
     return layout.lay_out(build.with_frequencies(build.vertices(found), haps), build.edges(found))
 
 
-_PLAIN = (alignment_long, match_char_expand, ambiguity_flags, site_mask, masked_sites, mask_apply, condense_haplotypes, site_patterns, pattern_weights, pairwise_distance, haplotype_traits, trait_frequencies, trait_summary, msn_edges_eps0, msn_edges_eps1, components_at_threshold, shortest_paths, total_excess, excess_pairs, shared_edges, vertex_degree, incident_edges, feasible_triplets, remove_vertex, nj_q_matrix, nj_first_pair, pair_buckets, pie_angles, vertex_radius, graph_bounds, nucleotide_classes, layout_xy)
+_PLAIN = (alignment_long, match_char_expand, ambiguity_flags, site_mask, masked_sites, mask_apply, condense_haplotypes, site_patterns, pattern_weights, pairwise_distance, haplotype_traits, trait_frequencies, trait_summary, msn_edges_eps0, msn_edges_eps1, spanning_network, components_at_threshold, shortest_paths, path_vias, path_edges, total_excess, excess_pairs, shared_edges, vertex_degree, incident_edges, feasible_triplets, remove_vertex, nj_q_matrix, nj_first_pair, pair_buckets, pie_angles, vertex_radius, graph_bounds, nucleotide_classes, layout_xy)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"{a.lower()}_edges": _network(a) for a in build.ALGORITHMS}
 
 # ---- the same in SQL
@@ -288,9 +322,12 @@ def _dist(sites: int, amb: str = "('-', '?')") -> str:
 
 
 def _msn_sql(sites: int, epsilon: int) -> str:
+    return f"{_bin(sites)}, {_HAPS}, {_dist(sites)}, {_links(epsilon)}"
+
+
+def _links(epsilon: int) -> str:
     """Minimax distances by closing over thresholds; a pair is linked if none shorter than its own less epsilon joins it."""
-    return f"""{_bin(sites)}, {_HAPS}, {_dist(sites)},
-both_ AS (SELECT network_id, i, j, d FROM d UNION ALL SELECT network_id, j, i, d FROM d),
+    return f"""both_ AS (SELECT network_id, i, j, d FROM d UNION ALL SELECT network_id, j, i, d FROM d),
 ts AS (SELECT DISTINCT network_id, d AS t FROM d),
 r(network_id, t, x, y) AS (SELECT network_id, t, i, i FROM ts JOIN (SELECT DISTINCT network_id, i FROM both_) USING (network_id)
   UNION SELECT r.network_id, r.t, r.x, b.j FROM r JOIN both_ b ON b.network_id = r.network_id AND b.i = r.y AND b.d <= r.t),
@@ -299,7 +336,7 @@ w AS (SELECT network_id, max(b) AS w FROM bn GROUP BY ALL),
 e AS (SELECT d.network_id, d.i AS later, d.j AS earlier, d.d AS weight FROM d JOIN bn USING (network_id, i, j) JOIN w USING (network_id) WHERE bn.b >= d.d - {epsilon} AND d.d <= w.w + {epsilon})"""
 
 
-_MSN = _msn_sql(FEW, 0) + ", ed AS (SELECT network_id, (row_number() OVER (PARTITION BY network_id ORDER BY weight, later, earlier) - 1)::INT AS index, later AS a, earlier AS b, weight FROM e)"
+_MSN = _msn_sql(MORE, 0) + ", ed AS (SELECT network_id, (row_number() OVER (PARTITION BY network_id ORDER BY weight, later, earlier) - 1)::INT AS index, later AS a, earlier AS b, weight FROM e)"
 _EDGES = "SELECT network_id, row_number() OVER (PARTITION BY network_id ORDER BY weight, later, earlier) - 1 AS edge_idx, later::BIGINT AS later, earlier::BIGINT AS earlier, weight FROM e"
 _ENDS = "ends AS (SELECT network_id, a AS vertex, index AS edge, b AS other, weight FROM ed UNION ALL SELECT network_id, b, index, a, weight FROM ed)"
 _EV = """k AS (SELECT event_type AS label, (row_number() OVER (ORDER BY event_type) - 1)::INT AS trait_idx FROM (SELECT DISTINCT event_type FROM events)),
@@ -314,8 +351,23 @@ nn AS (SELECT network_id, count(*) AS n FROM su GROUP BY ALL),
 nq AS (SELECT d.network_id, d.i, d.j, ((nn.n - 2) * d.d - x.s - y.s)::BIGINT AS q FROM d JOIN su x ON x.network_id = d.network_id AND x.a = d.i JOIN su y ON y.network_id = d.network_id AND y.a = d.j JOIN nn ON nn.network_id = d.network_id)"""
 _PLACED = f"{_bin(FEW)}, {_HAPS}, v AS (SELECT h.network_id, hap_idx AS index, e[1]::DOUBLE AS x, e[2]::DOUBLE AS y, 7.5 * sqrt(greatest(4.0 / 9, frequency)) AS radius FROM h JOIN t ON t.network_id = h.network_id AND t.taxon_idx = h.lead)"
 
-_PATHS = f"""sp(network_id, i, j, length) AS (SELECT network_id, hap_idx, hap_idx, 0.0::DOUBLE FROM h
-  UNION SELECT sp.network_id, sp.i, x.other, sp.length + x.weight FROM sp JOIN ends x ON x.network_id = sp.network_id AND x.vertex = sp.j WHERE sp.length + x.weight <= 2 * {FEW})"""
+
+
+def _paths(rounds: int = 9) -> str:
+    """x: least lengths, and of the highest vertices between the ends the lowest, by squaring: paths of 2^rounds edges."""
+    parts = ["""p0 AS MATERIALIZED (SELECT network_id, i, j, min(struct_pack(length := length, via := via)) AS p FROM (
+  SELECT network_id, vertex AS i, other AS j, weight::DOUBLE AS length, -1 AS via FROM ends UNION ALL SELECT network_id, hap_idx, hap_idx, 0, -1 FROM h) GROUP BY ALL)"""]
+    for r in range(rounds):
+        parts.append(f"""p{r + 1} AS MATERIALIZED (SELECT network_id, i, j, min(p) AS p FROM (SELECT * FROM p{r} UNION ALL
+  SELECT a.network_id, a.i, b.j, struct_pack(length := a.p.length + b.p.length, via := greatest(a.p.via, b.p.via, a.j)) FROM p{r} a JOIN p{r} b ON a.network_id = b.network_id AND a.j = b.i) GROUP BY ALL)""")
+    return ", ".join(parts) + f", x AS (SELECT network_id, i, j, p.length AS length, p.via AS via FROM p{rounds})"
+
+
+_PATHS = _paths()
+_PATH_EDGES = """u(network_id, i, j, a, b) AS (SELECT network_id, i, j, i, j FROM x WHERE i <> j
+  UNION ALL SELECT u.network_id, u.i, u.j, CASE k WHEN 0 THEN u.a ELSE x.via END, CASE k WHEN 0 THEN x.via ELSE u.b END
+  FROM u JOIN x ON x.network_id = u.network_id AND x.i = u.a AND x.j = u.b, (VALUES (0), (1)) AS two(k) WHERE x.via >= 0),
+first AS (SELECT network_id, vertex, other, arg_min(edge, (weight, edge)) AS edge FROM ends GROUP BY ALL)"""
 
 SQL: dict[str, str] = {
     "alignment_long": f"WITH {_DNA} SELECT network_id, taxon_idx, site, state FROM s",
@@ -336,11 +388,16 @@ SQL: dict[str, str] = {
     "components_at_threshold": f"""WITH RECURSIVE {_bin(MORE)}, {_HAPS}, {_dist(MORE)}, b AS (SELECT network_id, i, j FROM d WHERE d < 3 UNION ALL SELECT network_id, j, i FROM d WHERE d < 3),
 r(network_id, x, y) AS (SELECT network_id, hap_idx, hap_idx FROM h UNION SELECT r.network_id, r.x, b.j FROM r JOIN b ON b.network_id = r.network_id AND b.i = r.y)
 SELECT network_id, x AS index, min(y) AS component FROM r GROUP BY ALL""",
-    "shortest_paths": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}
-SELECT network_id, i, j, min(length) AS length FROM sp GROUP BY ALL""",
-    "total_excess": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}, x AS (SELECT network_id, i, j, min(length) AS length FROM sp GROUP BY ALL)
+    "shortest_paths": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS} SELECT network_id, i, j, length FROM x""",
+    "path_vias": f"WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS} SELECT network_id, i, j, via FROM x",
+    "path_edges": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}, {_PATH_EDGES}
+SELECT u.network_id, u.i, u.j, (row_number() OVER (PARTITION BY u.network_id, u.i, u.j ORDER BY s.length) - 1)::INT AS step, u.b AS vertex, edge
+FROM u JOIN x ON x.network_id = u.network_id AND x.i = u.a AND x.j = u.b AND x.via < 0 JOIN x s ON s.network_id = u.network_id AND s.i = u.i AND s.j = u.a
+JOIN first ON first.network_id = u.network_id AND first.vertex = u.a AND first.other = u.b""",
+    "spanning_network": f"WITH RECURSIVE {_DNA}, {_HAPS}, {_dist(64, _AMB)}, {_links(0)} {_EDGES}",
+    "total_excess": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}
 SELECT network_id, sum(length - d) AS excess FROM x JOIN d USING (network_id, i, j) GROUP BY ALL""",
-    "excess_pairs": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}, x AS (SELECT network_id, i, j, min(length) AS length FROM sp GROUP BY ALL)
+    "excess_pairs": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}
 SELECT network_id, i, j, length - d AS excess, (row_number() OVER (PARTITION BY network_id ORDER BY length - d, i, j) - 1)::INT AS place FROM x JOIN d USING (network_id, i, j) WHERE length > d""",
     "shared_edges": f"WITH RECURSIVE {_MSN} SELECT network_id, least(a, b) AS a, greatest(a, b) AS b, min(index) AS edge FROM ed WHERE a <> b GROUP BY ALL",
     "vertex_degree": f"WITH RECURSIVE {_MSN}, {_ENDS} SELECT h.network_id, hap_idx AS index, count(DISTINCT edge) AS degree FROM h LEFT JOIN ends ON ends.network_id = h.network_id AND ends.vertex = h.hap_idx GROUP BY ALL",

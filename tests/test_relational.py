@@ -1,7 +1,9 @@
 """The DataFrame steps on small inputs, and all queries with SQL against it."""
 
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from haploweave.functions.palette import TABLEAU10, assigned, shade, trait_colou
 from haploweave.functions.states import coordinate, datatype, expand_match
 from haploweave.operators import alignment as A
 from haploweave.operators import graph as G
+from haploweave.operators import near, paths
 from haploweave.plans import build, layout
+from haploweave.plans.msn import spanning_links
 
 DATA = "/root/testdata/sf0.001"
 
@@ -67,8 +71,8 @@ def graph(spark, edges, n):
 
 def test_graph(spark):
     v, e = graph(spark, [(0, 1, 2), (1, 2, 3)], 4)
-    paths = {(r.i, r.j): r.length for r in G.shortest_paths(v, e).collect()}
-    assert paths[0, 2] == 5 and (0, 3) not in paths
+    lengths = {(r.i, r.j): r.length for r in paths.shortest_paths(v, e).collect()}
+    assert lengths[0, 2] == 5 and (0, 3) not in lengths
     assert {r["index"]: r.component for r in G.components(v, e).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
     nv, ne = G.remove_vertices(v, e, v.where("index = 1"))
     assert nv.count() == 3 and ne.count() == 0
@@ -140,12 +144,12 @@ def test_queries_against_sql(spark, module, name):
 def test_excess_and_shared_edges(spark):
     v, e = graph(spark, [(0, 1, 2), (1, 2, 3), (2, 1, 9)], 3)
     d = spark.createDataFrame([("g", 1, 0, 2), ("g", 2, 0, 1), ("g", 2, 1, 3)], "network_id string, i int, j int, d int")
-    paths = G.shortest_paths(v, e)
-    assert G.total_excess(paths, d).first().excess == 4
-    assert [tuple(r) for r in G.excess_pairs(paths, d).collect()] == [("g", 2, 0, 4.0, 0)]
+    found = paths.shortest_paths(v, e)
+    assert G.total_excess(found, d).first().excess == 4
+    assert [tuple(r) for r in G.excess_pairs(found, d).collect()] == [("g", 2, 0, 4.0, 0)]
     assert sorted((r.a, r.b, r.edge) for r in G.shared_edges(e).collect()) == [(0, 1, 0), (1, 2, 1)]
     with pytest.raises(Exception, match="shorter than allowed"):
-        G.total_excess(paths, d.withColumn("d", F.lit(99))).collect()
+        G.total_excess(found, d.withColumn("d", F.lit(99))).collect()
 
 
 def test_known_taxa(spark):
@@ -156,13 +160,87 @@ def test_known_taxa(spark):
         A.known_taxa(good.withColumn("taxon", F.lit("q")), taxa).collect()
 
 
-@pytest.mark.parametrize("epsilon", [0, 1])
-def test_spanning_as_joins(spark, epsilon):
-    import random
+def grown(rng, n, sites, edits, states="ACGT"):
+    """Different sequences, each an earlier one with a few edits."""
+    found = ["".join(rng.choice("ACGT") for _ in range(sites))]
+    while len(found) < n:
+        letters = list(rng.choice(found))
+        for _ in range(rng.randint(1, edits)):
+            letters[rng.randrange(sites)] = rng.choice(states)
+        if "".join(letters) not in found:
+            found.append("".join(letters))
+    return found
+
+
+def differ(x, y):
+    return sum(a != b and a not in "-N?" and b not in "-N?" for a, b in zip(x, y, strict=True))
 
+
+@pytest.mark.parametrize("epsilon", [0, 1])
+def test_spanning_network(spark, epsilon):
+    """Equal to the bottleneck formula over all pairs: unknown states, far groups, single haplotypes, ties."""
     rng = random.Random(epsilon)
-    d = [(net, i, j, rng.randint(1, 3)) for net, n in (("p", 7), ("q", 4)) for i in range(n) for j in range(i)]
-    v = [("p", i) for i in range(7)] + [("q", i) for i in range(4)]
-    pairs, vertices = spark.createDataFrame(d, "network_id string, i int, j int, d int"), spark.createDataFrame(v, "network_id string, index int")
-    want = sorted(map(tuple, build.minimum_spanning_edges(pairs, epsilon).collect()))
-    assert sorted(map(tuple, G.spanning_edges(vertices, pairs, epsilon).collect())) == want
+    nets = {"p": grown(rng, 40, 20, 2), "q": grown(rng, 25, 20, 3, "ACGTN-"), "r": grown(rng, 6, 70, 1) + grown(rng, 5, 70, 2), "s": ["ACGT"], "t": ["AAAA", "CCCC"]}
+    table = spark.createDataFrame([(n, i, q) for n, v in nets.items() for i, q in enumerate(v)], "network_id string, index int, seq string")
+    want = sorted((n, k, *link) for n, v in nets.items() for k, link in enumerate(spanning_links(np.array([[differ(x, y) for y in v] for x in v]), epsilon)))
+    assert sorted(map(tuple, near.spanning_network(table.repartition(3), epsilon).collect())) == want
+    assert near.spanning_network(table.limit(0)).count() == 0
+    with pytest.raises(Exception, match="no code: Z"):
+        near.spanning_network(table.withColumn("seq", F.concat("seq", F.lit("Z")))).count()
+
+
+def test_packed_difference(spark):
+    rng = random.Random(7)
+    pairs = [("".join(rng.choice("ACGTUN-RY") for _ in range(n)), "".join(rng.choice("ACGTUN-RY") for _ in range(n))) for n in (0, 1, 59, 60, 61, 150) for _ in range(8)]
+    table = spark.createDataFrame(pairs, "x string, y string")
+    got = table.select("x", "y", near.difference(near.packed(F.col("x")), near.packed(F.col("y"))).alias("d")).collect()
+    assert all(r.d == sum(a != b and a in "ACGTU" and b in "ACGTU" for a, b in zip(r.x, r.y, strict=True)) for r in got)
+
+
+def test_near_pairs_none_missed(spark):
+    """The index of every radius finds what looking at all pairs finds, and nothing else."""
+    rng = random.Random(5)
+    seqs = grown(rng, 60, 24, 4)
+    table = spark.createDataFrame([("n", i, q) for i, q in enumerate(seqs)], "network_id string, index int, seq string")
+    sides = near.prepared(table).withColumns({"component": F.col("index"), "outer": F.col("index") != 3}).cache()
+    for low, high in ((-1, 1), (0, 2), (2, 4), (3, 7), (0, 24)):
+        want = sorted(("n", i, j, d) for i in range(60) for j in range(i) if low < (d := differ(seqs[i], seqs[j])) <= high)
+        assert sorted(map(tuple, near.near_pairs(sides, low, high).collect())) == want
+
+
+def test_paths_of_many_tiles(spark):
+    """Lengths, vias and paths against the triple loop: tiles of 4, parallel and weightless edges, parts, two networks."""
+    rng = random.Random(6)
+    nets = {"a": (23, [(rng.randrange(20), rng.randrange(20), rng.randint(0, 4)) for _ in range(34)]), "b": (9, [(i, i + 1, 1) for i in range(8)])}
+    v = spark.createDataFrame([(n, i) for n, (k, _) in nets.items() for i in range(k)], "network_id string, index int")
+    e = spark.createDataFrame([(n, k, *x) for n, (_, edges) in nets.items() for k, x in enumerate(edges)], "network_id string, index int, from int, to int, weight int")
+    found = paths.shortest_paths(v, e, tile=4).cache()
+    got = {(r.network_id, r.i, r.j): (r.length, r.via) for r in found.collect()}
+    want, ways = {}, {}
+    for net, (n, edges) in nets.items():
+        length, via = [[0 if i == j else float("inf") for j in range(n)] for i in range(n)], [[-1] * n for _ in range(n)]
+        for a, b, w in edges:
+            length[a][b] = length[b][a] = min(length[a][b], w)
+        for k in range(n):
+            for i in range(n):
+                for j in range(n):
+                    if length[i][k] + length[k][j] < length[i][j]:
+                        length[i][j], via[i][j] = length[i][k] + length[k][j], k
+
+        def way(i, j, via=via):
+            return [j] if via[i][j] < 0 else way(i, via[i][j]) + way(via[i][j], j)
+
+        for i in range(n):
+            for j in range(n):
+                if length[i][j] < float("inf"):
+                    want[net, i, j] = (length[i][j], via[i][j])
+                    if i != j:
+                        ways[net, i, j] = way(i, j)
+    assert got == want
+    rows = {}
+    for r in paths.path_edges(found, e).collect():
+        rows.setdefault((r.network_id, r.i, r.j), []).append((r.step, r.vertex, r.edge))
+    assert {k: [x for _, x, _ in sorted(p)] for k, p in rows.items()} == ways
+    for (net, i, j), p in rows.items():
+        assert [s for s, _, _ in sorted(p)] == list(range(len(p)))
+        assert sum(nets[net][1][x][2] for _, _, x in p) == want[net, i, j][0]
