@@ -123,7 +123,7 @@ def spanning_network(haplotypes: DataFrame, epsilon: float = 0, kind: str = "dna
     out = links[0] if links else sides.select("network_id", F.col("index").alias("i"), F.col("index").alias("j"), F.lit(0).alias("d")).limit(0)
     for part in links[1:]:
         out = out.unionByName(part)
-    return numbered(out, ["d", "i", "j"], "edge_idx").select("network_id", "edge_idx", F.col("i").alias("later"), F.col("j").alias("earlier"), F.col("d").cast("long").alias("weight"))
+    return numbered(out, ["d", "i", "j"], "edge_idx").select("network_id", "edge_idx", F.col("i").cast("long").alias("later"), F.col("j").cast("long").alias("earlier"), F.col("d").cast("long").alias("weight"))
 
 
 def _whole(labels: DataFrame, before: DataFrame | None, t: float) -> DataFrame:

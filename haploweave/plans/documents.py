@@ -97,7 +97,7 @@ def match_chars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
-    haps = Q._haps(spark, folder, Q.FEW).select("network_id", F.col("hap_idx").alias("k"), "name")
+    haps = Q._haps(spark, folder, Q.MORE).select("network_id", F.col("hap_idx").alias("k"), "name")
     e = Q._msn(spark, folder)[1]
     e = e.join(haps.select("network_id", F.col("k").alias("from"), F.col("name").alias("from_label")), ["network_id", "from"])
     e = e.join(haps.select("network_id", F.col("k").alias("to"), F.col("name").alias("to_label")), ["network_id", "to"])
