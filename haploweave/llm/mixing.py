@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from .common import WORD, discard, join_checked, prepare, save
 
 #: By code point of the source, repeating; the share of all words that the mix takes; how often a document may be taken.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Units of a block of the flight phase.
-BLOCK = 4096
+#: Units of a block of the flight phase; the share of its words, as 1 / HEAVY, beyond which a unit is decided first.
+BLOCK, HEAVY = 4096, 256
+#: Units that are landed at once, besides what the flight leaves; how near to their expectation, as a share of it.
+LANDING, NEAR = 10, 0.001
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -34,13 +37,50 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def _weighty(pi: np.ndarray, size: np.ndarray, rng: random.Random) -> None:
+    """Decide, in place and from the largest on, units of more than 1 / HEAVY of the open units' words, all others that are
+    open giving way: a unit that outweighs the others would outlive a flight in threes and be left to the landing.
+
+    A move is 1 for the unit and the same for all others, by which they take back its words: it keeps the sum of
+    pi * size and gives up that of pi, which the flight of the others keeps again. It ends where a unit is decided. It is
+    fair wherever the others can give way to both decisions.
+    """
+    heavy = np.flatnonzero((pi > 0) & (pi < 1) & (size > size[(pi > 0) & (pi < 1)].sum() / HEAVY))
+    for k in heavy[np.argsort(-size[heavy], kind="stable")]:
+        while 0 < pi[k] < 1:
+            rest = np.flatnonzero((pi > 0) & (pi < 1) & (size > 0) & (np.arange(len(pi)) != k))
+            s = size[rest]
+            if len(rest) < 2:
+                return
+            u = np.full(len(s), -size[k] / s.sum())
+            idx, way = np.append(rest, k), np.append(u, 1.0)
+            x = pi[idx]
+            up, down = (np.where(way * sign > 0, 1 - x, x) / np.abs(way) for sign in (1, -1))
+            up, down = float(up.min()), float(down.min())
+            # Where the others can give way in one direction only, that one is taken.
+            can = up >= 1 - pi[k] - 1e-12, down >= pi[k] - 1e-12
+            rises = can[0] if can[0] != can[1] else rng.random() * (up + down) < down
+            x = x + (up if rises else -down) * way
+            pi[idx] = np.where(x < 1e-9, 0.0, np.where(x > 1 - 1e-9, 1.0, x))
+
+
 def flight(pi: list[float], size: list[float], rng: random.Random, land: bool) -> list[float]:
     """Flight phase of the cube method on (1, size): moves in the constraints' null space until at most two units stay
-    between 0 and 1; with land, these are decided too: first balanced on size alone, then alone.
+    between 0 and 1. With land, the last LANDING units (the smallest, as units come by falling size) don't fly: they and
+    what the flight leaves are landed.
 
-    Every move keeps the sums of pi and of pi * size and is fair: the expectation of each unit stays its probability.
+    Units that outweigh the others are decided first. Every move of the flight keeps the sum of pi * size and is fair: the
+    expectation of each unit stays its probability, but for units that the others can't make up for and for the few that
+    are landed: see _weighty(), _landed().
     """
-    out, open_ = list(pi), []
+    whole, sizes = np.array(pi, dtype=np.float64), np.array(size, dtype=np.float64)
+    flying = np.ones(len(whole), dtype=bool)
+    if land:
+        flying[np.flatnonzero((whole > 0) & (whole < 1) & (sizes > 0))[-LANDING:]] = False
+    part = whole[flying]
+    _weighty(part, sizes[flying], rng)
+    whole[flying] = part
+    out, open_ = whole.tolist(), []
 
     def move(idx: list[int], u: list[float]) -> None:
         up = down = float("inf")
@@ -55,22 +95,32 @@ def flight(pi: list[float], size: list[float], rng: random.Random, land: bool) -
             out[i] = 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
 
     for k in range(len(out)):
-        if 0.0 < out[k] < 1.0:
+        if flying[k] and 0.0 < out[k] < 1.0:
             open_.append(k)
         if len(open_) == 3:
             a, b, c = (size[i] for i in open_)
             move(open_, [b - c, c - a, a - b] if not a == b == c else [1.0, -1.0, 0.0])
             open_ = [i for i in open_ if 0.0 < out[i] < 1.0]
     if land:
-        if len(open_) == 2:
-            a, b = (size[i] for i in open_)
-            move(open_, [b, -a] if a > 0 and b > 0 else [1.0, -1.0])
-            open_ = [i for i in open_ if 0.0 < out[i] < 1.0]
-        for i in open_:
-            out[i] = 1.0 if rng.random() < out[i] else 0.0
+        last = [k for k in range(len(out)) if 0.0 < out[k] < 1.0]
+        for k, x in zip(last, _landed([out[k] for k in last], [size[k] for k in last], rng), strict=True):
+            out[k] = x
     return out
 
 
+def _landed(pi: list[float], size: list[float], rng: random.Random) -> list[float]:
+    """The landing problem of a few units: of all ways to decide them, one drawn from those whose words are nearest to their
+    expectation (within NEAR of it), and of these whose number is."""
+    if not pi:
+        return []
+    ways = (np.arange(1 << len(pi))[:, None] >> np.arange(len(pi)) & 1).astype(np.float64)
+    words = np.abs(ways @ np.array(size) - np.dot(pi, size))
+    near = np.flatnonzero(words <= max(words.min(), NEAR * np.dot(pi, size)))
+    number = np.abs(ways[near].sum(1) - sum(pi))
+    near = near[number <= number.min() + 1e-9]
+    return ways[near[rng.randrange(len(near))]].tolist()
+
+
 def _fly(seed: int, level: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("hash", "ascending"), ("nth", "ascending")])
@@ -95,8 +145,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     size: words of the whole text (null: 0). A source takes target / source_size of each document: the whole part for
     all, the rest by balanced sampling, so that words and documents of the sample meet their expectations up to a landing
-    problem of two units per source, drawn once: every unit keeps its probability. The flight takes units by falling size, so that these two are
-    among the smallest. taken = copies * size. Reruns agree: the draws hang on the rows, not on their places.
+    problem of about LANDING of its smallest units per source. Units that outweigh the others are decided first, all
+    others giving way, and every unit that flies keeps its probability; the landing takes the way nearest to the words
+    that are left, so that a source of LANDING documents or fewer is landed alone. taken = copies * size. Reruns agree: the draws hang on the rows, not on their places.
     Null sources are one source, the last. Sources without words take nothing. Repeated rows are units of their own (nth).
     An empty table gives an empty table. Blocks of about BLOCK units fly apart, a hot source in many; what they leave
     open (two units each) flies again, in as many rounds as the logarithm of the size to the base BLOCK / 2 asks for.

@@ -179,6 +179,22 @@ def test_mixing(spark):
     assert mixing.apply_mix(df).count() == sum(r.copies for r in out)
 
 
+def test_flight_of_a_dominant_unit():
+    """One document of a quarter of the words, among many and few others: sums stay near, it keeps its chance."""
+    rng = random.Random(21)
+    for heavy, n, most in ((0.25, 300, 0.004), (0.25, 40, 0.004), (0.25, 14, 0.01)):
+        small = [float(rng.randint(1, 400)) for _ in range(n)]
+        size = [heavy / (1 - heavy) * sum(small), *sorted(small, reverse=True)]
+        pi, errors, taken = [0.37] * len(size), [], 0
+        for seed in range(300):
+            out = mixing.flight(pi, size, random.Random(seed), True)
+            assert set(out) <= {0.0, 1.0}
+            errors.append(abs(sum(x * s for x, s in zip(out, size, strict=True)) / (0.37 * sum(size)) - 1))
+            taken += out[0]
+        assert sum(errors[:60]) / 60 < most, (heavy, n, sum(errors[:60]) / 60)
+        assert n < 40 or abs(taken / 300 - 0.37) < 0.1
+
+
 def test_flight_balances():
     rng = random.Random(0)
     size = [float(rng.randint(1, 100)) for _ in range(2000)]
