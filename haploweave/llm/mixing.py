@@ -69,7 +69,7 @@ def flight(pi: list[float], size: list[float], rng: random.Random, land: bool) -
     between 0 and 1. With land, the last LANDING units (the smallest, as units come by falling size) don't fly: they and
     what the flight leaves are landed.
 
-    Units that outweigh the others are decided first. Every move of the flight keeps the sum of pi * size and is fair: the
+    With land, units that outweigh the others are decided first. Every move keeps the sum of pi * size and is fair: the
     expectation of each unit stays its probability, but for units that the others can't make up for and for the few that
     are landed: see _weighty(), _landed().
     """
@@ -77,9 +77,9 @@ def flight(pi: list[float], size: list[float], rng: random.Random, land: bool) -
     flying = np.ones(len(whole), dtype=bool)
     if land:
         flying[np.flatnonzero((whole > 0) & (whole < 1) & (sizes > 0))[-LANDING:]] = False
-    part = whole[flying]
-    _weighty(part, sizes[flying], rng)
-    whole[flying] = part
+        part = whole[flying]
+        _weighty(part, sizes[flying], rng)
+        whole[flying] = part
     out, open_ = whole.tolist(), []
 
     def move(idx: list[int], u: list[float]) -> None:
@@ -145,8 +145,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     size: words of the whole text (null: 0). A source takes target / source_size of each document: the whole part for
     all, the rest by balanced sampling, so that words and documents of the sample meet their expectations up to a landing
-    problem of about LANDING of its smallest units per source. Units that outweigh the others are decided first, all
-    others giving way, and every unit that flies keeps its probability; the landing takes the way nearest to the words
+    problem of about LANDING of its smallest units per source. In the last flight, units that outweigh the others are
+    decided first, all others giving way, and every unit that flies keeps its probability; the landing takes the way nearest to the words
     that are left, so that a source of LANDING documents or fewer is landed alone. taken = copies * size. Reruns agree: the draws hang on the rows, not on their places.
     Null sources are one source, the last. Sources without words take nothing. Repeated rows are units of their own (nth).
     An empty table gives an empty table. Blocks of about BLOCK units fly apart, a hot source in many; what they leave
