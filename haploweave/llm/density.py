@@ -28,7 +28,7 @@ _SKIP = frozenset(("head", "script", "style", "noscript", "template", "iframe",
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"))
 #: Words of class and id that mostly name what stands around an article: texts of their own, and lists of links. They only
 #: weigh: see measure() and select().
-_TEXTS = frozenset("ad ads advert adverts advertisement advertising adsense banner comment comments commentlist disqus cookie cookies consent gdpr footer masthead newsletter notice notices popup modal promo respond replies sidebar sponsor sponsored subscribe".split())
+_TEXTS = frozenset("ad ads advert adverts advertisement advertising adsense banner comment comments commentlist discussion discussions disqus cookie cookies consent gdpr footer masthead newsletter notice notices popup modal promo respond replies sidebar sponsor sponsored subscribe".split())
 _LISTS = frozenset("breadcrumb breadcrumbs header menu nav navbar navigation related share sharing social toolbar widget widgets".split())
 #: Words that may stand beside one of these in a name, as in comment-list or site_footer.
 _BESIDE = frozenset("area articles bar block body bottom box buttons container content form global icons inner item items law left level links list main message page policy posts right section signup site slot stories thread top unit wrap wrapper".split())
@@ -145,6 +145,8 @@ def parse(source: str) -> Node:
                 open_.leave(min(inside))
         here = open_.stack[-1]
         node = Node(name, here, *_around(name, m[3]))
+        if name == "header" and open_.last("article"):
+            node.skip = False  # that of the article: see _settle()
         here.children.append(node)
         if name in _RAW:
             close = _ends(name).search(source, at)
@@ -170,6 +172,71 @@ def _order(root: Node) -> list[Node]:
     return found
 
 
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_STRUCTURE = _HEADINGS | frozenset(("article", "main", "header", "footer", "nav", "aside", "section"))
+
+
+def _within(node: Node) -> tuple[int, set[str]]:
+    """Characters of a subtree without what is skipped below its top, and the names of all elements in it."""
+    chars, names, todo = 0, set(), [(node, True)]
+    while todo:
+        x, counts = todo.pop()
+        for y in x.children:
+            if isinstance(y, Node):
+                names.add(y.name)
+                todo.append((y, counts and not y.skip))
+            elif counts:
+                chars += len(y.strip())
+    return chars, names
+
+
+def _settle(root: Node) -> None:
+    """Decide on what its name alone doesn't: an article's header is part of it if it holds a heading; a form that holds most
+    of the page and its structure, or all of its text and paragraphs, is the page's wrapper, of which the fields go."""
+    todo, forms, headers = [root], [], []
+    while todo:
+        x = todo.pop()
+        if x.name == "form" and x.skip:
+            forms.append(x)
+            continue
+        if x.name == "header" and not x.skip:
+            headers.append(x)
+            continue
+        todo.extend(y for y in x.children if isinstance(y, Node) and (not y.skip or y.name == "form"))
+    for x in headers:
+        x.skip = not _within(x)[1] & _HEADINGS
+    if forms:
+        outside = _within(root)[0]
+        for x in forms:
+            chars, names = _within(x)
+            x.skip = not (chars > outside and (names & _STRUCTURE or not outside and "p" in names))
+
+
+def _scope(nodes: list[Node]) -> list[Node]:
+    """The nodes among which the main text is looked for: those of the only main element, then of the only article that
+    holds a heading of the first rank. Without such, the body's."""
+    nodes = nodes[next((k for k, x in enumerate(nodes) if x.name == "body"), 0) :]
+    for name in ("main", "article"):
+        tops = [x for x in _outermost(nodes[0], name) if x.weight == 1.0 and x.chars and (name == "main" or "h1" in _within(x)[1])]
+        if len(tops) == 1:
+            nodes = _order(tops[0])
+    return nodes
+
+
+def _outermost(top: Node, name: str) -> list[Node]:
+    """The elements of a name within top that aren't skipped and don't lie in another such."""
+    found, todo = [], [x for x in top.children if isinstance(x, Node)]
+    while todo:
+        x = todo.pop()
+        if x.skip:
+            continue
+        if x.name == name:
+            found.append(x)
+        else:
+            todo.extend(y for y in x.children if isinstance(y, Node))
+    return found
+
+
 def measure(root: Node) -> list[Node]:
     """Set density and total of every node that isn't skipped. Density: characters per tag, lowered by the share of links.
 
@@ -202,14 +269,14 @@ def measure(root: Node) -> list[Node]:
 
 
 def select(root: Node) -> Node:
-    """The node with the largest total; then up while the parent holds nothing thinner than the body path allows.
+    """The node with the largest total of those in _scope(); then up while the parent holds nothing thinner than the body path allows.
 
     The threshold is the least density on the path from the body to that node. An article or main element around the
     node is the whole article. The first such node wins ties. Of what class or id names within it, texts are left out, and
     lists that are thinner than the threshold or mostly links, unless that would be half of it or more.
     """
-    nodes = measure(root)
-    nodes = nodes[next((k for k, x in enumerate(nodes) if x.name == "body"), 0) :]
+    _settle(root)
+    nodes = _scope(measure(root))
     best = max(nodes, key=lambda x: x.total)
     if not best.total:
         best = max(nodes, key=lambda x: (x.chars > 0, x.density))

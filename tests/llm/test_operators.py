@@ -759,6 +759,28 @@ def test_density_keeps_article_parts():
     assert density.extract(page).split("\n") == [a, b, c, d]
 
 
+def test_density_forms_headers_comments():
+    """A form around the whole page; an article's own header; reader comments that outweigh the article; a plain form."""
+    para = "Some words of an article that go on for a while, with a comma and a full stop. " * 4
+    line = para.strip()
+    assert density.extract(f"<body><form action=x><input><div><h1>Head</h1><p>{para}</p></div><button>Send</button></form></body>") == f"Head\n{line}"
+    assert density.extract(f"<body><form><div><p>{para}</p><p>{para}</p></div><select><option>a</select></form>") == f"{line}\n{line}"
+    assert density.extract(f"<body><article><header><h1>Head</h1></header><p>{para}</p></article><header><h1>Site</h1></header>") == f"Head\n{line}"
+    assert density.extract(f"<body><article><header><a href=x>menu</a></header><h1>Head</h1><p>{para}</p></article>") == f"Head\n{line}"
+    said = "".join(f"<div><p>{para * 3}</p></div>" for _ in range(9))
+    assert density.extract(f"<body><article><h1>Head</h1><p>{para}</p></article><div id='discussion'>{said}</div>") == f"Head\n{line}"
+    assert density.extract(f"<body><article><h1>Head</h1><p>{para}</p></article><div id='x7'>{said}</div>") == f"Head\n{line}"
+    assert density.extract(f"<body><div><h1>Head</h1><p>{para}</p></div><form><p>{para * 9}</p></form>") == f"Head\n{line}"
+    assert density.extract(f"<body><main><div><p>{para}</p></div></main><div>{said}</div>") == line
+
+
+def test_density_of_a_long_page():
+    """A page of some MB: whole, and in time that grows with its length."""
+    para = "Words of a long page, one after the other. "
+    page = f"<body><nav>{'<a href=x>menu</a>' * 500}</nav><article><h1>Head</h1>{f'<p>{para}</p>' * 60_000}</article>"
+    assert density.extract(page).count("\n") == 60_000
+
+
 def test_density_is_linear():
     import time
 
