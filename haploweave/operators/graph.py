@@ -61,6 +61,55 @@ def remove_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame) -> t
     return numbered.drop("index").withColumnRenamed("new", "index").select(*vertices.columns), renumber(out, ["index"])
 
 
+def peel(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without the vertices that have not keep and fewer than two edges, and the edges at them, again and again.
+
+    vertices(network_id, index, keep, ...). Indices stay as they are.
+    """
+    while True:
+        few = degrees(vertices, edges).where("degree < 2").select("network_id", "index")
+        gone = save(vertices.where("not keep").join(few, ["network_id", "index"], "left_semi").select("network_id", "index"), "leaves")
+        if gone.isEmpty():
+            return vertices, edges
+        vertices = save(vertices.join(gone, ["network_id", "index"], "left_anti"), "vertices")
+        for end in ("from", "to"):
+            edges = edges.join(gone.withColumnRenamed("index", end), ["network_id", end], "left_anti")
+        edges = save(edges.select("network_id", "index", "from", "to", "weight"), "edges")
+
+
+def contract(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(network_id, from, to, weight, first, last, n_edges): edges after vertices that have not keep and exactly two edges are
+    taken out and their edges joined, weights summed.
+
+    vertices(network_id, index, keep). Each edge is taken in both directions; one that leads to such a vertex goes on by the
+    other edge there, and what it reaches doubles in each round. first, last: the edges at from and to; first <= last. A
+    ring of such vertices alone has no end and is left out; one that leads back to where it began is an edge from a vertex
+    to itself.
+    """
+    one = edges.select("network_id", F.col("index").alias("first"), F.lit(0).alias("way"), F.col("from").alias("a"), F.col("to").alias("b"), "weight")
+    two = edges.select("network_id", F.col("index").alias("first"), F.lit(1).alias("way"), F.col("to").alias("a"), F.col("from").alias("b"), "weight")
+    half = one.unionByName(two)
+    inner = half.groupBy("network_id", "a").agg(F.count("*").alias("n")).where("n = 2").select("network_id", F.col("a").alias("index"))
+    inner = save(inner.join(vertices.where("not keep").select("network_id", "index"), ["network_id", "index"], "left_semi"), "inner")
+    mark = lambda df, c, name: df.join(inner.select("network_id", F.col("index").alias(c), F.lit(True).alias(name)), ["network_id", c], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    half = mark(mark(half, "a", "from_inner"), "b", "open")
+    reach = half.select("network_id", "first", "way", "a", "from_inner", F.col("first").alias("last"), F.col("way").alias("last_way"), F.col("b").alias("end"), F.col("weight").cast("double").alias("weight"), F.lit(1).cast("long").alias("n_edges"), "open")
+    # The half-edge that goes on from the end of another: it begins there and isn't the same edge turned round.
+    ahead = half.where("open").select("network_id", F.col("b").alias("at"), F.col("first").alias("last"), F.col("way").alias("last_way"))
+    onward = ahead.join(half.select("network_id", F.col("a").alias("at"), F.col("first").alias("next"), F.col("way").alias("next_way")), ["network_id", "at"])
+    onward = onward.where("not (last = next and last_way != next_way)").select("network_id", "last", "last_way", "next", "next_way")
+    reach = save(reach.join(onward, ["network_id", "last", "last_way"], "left"), "reach")
+    while not reach.where("open and not from_inner").isEmpty():
+        more = reach.select("network_id", F.col("first").alias("next"), F.col("way").alias("next_way"), F.col("last").alias("l2"), F.col("last_way").alias("lw2"), F.col("end").alias("e2"), F.col("weight").alias("w2"), F.col("n_edges").alias("n2"), F.col("open").alias("o2"), F.col("next").alias("nn"), F.col("next_way").alias("nw"))
+        moved_ = reach.where("open").join(more, ["network_id", "next", "next_way"])
+        moved_ = moved_.select("network_id", "first", "way", "a", "from_inner", F.col("l2").alias("last"), F.col("lw2").alias("last_way"), F.col("e2").alias("end"), (F.col("weight") + F.col("w2")).alias("weight"), (F.col("n_edges") + F.col("n2")).alias("n_edges"), F.col("o2").alias("open"), F.col("nn").alias("next"), F.col("nw").alias("next_way"))
+        new = save(reach.where("not open").select(*moved_.columns).unionByName(moved_), "reach")
+        discard(reach)
+        reach = new
+    whole = reach.where("not open and not from_inner and (first < last or first = last and way = 0)")
+    return whole.select("network_id", F.col("a").alias("from"), F.col("end").alias("to"), "weight", "first", "last", "n_edges")
+
+
 def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(network_id, index, component): the least vertex index reachable.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.states import characters, expand_match, nucleotide_class
 from ..operators import alignment as A
 from ..operators import graph as G
-from ..operators import near, paths
+from ..operators import medians, near, paths
 from ..shared import save
 from . import build, layout
 
@@ -193,6 +193,30 @@ def path_edges(spark: SparkSession, folder: str) -> DataFrame:
     return paths.path_edges(save(paths.shortest_paths(v, e), "paths"), e)
 
 
+def _visits(spark: SparkSession, folder: str, kept: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Events as vertices, each linked to its user's one before by as much as their ids differ."""
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    one = F.lit("events").alias("network_id")
+    before = e.select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("before")).where("before is not null")
+    edges = before.select(one, F.col("event_id").alias("index"), F.col("before").alias("from"), F.col("event_id").alias("to"), (F.col("event_id") - F.col("before")).alias("weight"))
+    return e.select(one, F.col("event_id").alias("index"), kept.alias("keep")), edges
+
+
+def contracted_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' events with those between two others taken out, but for purchases."""
+    return G.contract(*_visits(spark, folder, F.col("event_type") == "purchase"))
+
+
+def peeled_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that stay when clicks at the ends of users' chains go, again and again."""
+    return G.peel(*_visits(spark, folder, F.col("event_type") != "click"))[0].select("network_id", "index")
+
+
+def median_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Condensed sequences of the median-joining networks, sampled and inferred."""
+    return medians.median_joining(_condensed(spark, folder, FEW), kind="binary")[0].select("network_id", "pattern_seq", "inferred")
+
+
 def total_excess(spark: SparkSession, folder: str) -> DataFrame:
     return G.total_excess(paths.shortest_paths(*_msn(spark, folder)), _distances(spark, folder))
 
@@ -280,7 +304,7 @@ def layout_xy(spark: SparkSession, folder: str) -> DataFrame:
     return layout.lay_out(build.with_frequencies(build.vertices(found), haps), build.edges(found))
 
 
-_PLAIN = (alignment_long, match_char_expand, ambiguity_flags, site_mask, masked_sites, mask_apply, condense_haplotypes, site_patterns, pattern_weights, pairwise_distance, haplotype_traits, trait_frequencies, trait_summary, msn_edges_eps0, msn_edges_eps1, spanning_network, components_at_threshold, shortest_paths, path_vias, path_edges, total_excess, excess_pairs, shared_edges, vertex_degree, incident_edges, feasible_triplets, remove_vertex, nj_q_matrix, nj_first_pair, pair_buckets, pie_angles, vertex_radius, graph_bounds, nucleotide_classes, layout_xy)
+_PLAIN = (alignment_long, match_char_expand, ambiguity_flags, site_mask, masked_sites, mask_apply, condense_haplotypes, site_patterns, pattern_weights, pairwise_distance, haplotype_traits, trait_frequencies, trait_summary, msn_edges_eps0, msn_edges_eps1, spanning_network, components_at_threshold, shortest_paths, path_vias, path_edges, contracted_chains, peeled_leaves, median_sequences, total_excess, excess_pairs, shared_edges, vertex_degree, incident_edges, feasible_triplets, remove_vertex, nj_q_matrix, nj_first_pair, pair_buckets, pie_angles, vertex_radius, graph_bounds, nucleotide_classes, layout_xy)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"{a.lower()}_edges": _network(a) for a in build.ALGORITHMS}
 
 # ---- the same in SQL
@@ -394,6 +418,12 @@ SELECT network_id, x AS index, min(y) AS component FROM r GROUP BY ALL""",
 SELECT u.network_id, u.i, u.j, (row_number() OVER (PARTITION BY u.network_id, u.i, u.j ORDER BY s.length) - 1)::INT AS step, u.b AS vertex, edge
 FROM u JOIN x ON x.network_id = u.network_id AND x.i = u.a AND x.j = u.b AND x.via < 0 JOIN x s ON s.network_id = u.network_id AND s.i = u.i AND s.j = u.a
 JOIN first ON first.network_id = u.network_id AND first.vertex = u.a AND first.other = u.b""",
+    "contracted_chains": """WITH p AS (SELECT *, row_number() OVER w AS nth, lead(event_id) OVER w AS next, event_type = 'purchase' OR lag(event_id) OVER w IS NULL OR lead(event_id) OVER w IS NULL AS stays
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT event_id, next, lead(event_id) OVER w AS upto, lead(nth) OVER w - nth AS n_edges FROM p WHERE stays WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT 'events' AS network_id, event_id AS "from", upto AS "to", (upto - event_id)::DOUBLE AS weight, next AS first, upto AS last, n_edges FROM s WHERE upto IS NOT NULL""",
+    "peeled_leaves": """SELECT 'events' AS network_id, event_id AS index FROM events
+JOIN (SELECT user_id, min(event_id) AS a, max(event_id) AS b FROM events WHERE event_type <> 'click' GROUP BY user_id) USING (user_id) WHERE event_id BETWEEN a AND b""",
     "spanning_network": f"WITH RECURSIVE {_DNA}, {_HAPS}, {_dist(64, _AMB)}, {_links(0)} {_EDGES}",
     "total_excess": f"""WITH RECURSIVE {_MSN}, {_ENDS}, {_PATHS}
 SELECT network_id, sum(length - d) AS excess FROM x JOIN d USING (network_id, i, j) GROUP BY ALL""",

@@ -11,7 +11,7 @@ from haploweave.functions.palette import TABLEAU10, assigned, shade, trait_colou
 from haploweave.functions.states import coordinate, datatype, expand_match
 from haploweave.operators import alignment as A
 from haploweave.operators import graph as G
-from haploweave.operators import near, paths
+from haploweave.operators import medians, near, paths
 from haploweave.plans import build, layout
 from haploweave.plans.msn import spanning_links
 
@@ -244,3 +244,43 @@ def test_paths_of_many_tiles(spark):
     for (net, i, j), p in rows.items():
         assert [s for s, _, _ in sorted(p)] == list(range(len(p)))
         assert sum(nets[net][1][x][2] for _, _, x in p) == want[net, i, j][0]
+
+
+def test_contract(spark):
+    """Chains of all lengths, in both directions, a loop back to its start, a ring without an end, parallel chains."""
+    chain = [(0, 10, 1), (11, 10, 2), (11, 12, 3), (12, 1, 4)]  # 0 to 1 over three
+    more = [(0, 1, 7), (1, 20, 1), (20, 0, 1), (2, 30, 1), (30, 31, 1), (31, 2, 5), (40, 41, 1), (41, 42, 1), (42, 40, 1), (2, 1, 9)]
+    long = [(0, 100, 1)] + [(k, k + 1, 1) for k in range(100, 170)] + [(170, 2, 1)]
+    e = [("g", k, a, b, w) for k, (a, b, w) in enumerate(chain + more + long)]
+    table = spark.createDataFrame(e, "network_id string, index int, from int, to int, weight int")
+    v = spark.createDataFrame([("g", i, i < 3) for i in {x for r in e for x in r[2:4]}], "network_id string, index int, keep boolean")
+    got = sorted((*sorted((r["from"], r.to)), r.weight, r.n_edges) for r in G.contract(v, table).collect())
+    assert got == [(0, 1, 2.0, 2), (0, 1, 7.0, 1), (0, 1, 10.0, 4), (0, 2, 72.0, 72), (1, 2, 9.0, 1), (2, 2, 7.0, 3)]
+    assert G.contract(v, table.limit(0)).count() == 0
+
+
+def test_peel(spark):
+    v = spark.createDataFrame([("g", i, i in (0, 4)) for i in range(9)], "network_id string, index int, keep boolean")
+    e = spark.createDataFrame([("g", k, a, b, 1) for k, (a, b) in enumerate([(0, 1), (1, 2), (2, 3), (2, 4), (3, 5), (5, 6), (7, 8)])], "network_id string, index int, from int, to int, weight int")
+    left, links = G.peel(v, e)
+    assert sorted(r["index"] for r in left.collect()) == [0, 1, 2, 4] and sorted(r["index"] for r in links.collect()) == [0, 1, 3]
+
+
+def test_median_joining(spark, epsilon=1):
+    """The same sequences and links between them as the kernel of one task, for several networks at once, with weights."""
+    rng = random.Random(40 + epsilon)
+    nets = {"a": grown(rng, 6, 8, 2), "b": ["AAAA", "CCAA", "ACCA", "CACG"], "c": ["AC"], "d": ["AGT", "CTT", "GAT"]}
+    rows_ = [(n, i, f"{n}{i}", q) for n, seqs in nets.items() for i, q in enumerate(seqs)]
+    haps = A.condense(spark.createDataFrame(rows_, "network_id string, taxon_idx int, taxon string, seq string"))
+    c = A.condensed(haps, A.site_patterns(haps)).cache()
+    v, e = (t.collect() for t in medians.median_joining(c, epsilon))
+    seq = {(r.network_id, r["index"]): r.pattern_seq for r in v}
+    got = {(n, frozenset((seq[n, r["from"]], seq[n, r.to])), r.weight) for r in e for n in [r.network_id]}
+    found = build.elements(c, "MJN", epsilon)
+    kernel = {(r.network_id, r["index"]): (r.sequence, r.inferred) for r in build.vertices(found).collect()}
+    haps_seq = {(r.network_id, r.hap_idx): r.pattern_seq for r in c.collect()}
+    for k, r in {(r.network_id, r["index"]): r for r in build.vertices(found).collect()}.items():
+        kernel[k] = (haps_seq[r.network_id, r.hap_idx] if not r.inferred else r.sequence, r.inferred)
+    assert sorted((n, s, i) for (n, _), (s, i) in kernel.items()) == sorted((r.network_id, r.pattern_seq, r.inferred) for r in v)
+    assert got == {(r.network_id, frozenset((kernel[r.network_id, r["from"]][0], kernel[r.network_id, r.to][0])), r.weight) for r in build.edges(found).collect()}
+    assert any(r.inferred for r in v)
