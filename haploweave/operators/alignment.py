@@ -90,17 +90,18 @@ def condense(alignment: DataFrame) -> DataFrame:
 def site_patterns(haplotypes: DataFrame, kind: str = "dna") -> DataFrame:
     """(network_id, site, pattern_idx): sites that split the haplotypes alike share a pattern; numbered by first site.
 
-    A site's canonical form names each state by its first place in the column, ambiguous states by themselves: equal
-    forms, equal patterns. Sites that are ambiguous throughout have none.
+    Sites are alike if they divide the haplotypes into the same sets, of unknown states those of the same state. A set is
+    told by the exclusive or of two hashes of its members and its size, a site by that of its sets': partial aggregates
+    that merge in any order, so that no row holds a column of a network. Sites that are unknown throughout have none.
     """
     own = _datatype(haplotypes)
-    unknown = lambda c: ambiguous(c, F.col("datatype") if own else kind)
-    columns = haplotypes.select("network_id", *own, "hap_idx", F.posexplode(characters("seq")).alias("site", "state"))
-    columns = columns.groupBy("network_id", *own, "site").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap_idx", "state"))), lambda x: x["state"]).alias("states"))
-    columns = columns.where(~F.forall("states", unknown))
-    form = F.transform("states", lambda c: F.when(unknown(c), c).otherwise(F.array_position(F.col("states"), c).cast("string")))
-    columns = columns.select("network_id", "site", form.alias("form"))
-    first = columns.withColumn("first", F.min("site").over(Window.partitionBy("network_id", "form")))
+    unknown = ambiguous(F.col("state"), F.col("datatype") if own else kind)
+    states = haplotypes.select("network_id", *own, "hap_idx", F.posexplode(characters("seq")).alias("site", "state"))
+    print_ = lambda *of: [F.bit_xor(F.xxhash64(F.lit(salt), *of)).alias(f"p{salt}") for salt in (1, 2)]
+    sets = states.groupBy("network_id", *own, "site", "state").agg(F.count("*").alias("n"), *print_("hap_idx"))
+    sets = sets.withColumn("unknown", F.when(unknown, F.col("state")))
+    alike = sets.groupBy("network_id", "site").agg(F.bool_or(F.col("unknown").isNull()).alias("tells"), *print_("p1", "p2", "n", F.coalesce("unknown", F.lit("")))).where("tells")
+    first = alike.withColumn("first", F.min("site").over(Window.partitionBy("network_id", "p1", "p2")))
     return first.select("network_id", "site", (F.dense_rank().over(Window.partitionBy("network_id").orderBy("first")) - 1).alias("pattern_idx"))
 
 

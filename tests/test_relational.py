@@ -284,3 +284,21 @@ def test_median_joining(spark, epsilon=1):
     assert sorted((n, s, i) for (n, _), (s, i) in kernel.items()) == sorted((r.network_id, r.pattern_seq, r.inferred) for r in v)
     assert got == {(r.network_id, frozenset((kernel[r.network_id, r["from"]][0], kernel[r.network_id, r.to][0])), r.weight) for r in build.edges(found).collect()}
     assert any(r.inferred for r in v)
+
+
+def test_patterns_brute_force(spark):
+    """Patterns of random alignments, unknown states among them, against comparing whole columns."""
+    rng = random.Random(12)
+    for alphabet in ("AC", "ACGT", "ACN-", "N-?"):
+        seqs = sorted({"".join(rng.choice(alphabet) for _ in range(14)) for _ in range(5)})
+        haps = spark.createDataFrame([("n", i, q) for i, q in enumerate(seqs)], "network_id string, hap_idx int, seq string").repartition(3)
+        forms, want = [], {}
+        for k in range(14):
+            column = [q[k] for q in seqs]
+            if all(c in "N-?" for c in column):
+                continue
+            form = tuple(c if c in "N-?" else column.index(c) for c in column)
+            if form not in forms:
+                forms.append(form)
+            want[k] = forms.index(form)
+        assert {r.site: r.pattern_idx for r in A.site_patterns(haps).collect()} == want
