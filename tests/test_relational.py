@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haploweave.functions.palette import TABLEAU10, assigned, shade, trait_colours
+from haploweave.functions.palette import TABLEAU10, assigned, rgb, trait_colours, with_lightness
 from haploweave.functions.states import coordinate, datatype, expand_match
 from haploweave.operators import alignment as A
 from haploweave.operators import graph as G
@@ -116,7 +116,10 @@ def test_columns(spark):
 def test_palette():
     assert trait_colours(5) == list(TABLEAU10[:5])
     assert len(set(trait_colours(30))) == 30 and trait_colours(12)[0] == "#8dd3c7"
-    assert assigned(["#000000"], 1) == ["#000000"] and shade("red", 1) == "red"
+    assert assigned(["#000000"], 1) == ["#000000"] and with_lightness("red", 0.5) == "red"
+    # Greys of known lightness; hues keep their order of channels.
+    assert with_lightness("#808080", 1.0) == "#ffffff" and with_lightness("#808080", 0.0) == "#000000"
+    assert all(sorted(range(3), key=rgb(c).__getitem__) == sorted(range(3), key=rgb(with_lightness(c, 0.6)).__getitem__) for c in ("#4e79a7", "#f28e2c", "#59a14f"))
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables aren't here")
