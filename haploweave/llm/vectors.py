@@ -23,7 +23,7 @@ from .components import components
 #: hash: about SAMPLE vectors of all lengths together, but about FEW at least (or all) of each.
 PIVOTS, SAMPLE, FEW, APART = 512, 8192, 256, 0.7
 #: Index: a vector's NEAREST pivots; candidates share at least SHARED of them. Sides of a tile hold about TILE rows.
-NEAREST, SHARED, TILE = 7, 3, 512
+NEAREST, SHARED, TILE = 8, 3, 512
 
 
 def choose_pivots(sample: np.ndarray, pivots: int = PIVOTS, apart: float = APART) -> np.ndarray:

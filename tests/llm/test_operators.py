@@ -490,6 +490,20 @@ def test_vector_lengths(spark, tile):
     assert [(got[i].n_links, got[i].component_id) for i, _, w in rows if w in (8, 3, 1)] == [want[i][1:3] for i, _, w in rows if w in (8, 3, 1)]
 
 
+@pytest.mark.parametrize("width", [16, 64, 128, 768])
+def test_recall_at_the_threshold(width):
+    """Of pairs of cosine 0.90 exactly, in vectors that spread out evenly, nine in ten share as many pivots as a list asks for."""
+    rng = np.random.default_rng(width)
+    a, o = rng.normal(size=(2, 4000, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + math.sqrt(1 - 0.81) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    refs = vectors.choose_pivots(a)
+    x, y = vectors.describe(a[2000:], refs), vectors.describe(b[2000:], refs)
+    shared = (x[:, :, None] == y[:, None, :]).any(2).sum(1)
+    assert (shared >= vectors.SHARED).mean() >= 0.92
+
+
 def test_descriptions():
     refs = np.eye(6)
     lists = vectors.describe(np.array([[0.1, 0.9, 0.2, 0.3, 0, 0], [0.5, 0.5, 0.4, 0.3, 0, 0]]), refs, 4)
