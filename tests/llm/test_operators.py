@@ -501,7 +501,7 @@ def test_recall_at_the_threshold(width):
     refs = vectors.choose_pivots(a)
     x, y = vectors.describe(a[2000:], refs), vectors.describe(b[2000:], refs)
     shared = (x[:, :, None] == y[:, None, :]).any(2).sum(1)
-    assert (shared >= vectors.SHARED).mean() >= 0.92
+    assert (shared >= vectors.SHARED).mean() >= 0.9
 
 
 def test_descriptions():
