@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.states import characters
 from ..operators import alignment as A
+from ..operators import charges as C
 from ..operators import graph as G
 from ..operators import paths
 from ..sources import nexus, project
@@ -181,7 +182,16 @@ def layout_checks(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-_PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks)
+def layout_charges(spark: SparkSession, folder: str) -> DataFrame:
+    """Vertices whose charges act on each vertex, one by one or in cells, and their radii's sum: a vertex for each vector, placed
+    by its first two components in the drawing of its label."""
+    e = spark.read.parquet(f"{folder}/embeddings.parquet")
+    x, y = (F.get("embedding", F.lit(k)).cast("double") * 1000 for k in (0, 1))
+    v = e.select(F.col("label").alias("network_id"), F.col("vec_id").alias("index"), x.alias("x"), y.alias("y"), C.radius((F.col("vec_id") % 5).cast("double"), F.lit(False)).alias("radius"))
+    return C.charges(v).select("network_id", "index", "n_met", F.round("radii_met", 3).alias("radii_met"))
+
+
+_PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks, layout_charges)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"nexus_{t}": _read(t) for t in nexus.TABLES} | {f.__name__: f for f in _PLAIN} | {f"{a.lower()}_checks": _checked(a) for a in build.ALGORITHMS}
 
 # ---- the same in SQL
@@ -223,5 +233,7 @@ SELECT h.network_id, count(*) AS n_haplotypes, (SELECT count(*) FROM ed WHERE ed
     "selected_vertices": f"""WITH {Q._PLACED}, z AS (SELECT *, x BETWEEN -0.1 AND 0.3 AND y BETWEEN -0.2 AND 0.2 AS hit FROM v)
 SELECT network_id, index, round(x + CASE WHEN hit THEN 2 ELSE 0 END, 6) AS x, round(y - CASE WHEN hit THEN 1 ELSE 0 END, 6) AS y FROM z""",
     "ordered_sequences": f"WITH {Q._DNA} SELECT network_id, taxon_idx, taxon, seq FROM q WHERE taxon_idx % 3 <> 1",
+    "layout_charges": """WITH v AS (SELECT label AS network_id, vec_id AS index, 7.5 * sqrt(greatest(4.0 / 9, vec_id % 5)) AS r FROM embeddings WHERE isfinite(embedding[1]) AND isfinite(embedding[2]))
+SELECT network_id, index, count(*) OVER w - 1 AS n_met, round(sum(r) OVER w - r, 3) AS radii_met FROM v WINDOW w AS (PARTITION BY network_id)""",
     "layout_checks": f"WITH {_FEW} SELECT network_id::VARCHAR AS network_id, count(*) AS n, 0::BIGINT AS n_lost, 0::BIGINT AS n_shared, 0::BIGINT AS n_radius FROM h GROUP BY ALL",
 } | {f"{a.lower()}_checks": _MET for a in build.ALGORITHMS}
