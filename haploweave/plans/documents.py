@@ -12,6 +12,7 @@ from ..functions.states import characters
 from ..operators import alignment as A
 from ..operators import charges as C
 from ..operators import graph as G
+from ..operators import history
 from ..operators import paths
 from ..sources import nexus, project
 from . import build, layout
@@ -191,7 +192,17 @@ def layout_charges(spark: SparkSession, folder: str) -> DataFrame:
     return C.charges(v).select("network_id", "index", "n_met", F.round("radii_met", 3).alias("radii_met"))
 
 
-_PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks, layout_charges)
+def edit_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The version shown after each event (-1: the one at the start) and how many can be undone and redone: clicks and purchases edit, errors undo,
+    views redo."""
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    action = F.when(F.col("event_type").isin("click", "purchase"), "edit").when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "view", "redo")
+    log = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", history.kinds(action).alias("code"))
+    shown = history.versions(log, ("ts",)).withColumnsRenamed({"key": "user_id", "id": "event_id"})
+    return shown.withColumn("version", F.coalesce("version", F.lit(-1).cast("long")))
+
+
+_PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks, layout_charges, edit_history)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"nexus_{t}": _read(t) for t in nexus.TABLES} | {f.__name__: f for f in _PLAIN} | {f"{a.lower()}_checks": _checked(a) for a in build.ALGORITHMS}
 
 # ---- the same in SQL
@@ -235,5 +246,12 @@ SELECT network_id, index, round(x + CASE WHEN hit THEN 2 ELSE 0 END, 6) AS x, ro
     "ordered_sequences": f"WITH {Q._DNA} SELECT network_id, taxon_idx, taxon, seq FROM q WHERE taxon_idx % 3 <> 1",
     "layout_charges": """WITH v AS (SELECT label AS network_id, vec_id AS index, 7.5 * sqrt(greatest(4.0 / 9, vec_id % 5)) AS r FROM embeddings WHERE isfinite(embedding[1]) AND isfinite(embedding[2]))
 SELECT network_id, index, count(*) OVER w - 1 AS n_met, round(sum(r) OVER w - r, 3) AS radii_met FROM v WINDOW w AS (PARTITION BY network_id)""",
+    "edit_history": """WITH RECURSIVE a AS (SELECT user_id, event_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS k FROM events),
+z AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::BIGINT AS now, []::BIGINT[] AS u, []::BIGINT[] AS r FROM (SELECT DISTINCT user_id FROM a)
+ UNION ALL SELECT z.user_id, a.k, a.event_id, CASE WHEN t IN ('click', 'purchase') THEN a.event_id WHEN t = 'error' AND len(u) > 0 THEN u[-1] WHEN t = 'view' AND len(r) > 0 THEN r[-1] ELSE now END,
+ CASE WHEN t IN ('click', 'purchase') THEN list_append(u, now)[-20:] WHEN t = 'error' THEN u[:-2] WHEN t = 'view' AND len(r) > 0 THEN list_append(u, now)[-20:] ELSE u END,
+ CASE WHEN t IN ('click', 'purchase') THEN []::BIGINT[] WHEN t = 'error' AND len(u) > 0 THEN list_append(r, now) WHEN t = 'view' THEN r[:-2] ELSE r END
+ FROM z JOIN a ON a.user_id IS NOT DISTINCT FROM z.user_id AND a.k = z.k + 1)
+SELECT user_id, event_id, coalesce(now, -1) AS version, len(u)::INT AS n_undo, len(r)::INT AS n_redo FROM z WHERE k > 0""",
     "layout_checks": f"WITH {_FEW} SELECT network_id::VARCHAR AS network_id, count(*) AS n, 0::BIGINT AS n_lost, 0::BIGINT AS n_shared, 0::BIGINT AS n_radius FROM h GROUP BY ALL",
 } | {f"{a.lower()}_checks": _MET for a in build.ALGORITHMS}
