@@ -14,7 +14,8 @@ from ..operators import charges as C
 from ..operators import graph as G
 from ..operators import history
 from ..operators import paths
-from ..sources import nexus, project
+from ..shared import place
+from ..sources import files, nexus, project
 from . import build, layout
 from . import queries as Q
 
@@ -202,7 +203,19 @@ def edit_history(spark: SparkSession, folder: str) -> DataFrame:
     return shown.withColumn("version", F.coalesce("version", F.lit(-1).cast("long")))
 
 
-_PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks, layout_charges, edit_history)
+def project_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of project documents that were written, a file for each network, and read back."""
+    files.write_projects(project_json(spark, folder), to := place(spark, "projects"))
+    return files.graphs(files.read_files(spark, to))[2].select("network_id", "index", "from", "to", "weight")
+
+
+def edge_list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of edge lists that were written, a file for each network, and read back."""
+    files.write_lines(edge_lines(spark, folder), to := place(spark, "edges"))
+    return files.read_files(spark, to).select("network_id", F.col("line_idx").alias("edge_idx"), F.col("text").alias("line"))
+
+
+_PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks, layout_charges, edit_history, project_files, edge_list_files)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"nexus_{t}": _read(t) for t in nexus.TABLES} | {f.__name__: f for f in _PLAIN} | {f"{a.lower()}_checks": _checked(a) for a in build.ALGORITHMS}
 
 # ---- the same in SQL
@@ -255,3 +268,5 @@ z AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::BIGINT AS
 SELECT user_id, event_id, coalesce(now, -1) AS version, len(u)::INT AS n_undo, len(r)::INT AS n_redo FROM z WHERE k > 0""",
     "layout_checks": f"WITH {_FEW} SELECT network_id::VARCHAR AS network_id, count(*) AS n, 0::BIGINT AS n_lost, 0::BIGINT AS n_shared, 0::BIGINT AS n_radius FROM h GROUP BY ALL",
 } | {f"{a.lower()}_checks": _MET for a in build.ALGORITHMS}
+SQL["project_files"] = SQL["project_graph"].replace("SELECT network_id, index,", "SELECT network_id::VARCHAR AS network_id, index,")
+SQL["edge_list_files"] = SQL["edge_lines"].replace("SELECT ed.network_id, index AS edge_idx,", "SELECT ed.network_id::VARCHAR AS network_id, index AS edge_idx,")

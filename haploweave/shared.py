@@ -22,10 +22,15 @@ def folder(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which sweep() removes."""
+    _given.append(path := f"{folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return path
+
+
 def save(df: DataFrame, label: str = "graph") -> DataFrame:
     """Write to the shared folder and read again, so that a loop's plan stays short and lost executors cost little."""
-    path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    _given.append(path)
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_at = path
