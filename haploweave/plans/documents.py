@@ -15,7 +15,7 @@ from ..operators import graph as G
 from ..operators import history
 from ..operators import paths
 from ..shared import place
-from ..sources import files, nexus, project
+from ..sources import files, nexus, project, split
 from . import build, layout
 from . import queries as Q
 
@@ -215,7 +215,13 @@ def edge_list_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_files(spark, to).select("network_id", F.col("line_idx").alias("edge_idx"), F.col("text").alias("line"))
 
 
-_PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks, layout_charges, edit_history, project_files, edge_list_files)
+def nexus_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of the documents, written as files and read in byte ranges."""
+    files.write_texts(texts(spark, folder), to := place(spark, "nexus"))
+    return split.read_characters(spark, to)
+
+
+_PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks, layout_charges, edit_history, project_files, edge_list_files, nexus_files)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"nexus_{t}": _read(t) for t in nexus.TABLES} | {f.__name__: f for f in _PLAIN} | {f"{a.lower()}_checks": _checked(a) for a in build.ALGORITHMS}
 
 # ---- the same in SQL
@@ -270,3 +276,4 @@ SELECT user_id, event_id, coalesce(now, -1) AS version, len(u)::INT AS n_undo, l
 } | {f"{a.lower()}_checks": _MET for a in build.ALGORITHMS}
 SQL["project_files"] = SQL["project_graph"].replace("SELECT network_id, index,", "SELECT network_id::VARCHAR AS network_id, index,")
 SQL["edge_list_files"] = SQL["edge_lines"].replace("SELECT ed.network_id, index AS edge_idx,", "SELECT ed.network_id::VARCHAR AS network_id, index AS edge_idx,")
+SQL["nexus_files"] = SQL["nexus_characters"]

@@ -23,8 +23,8 @@ from ..session import ship
 from .project import EXTENSION, SCHEMA
 
 COMMITS = "_commits"
-#: Contents of files: whole documents, one row each; or lines, the rows of a network in their order.
-ENDINGS = {"project": EXTENSION, "lines": "tsv"}
+#: Contents of files: whole documents or Nexus texts, one row each; or lines, the rows of a network in their order.
+ENDINGS = {"project": EXTENSION, "nexus": "nex", "lines": "tsv"}
 
 
 def _open(path: str) -> tuple[Any, str]:
@@ -69,7 +69,7 @@ class _Writer(DataSourceWriter):
                 name, text = row[0], row[-1]
                 if name is None or text is None:
                     raise ValueError("A network without a name or a text can't be written.")
-                if name != now or self.content == "project":
+                if name != now or self.content != "lines":
                     if name in done:
                         raise ValueError(f"The rows of network {name} don't stand together, or there are two documents of it.")
                     if stream is not None:
@@ -80,7 +80,7 @@ class _Writer(DataSourceWriter):
                     now, stream = name, fs.open_output_stream(f"{top}/{folder}/{quote(str(name), safe=' ')}.{ENDINGS[self.content]}")
                 if self.content == "project":
                     text = json.dumps(json.loads(text), indent=2, ensure_ascii=False)
-                stream.write((text if self.content == "project" else text + "\n").encode())
+                stream.write((text + "\n" if self.content == "lines" else text).encode())
         finally:
             if stream is not None:
                 stream.close()
@@ -139,14 +139,14 @@ class _Reader(DataSourceReader):
                 continue
             with fs.open_input_stream(f.path) as s:
                 text = s.read().decode()
-            if partition.content == "project":
+            if partition.content != "lines":
                 yield name, 0, text
             else:
                 yield from ((name, i, line) for i, line in enumerate(text.split("\n")[:-1]))
 
 
 class NetworkFiles(DataSource):
-    """df.write.format("networks").option("content", "project" | "lines").mode("append" | "overwrite").save(folder), of rows
+    """df.write.format("networks").option("content", "project" | "nexus" | "lines").mode("append" | "overwrite").save(folder), of rows
     whose first column is the network's name and whose last one is a document or a line; spark.read.format("networks")."""
 
     @classmethod
@@ -180,6 +180,13 @@ def write_projects(documents: DataFrame, path: str, overwrite: bool = False) ->
     rows.repartition("network_id").write.format("networks").mode("overwrite" if overwrite else "append").save(path)
 
 
+def write_texts(texts: DataFrame, path: str, overwrite: bool = False) -> None:
+    """texts(dataset_id, text) -> a Nexus file for each, all of them or none."""
+    registered(texts.sparkSession)
+    rows = texts.select(F.col("dataset_id").cast("string").alias("network_id"), F.lit(0).alias("line_idx"), "text")
+    rows.repartition("network_id").write.format("networks").option("content", "nexus").mode("overwrite" if overwrite else "append").save(path)
+
+
 def write_lines(lines: DataFrame, path: str, overwrite: bool = False) -> None:
     """lines(network_id, edge_idx, line) -> an edge list for each network, lines in their order, all of them or none."""
     registered(lines.sparkSession)
