@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.states import characters, expand_match, nucleotide_class
 from ..operators import alignment as A
 from ..operators import graph as G
-from ..operators import medians, near, paths
+from ..operators import joining, medians, near, paths
 from ..shared import save
 from . import build, layout
 
@@ -212,6 +212,14 @@ def peeled_leaves(spark: SparkSession, folder: str) -> DataFrame:
     return G.peel(*_visits(spark, folder, F.col("event_type") != "click"))[0].select("network_id", "index")
 
 
+def joining_branches(spark: SparkSession, folder: str) -> DataFrame:
+    """Branches of the neighbour-joining trees."""
+    haps = _condensed(spark, folder, FEW)
+    vertices = save(haps.select("network_id", F.col("hap_idx").alias("index")), "haps")
+    trees = joining.joining_trees(vertices, save(_distances(spark, folder, FEW), "pairs"))
+    return trees.select("network_id", F.col("index").alias("branch"), "from", "to", F.round("weight", 6).alias("weight"))
+
+
 def median_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """Condensed sequences of the median-joining networks, sampled and inferred."""
     return medians.median_joining(_condensed(spark, folder, FEW), kind="binary")[0].select("network_id", "pattern_seq", "inferred")
@@ -304,7 +312,7 @@ def layout_xy(spark: SparkSession, folder: str) -> DataFrame:
     return layout.lay_out(build.with_frequencies(build.vertices(found), haps), build.edges(found))
 
 
-_PLAIN = (alignment_long, match_char_expand, ambiguity_flags, site_mask, masked_sites, mask_apply, condense_haplotypes, site_patterns, pattern_weights, pairwise_distance, haplotype_traits, trait_frequencies, trait_summary, msn_edges_eps0, msn_edges_eps1, spanning_network, components_at_threshold, shortest_paths, path_vias, path_edges, contracted_chains, peeled_leaves, median_sequences, total_excess, excess_pairs, shared_edges, vertex_degree, incident_edges, feasible_triplets, remove_vertex, nj_q_matrix, nj_first_pair, pair_buckets, pie_angles, vertex_radius, graph_bounds, nucleotide_classes, layout_xy)
+_PLAIN = (alignment_long, match_char_expand, ambiguity_flags, site_mask, masked_sites, mask_apply, condense_haplotypes, site_patterns, pattern_weights, pairwise_distance, haplotype_traits, trait_frequencies, trait_summary, msn_edges_eps0, msn_edges_eps1, spanning_network, components_at_threshold, shortest_paths, path_vias, path_edges, contracted_chains, peeled_leaves, joining_branches, median_sequences, total_excess, excess_pairs, shared_edges, vertex_degree, incident_edges, feasible_triplets, remove_vertex, nj_q_matrix, nj_first_pair, pair_buckets, pie_angles, vertex_radius, graph_bounds, nucleotide_classes, layout_xy)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"{a.lower()}_edges": _network(a) for a in build.ALGORITHMS}
 
 # ---- the same in SQL
@@ -373,6 +381,20 @@ ht AS (SELECT hap_idx, k.trait_idx, coalesce(sum(n), 0) AS count FROM h CROSS JO
 _NJ = f"""full_ AS (SELECT network_id, i AS a, d FROM d UNION ALL SELECT network_id, j, d FROM d), su AS (SELECT network_id, a, sum(d)::BIGINT AS s FROM full_ GROUP BY ALL),
 nn AS (SELECT network_id, count(*) AS n FROM su GROUP BY ALL),
 nq AS (SELECT d.network_id, d.i, d.j, ((nn.n - 2) * d.d - x.s - y.s)::BIGINT AS q FROM d JOIN su x ON x.network_id = d.network_id AND x.a = d.i JOIN su y ON y.network_id = d.network_id AND y.a = d.j JOIN nn ON nn.network_id = d.network_id)"""
+#: One row a network and join: distances of what is left, as rows in order; criteria and lengths are sums term by term.
+_TREES = f"""full_ AS (SELECT network_id, i AS a, j AS b, d::DOUBLE AS d FROM d UNION ALL SELECT network_id, j, i, d::DOUBLE FROM d UNION ALL SELECT network_id, hap_idx, hap_idx, 0.0::DOUBLE FROM h),
+lines AS (SELECT network_id, a, list(d ORDER BY b) AS line FROM full_ GROUP BY ALL),
+tr(network_id, n, nodes, d, la, lb, na, nb) AS (
+SELECT network_id, count(*), range(count(*)), list(line ORDER BY a), 0.0::DOUBLE, 0.0::DOUBLE, -1::BIGINT, -1::BIGINT FROM lines GROUP BY network_id
+UNION ALL
+SELECT network_id, n, list_filter(list_transform(nodes, lambda x, k: CASE WHEN k = p.b THEN 2 * n - m ELSE x END), lambda x, k: k <> p.a),
+  list_filter(list_transform(d, lambda line, i: list_filter(list_transform(line, lambda x, k: CASE WHEN i = p.b AND k = p.b THEN 0.0 WHEN i = p.b THEN 0.5 * (d[p.a][k] - la + d[p.b][k] - lb) WHEN k = p.b THEN 0.5 * (line[p.a] - la + line[p.b] - lb) ELSE x END), lambda x, k: k <> p.a)), lambda line, i: i <> p.a),
+  la, lb, nodes[p.a], nodes[p.b]
+FROM (SELECT *, greatest(0.0, 0.5 * d[p.a][p.b] + list_reduce(list_prepend(0.0::DOUBLE, flatten(list_transform(range(1, m + 1), lambda k: [d[p.a][k], -d[p.b][k]]))), lambda x, y: x + y) / (2 * (m - 2))) AS la,
+  greatest(0.0, 0.5 * d[p.a][p.b] + list_reduce(list_prepend(0.0::DOUBLE, flatten(list_transform(range(1, m + 1), lambda k: [d[p.b][k], -d[p.a][k]]))), lambda x, y: x + y) / (2 * (m - 2))) AS lb
+FROM (SELECT network_id, n, nodes, d, len(d) AS m, list_min(flatten(list_transform(range(2, len(d) + 1), lambda i: list_transform(range(1, i), lambda j:
+  {{'q': list_reduce(list_prepend((len(d) - 2) * d[i][j], flatten(list_transform(range(1, len(d) + 1), lambda k: [d[i][k], d[j][k]]))), lambda x, y: x - y), 'a': i, 'b': j}})))) AS p
+FROM tr WHERE len(d) > 2)))"""
 _PLACED = f"{_bin(FEW)}, {_HAPS}, v AS (SELECT h.network_id, hap_idx AS index, e[1]::DOUBLE AS x, e[2]::DOUBLE AS y, 7.5 * sqrt(greatest(4.0 / 9, frequency)) AS radius FROM h JOIN t ON t.network_id = h.network_id AND t.taxon_idx = h.lead)"
 
 
@@ -438,6 +460,10 @@ FROM ed x JOIN ed y ON x.network_id = y.network_id AND x.index > y.index AND (y.
 FROM ed WHERE a <> 1 AND b <> 1""",
     "nj_q_matrix": f"WITH {_bin(NETWORK)}, {_HAPS}, {_dist(NETWORK)}, {_NJ} SELECT * FROM nq",
     "nj_first_pair": f"WITH {_bin(NETWORK)}, {_HAPS}, {_dist(NETWORK)}, {_NJ} SELECT network_id, i, j, q FROM nq QUALIFY row_number() OVER (PARTITION BY network_id ORDER BY q, i, j) = 1",
+    "joining_branches": f"""WITH RECURSIVE {_bin(FEW)}, {_HAPS}, {_dist(FEW)}, {_TREES}, steps AS (SELECT *, n - len(d) - 1 AS r FROM tr)
+SELECT network_id, (2 * r)::INT AS branch, (n + r)::INT AS "from", nb::INT AS "to", round(lb, 6) AS weight FROM steps WHERE na >= 0
+UNION ALL SELECT network_id, (2 * r + 1)::INT, (n + r)::INT, na::INT, round(la, 6) FROM steps WHERE na >= 0
+UNION ALL SELECT network_id, (2 * n - 4)::INT, nodes[1]::INT, nodes[2]::INT, round(d[2][1], 6) FROM steps WHERE len(d) = 2""",
     "pair_buckets": f'WITH {_bin(NETWORK)}, {_HAPS}, {_dist(NETWORK)} SELECT network_id, j AS "from", i AS "to", d AS weight, (dense_rank() OVER (PARTITION BY network_id ORDER BY d) - 1)::INT AS bucket FROM d',
     "pie_angles": f"""WITH {_EV}, pos AS (SELECT * FROM ht WHERE count > 0), z AS (SELECT hap_idx, trait_idx, count, sum(count) OVER (PARTITION BY hap_idx ORDER BY trait_idx ROWS UNBOUNDED PRECEDING) AS upto, sum(count) OVER (PARTITION BY hap_idx) AS total FROM pos)
 SELECT 'events' AS network_id, hap_idx, trait_idx, round(2 * pi() * (upto - count) / total - pi() / 2, 6) AS start, round(2 * pi() * upto / total - pi() / 2, 6) AS stop FROM z""",
