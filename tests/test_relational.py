@@ -126,7 +126,7 @@ def test_palette():
 def _names():
     from haploweave.plans import documents, queries
 
-    some = ("mask_apply", "site_patterns", "pairwise_distance", "trait_frequencies", "msn_edges_eps1", "feasible_triplets", "pie_angles")
+    some = ("mask_apply", "site_patterns", "pairwise_distance", "trait_frequencies", "msn_edges_eps1", "feasible_triplets", "joining_branches", "pie_angles")
     return [(queries, n) for n in some] + [(documents, n) for n in documents.SQL]
 
 
