@@ -1,5 +1,7 @@
 """Near pairs of sequences without all pairs: states in bit planes, an index of segments that grows with the radius.
 
+Spanning networks need pairs at any distance, where segments tell nothing apart: they are found by blocks.
+
 Sequences that differ at r sites agree on all but r of any segments into which their sites are cut. So those within r meet
 where they agree on a choice of segments, and only those are compared: by XOR and a count of bits.
 """
@@ -12,13 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.states import AMBIGUOUS, ambiguous, characters
-from ..shared import save
+from . import blocks
 from .graph import numbered
 
 #: States with a code of their own, from 1 on: three planes of bits. Unknown states have none.
 STATES = "ACGTU01"
-#: Distances that one search looks for.
-AT_ONCE = 2
 #: Sites of a word, so that it is a positive number; radii up to which two segments are asked for, not one.
 WORD, PAIRED = 60, 4
 
@@ -89,85 +89,10 @@ def near_pairs(sides: DataFrame, low: int, high: int) -> DataFrame:
 
 def spanning_network(haplotypes: DataFrame, epsilon: float = 0, kind: str = "dna") -> DataFrame:
     """haplotypes(network_id, index, seq) -> (network_id, edge_idx, later, earlier, weight): the relaxed minimum spanning
-    network of every network, of any size, without all pairs and with no network in one task.
+    network of every network, of any size: no pair but the links is a row, and no task holds a network's pairs.
 
     A pair at distance t is linked if links shorter than t - epsilon don't connect it, and t is at most epsilon above the
-    distance at which all are connected. Distances are taken in turn: the index gives the pairs at t between what nearer
-    links haven't connected; then these merge components (by the graph of components, so that each turn's is small).
-    A search looks for AT_ONCE distances; where it
-    finds no pair, the next one's reach doubles. A network leaves when it is done.
-    """
-    sides = save(prepared(haplotypes, kind), "sides")
-    labels = sides.select("network_id", "index", F.col("index").alias("component"))
-    sites = sides.agg(F.max(F.size("words")) * WORD).first()[0] or 0
-    history, links, whole, low, step = [(float("-inf"), labels)], [], _whole(labels, None, float("-inf")), -1, AT_ONCE
-    while low < sites and not (open_ := whole.where(F.col("w").isNull() | (F.col("w") + epsilon > low)).select("network_id")).isEmpty():
-        high = min(low + step, sites)
-        base = _before(history, low + 1 - epsilon).join(open_, "network_id")
-        sizes = base.groupBy("network_id", "component").agg(F.count("*").alias("n")).groupBy("network_id").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-        marked = sides.join(base.join(sizes, "network_id"), ["network_id", "index"]).withColumn("outer", F.col("component") != F.col("largest"))
-        near = save(near_pairs(marked, low, high), "near")
-        turns = [t for (t,) in sorted(near.select("d").distinct().collect())]
-        for t in turns:
-            now = near.where(F.col("d") == t)
-            apart = ends_in(now, _before(history, t - epsilon)).where("ci != cj").join(whole.where(F.col("w").isNull() | (F.lit(t) <= F.col("w") + epsilon)), "network_id")
-            links.append(apart.select("network_id", "i", "j", "d"))
-            merged = ends_in(now, labels).where("ci != cj").select("network_id", F.col("ci").alias("a"), F.col("cj").alias("b")).distinct()
-            roots = merge(merged)
-            if roots is not None:
-                labels = save(labels.join(roots.withColumnRenamed("vertex", "component"), ["network_id", "component"], "left").select("network_id", "index", F.coalesce("root", "component").alias("component")), "labels")
-                history.append((t, labels))
-                whole = _whole(labels, whole, float(t))
-        step = AT_ONCE if turns else step * 2
-        low = high
-    out = links[0] if links else sides.select("network_id", F.col("index").alias("i"), F.col("index").alias("j"), F.lit(0).alias("d")).limit(0)
-    for part in links[1:]:
-        out = out.unionByName(part)
-    return numbered(out, ["d", "i", "j"], "edge_idx").select("network_id", "edge_idx", F.col("i").cast("long").alias("later"), F.col("j").cast("long").alias("earlier"), F.col("d").cast("long").alias("weight"))
-
-
-def _whole(labels: DataFrame, before: DataFrame | None, t: float) -> DataFrame:
-    """(network_id, w): the distance that connects a network, null as long as none has."""
-    one = labels.groupBy("network_id").agg((F.min("component") == F.max("component")).alias("one"))
-    if before is not None:
-        one = one.join(before, "network_id")
-    w = F.when(F.col("one"), F.lit(t))
-    return save(one.select("network_id", (w if before is None else F.coalesce("w", w)).alias("w")), "whole")
-
-
-def merge(links: DataFrame) -> DataFrame | None:
-    """links(network_id, a, b) -> (network_id, vertex, root): a root for each vertex that has links, one for all that they
-    connect; None where there are no links.
-
-    Each vertex takes the least of itself and its neighbours, twice followed; what then still differs across a link is the
-    next round's graph, of half the vertices at most.
+    distance at which all are connected. Trees in rounds over pairs of blocks give what links of each length connect.
     """
-    links, roots = save(links, "merge"), None
-    while not links.isEmpty():
-        both = links.unionByName(links.select("network_id", F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("network_id", F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.col("vertex")).alias("root"))
-        for _ in range(2):
-            least = least.join(least.select("network_id", F.col("vertex").alias("root"), F.col("root").alias("up")), ["network_id", "root"]).select("network_id", "vertex", F.col("up").alias("root"))
-        least = save(least, "roots")
-        rest = links
-        for end in ("a", "b"):
-            rest = rest.join(least.select("network_id", F.col("vertex").alias(end), F.col("root").alias(f"r{end}")), ["network_id", end])
-        links = save(rest.where("ra != rb").select("network_id", F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "merge")
-        if roots is None:
-            roots = least
-        else:
-            roots = roots.join(least.select("network_id", F.col("vertex").alias("root"), F.col("root").alias("up")), ["network_id", "root"], "left").select("network_id", "vertex", F.coalesce("up", "root").alias("root"))
-    return roots
-
-
-def _before(history: list[tuple[float, DataFrame]], t: float) -> DataFrame:
-    """Components of the links shorter than t."""
-    return next(x for s, x in reversed(history) if s < t)
-
-
-def ends_in(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs with the components of both ends as ci and cj."""
-    out = pairs
-    for end in ("i", "j"):
-        out = out.join(labels.select("network_id", F.col("index").alias(end), F.col("component").alias(f"c{end}")), ["network_id", end])
-    return out
+    found = blocks.links(haplotypes.select("network_id", "index", blocks.known(F.col("seq"), kind, STATES).alias("seq")), epsilon, kind)
+    return numbered(found, ["d", "i", "j"], "edge_idx").select("network_id", "edge_idx", F.col("i").alias("later"), F.col("j").alias("earlier"), F.col("d").alias("weight"))
