@@ -1,8 +1,8 @@
 """From aligned sequences to haplotypes, site patterns and distances. All networks at once, by network_id.
 
 alignment: (network_id, taxon_idx, taxon, seq), and datatype (dna, binary or aa) if the networks differ in it: the steps
-carry that column along, and it goes before their argument `kind`. Everything here is DataFrame built-ins; sequences are condensed, rows and
-columns, before any pair is formed.
+carry that column along, and it goes before their argument `kind`. Everything here but distances is DataFrame built-ins; sequences are condensed,
+rows and columns, before any pair is formed.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.states import ambiguous, characters
+from . import blocks
 
 
 def ordered_sequences(taxa: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -118,22 +119,13 @@ def condensed(haplotypes: DataFrame, patterns: DataFrame) -> DataFrame:
     return out.select("network_id", "hap_idx", "name", picked.alias("pattern_seq"), F.transform("p", lambda x: x["weight"]).alias("weights"), "seq", "originals", "frequency", *_datatype(haplotypes))
 
 
-def distances(condensed_: DataFrame, kind: str = "dna", block: int = 256) -> DataFrame:
+def distances(condensed_: DataFrame, kind: str = "dna", block: int = blocks.BLOCK) -> DataFrame:
     """(network_id, i, j, d) for i > j: weights of the patterns in which both states are defined and differ.
 
-    Pairs meet by network and block of i: the haplotypes go to each block that has larger indices than theirs, so that a
-    large network's pairs are spread over n / block tasks, and a task never holds more than block * n of them.
+    Haplotypes meet in blocks, and a task holds two blocks at a time and the pairs between them.
     """
-    unknown = lambda c: ambiguous(c, F.col("datatype") if _datatype(condensed_) else kind)
-    side = condensed_.select("network_id", F.col("hap_idx").cast("int").alias("hap_idx"), F.transform(characters("pattern_seq"), lambda c: F.when(~unknown(c), c)).alias("cs"), "weights")
-    last = side.groupBy("network_id").agg(F.max("hap_idx").alias("last"))
-    a = side.select("network_id", F.floor(F.col("hap_idx") / block).cast("int").alias("block"), F.col("hap_idx").alias("i"), F.col("cs").alias("x"))
-    blocks = F.sequence(F.floor(F.col("hap_idx") / block).cast("int"), F.floor(F.col("last") / block).cast("int"))
-    b = side.join(last, "network_id").select("network_id", F.explode(blocks).alias("block"), F.col("hap_idx").alias("j"), F.col("cs").alias("y"), "weights")
-    pairs = a.join(b, ["network_id", "block"]).where("i > j")
-    differ = F.zip_with("x", "y", lambda p, q: F.coalesce(p != q, F.lit(False)))
-    d = F.aggregate(F.zip_with(differ, "weights", lambda f, w: F.when(f, w).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, w: s + w)
-    return pairs.select("network_id", "i", "j", d.alias("d"))
+    rows = condensed_.select("network_id", F.col("hap_idx").alias("index"), F.col("pattern_seq").alias("seq"), "weights", *_datatype(condensed_))
+    return blocks.distances(blocks.stacked(rows, kind, block))
 
 
 def haplotype_traits(alignment: DataFrame, haplotypes: DataFrame, traits: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from haploweave import shared
+from haploweave.operators import alignment as A
 from haploweave.operators import blocks, near
 from haploweave.plans.msn import spanning_links
 
@@ -32,3 +33,16 @@ def test_spanning_network_far_apart(spark, epsilon):
     before = len(shared._given)
     assert near.spanning_network(sequences(spark, nets), epsilon).count() == len(want)
     assert len(shared._given) - before < 12
+
+
+def test_distances_are_products(spark):
+    """Weights, unknown and lower-case states, more blocks than one; no state is looked at pair by pair in the plan."""
+    rng = random.Random(9)
+    seqs = scattered(rng, 23, 9, "ACGTNn-a")
+    weights = [rng.randint(1, 5) for _ in range(9)]
+    table = spark.createDataFrame([("n", i, q, weights) for i, q in enumerate(seqs)], "network_id string, hap_idx int, pattern_seq string, weights array<long>")
+    unknown = "-?NYRMSVWKDHB" + "nyrmsvwkdhb"
+    want = sorted(("n", i, j, sum(w for a, b, w in zip(seqs[i], seqs[j], weights, strict=True) if a != b and a not in unknown and b not in unknown)) for i in range(23) for j in range(i))
+    found = A.distances(table, block=8)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "zip_with" not in found._jdf.queryExecution().toString()
