@@ -9,13 +9,15 @@ where they agree on a choice of segments, and only those are compared: by XOR an
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.states import AMBIGUOUS, ambiguous, characters
+from ..shared import save
 from . import blocks
-from .graph import numbered
+from .graph import components, numbered
 
 #: States with a code of their own, from 1 on: three planes of bits. Unknown states have none.
 STATES = "ACGTU01"
@@ -96,3 +98,15 @@ def spanning_network(haplotypes: DataFrame, epsilon: float = 0, kind: str = "dna
     """
     found = blocks.links(haplotypes.select("network_id", "index", blocks.known(F.col("seq"), kind, STATES).alias("seq")), epsilon, kind)
     return numbered(found, ["d", "i", "j"], "edge_idx").select("network_id", "edge_idx", F.col("i").alias("later"), F.col("j").alias("earlier"), F.col("d").alias("weight"))
+
+
+def components_within(haplotypes: DataFrame, threshold: float, kind: str = "dna") -> DataFrame:
+    """haplotypes(network_id, index, seq) -> (network_id, index, component): the least index reached by pairs nearer than the
+    threshold. Only pairs that the index brings together are looked at; beyond its radii, trees by blocks."""
+    within = ceil(threshold) - 1
+    if within > PAIRED:
+        named = blocks.tree(haplotypes.withColumn("seq", blocks.known(F.col("seq"), kind, STATES)), kind, threshold)[0]
+        return named.withColumns({c: F.col(c).cast(haplotypes.schema["index"].dataType) for c in ("index", "component")})
+    sides = save(prepared(haplotypes, kind).withColumns({"component": F.col("index"), "outer": F.lit(True)}), "sides")
+    pairs = near_pairs(sides, -1, within)
+    return components(haplotypes, pairs.select("network_id", F.lit(0).alias("index"), F.col("i").alias("from"), F.col("j").alias("to"), F.col("d").alias("weight")))

@@ -172,9 +172,7 @@ def _sequences(haps: DataFrame) -> DataFrame:
 
 
 def components_at_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    d = _distances(spark, folder)
-    v = _haps(spark, folder, MORE).select("network_id", F.col("hap_idx").alias("index"))
-    return G.components_at(d, v, 3)
+    return near.components_within(_sequences(_haps(spark, folder, MORE)), 3, "binary")
 
 
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,3 +46,20 @@ def test_distances_are_products(spark):
     found = A.distances(table, block=8)
     assert sorted(map(tuple, found.collect())) == want
     assert "zip_with" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("threshold", [2, 3, 9])
+def test_components_within(spark, threshold):
+    """As by all pairs, by the index and by blocks; pairs that are not near aren't made."""
+    rng = random.Random(threshold)
+    nets = {"a": sorted(set(scattered(rng, 40, 12, "01"))), "b": ["000000000000"], "c": ["000000000000", "111111111111"]}
+    want = {}
+    for n, v in nets.items():
+        up = list(range(len(v)))
+        for i in range(len(v)):
+            for j in range(i):
+                if differ(v[i], v[j]) < threshold:
+                    up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+        want |= {(n, i): x for i, x in enumerate(up)}
+    found = near.components_within(sequences(spark, nets), threshold, "binary")
+    assert {(r.network_id, r["index"]): r.component for r in found.collect()} == want
