@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from haploweave import shared
 from haploweave.operators import alignment as A
-from haploweave.operators import blocks, near
+from haploweave.operators import blocks, near, paths
 from haploweave.plans.msn import spanning_links
 
 
@@ -63,3 +64,27 @@ def test_components_within(spark, threshold):
         want |= {(n, i): x for i, x in enumerate(up)}
     found = near.components_within(sequences(spark, nets), threshold, "binary")
     assert {(r.network_id, r["index"]): r.component for r in found.collect()} == want
+
+
+def graph_of(spark, nets):
+    v = spark.createDataFrame([(n, i) for n, (k, _) in nets.items() for i in range(k)], "network_id string, index int")
+    e = spark.createDataFrame([(n, k, *x) for n, (_, edges) in nets.items() for k, x in enumerate(edges)], "network_id string, index int, from int, to int, weight int")
+    return v, e
+
+
+def grids(rng):
+    """More vertices than a stripe has; parallel and weightless edges, loops, parts, a vertex alone, ties all over."""
+    some = [(i, rng.randrange(i), rng.randint(0, 3)) for i in range(1, 280)] + [(rng.randrange(280), rng.randrange(280), rng.randint(0, 5)) for _ in range(260)]
+    return {"a": (300, some + [(290, 291, 2), (291, 292, 1)]), "b": (1, []), "c": (9, [(i, i + 1, 1) for i in range(8)])}
+
+
+def test_paths_by_stripes(spark):
+    """The same lengths, vias and paths as by tiles; no tile is shuffled for lengths."""
+    v, e = graph_of(spark, grids(random.Random(3)))
+    tiles, found = paths.shortest_paths(v, e, tile=64).cache(), paths.shortest_paths(v, e)
+    assert sorted(map(tuple, found.select(tiles.columns).collect())) == sorted(map(tuple, tiles.collect()))
+    assert "lengths" not in found._jdf.queryExecution().toString()
+    half = paths.shortest_paths(v, e.withColumn("weight", F.col("weight") + 0.5))
+    assert half.where("network_id = 'c' and i = 0 and j = 8").first().length == 12
+    plain, steps = paths.path_edges(tiles, e), paths.all_path_edges(v, e)
+    assert sorted(map(tuple, steps.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
