@@ -12,13 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
 from ..shared import discard, save
-from . import blocks
+from . import blocks, graph
 from .graph import endpoints
 
 TILE = 64
@@ -332,3 +332,70 @@ def _unrolled(stripe: _Stripe, k: int, last: np.ndarray, name: pa.Scalar, number
         at, back = stripe.source[edge], back + 1
         on = at != start
         i, j, start, hops, at = (x[on] for x in (i, j, start, hops, at))
+
+
+def _over(haplotypes: DataFrame, edges: DataFrame, kind: str, cells: bool) -> DataFrame:
+    """A row a stripe: (network_id, net, block, n_pairs, total, values, counts, index, first, cells): by how much paths are
+    longer than distances, for pairs i > j of the stripe's i. values, counts: how often each excess occurs; cells: all of
+    them, as bytes, if asked for. The network's sequences are at hand as its edges are."""
+    kind_, net = edges.schema["network_id"].dataType.simpleString(), to_arrow_type(edges.schema["network_id"].dataType)
+    rows = blocks.stacked(haplotypes, kind, 1 << 30).select("network_id", "n", "codes", "weights")
+    stripes = blocks.spread(_stripes(haplotypes, edges).join(rows, "network_id"), "network_id", "block")
+    wanted = pa.schema([("network_id", net), ("block", pa.int32()), ("n_pairs", pa.int64()), ("total", pa.int64()), ("values", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("index", pa.binary()), ("first", pa.int64()), ("cells", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                stripe, weights = _Stripe(r), np.frombuffer(r["weights"], dtype=np.int64)
+                lines = blocks.lines(r["n"], r["codes"], len(weights))
+                found = stripe.grown()
+                counts = (found < _FAR) & (np.arange(r["n"]) < stripe.first + stripe.own[:, None])
+                over = np.where(counts, (found >> 32) - blocks.apart(lines[stripe.first + stripe.own], lines, weights), 0)
+                if (over < 0).any():
+                    raise RuntimeError("Path length is shorter than allowed.")
+                values, often = np.unique(over[over > 0], return_counts=True)
+                small = over.astype(np.min_scalar_type(int(over.max(initial=0)))).tobytes() if cells else b""
+                yield pa.RecordBatch.from_pylist([{"network_id": r["net"], "block": r["block"], "n_pairs": int(counts.sum()), "total": int(over.sum()), "values": values.tolist(), "counts": often.tolist(), "index": stripe.vertex.tobytes() if cells else b"", "first": stripe.first, "cells": small}], schema=wanted)
+
+    return stripes.mapInArrow(run, f"network_id {kind_}, block int, n_pairs long, total long, values array<bigint>, counts array<bigint>, index binary, first long, cells binary")
+
+
+def _plain(haplotypes: DataFrame, edges: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    d = blocks.distances(blocks.stacked(haplotypes, kind))
+    return _by_tiles(haplotypes.select("network_id", "index"), edges), d
+
+
+def total_excess(haplotypes: DataFrame, edges: DataFrame, kind: str = "dna") -> DataFrame:
+    """(network_id, excess): graph.total_excess() of haplotypes(network_id, index, seq) and the network between them."""
+    (h, e), rest = _parted(haplotypes, edges)
+    found = _over(h, e, kind, False).where("n_pairs > 0").groupBy("network_id").agg(F.sum("total").cast("double").alias("excess"))
+    return _all(found, rest, lambda h, e: graph.total_excess(*_plain(h, e, kind)))
+
+
+def excess_pairs(haplotypes: DataFrame, edges: DataFrame, kind: str = "dna") -> DataFrame:
+    """(network_id, i, j, excess, place): graph.excess_pairs() of haplotypes(network_id, index, seq) and the network between them.
+
+    A pair's place is what has a smaller excess, what has the same in stripes before, and its place in its own: only counts
+    are put in order, no pairs.
+    """
+    (h, e), rest = _parted(haplotypes, edges)
+    kind_, net = edges.schema["network_id"].dataType.simpleString(), to_arrow_type(edges.schema["network_id"].dataType)
+    stripes = save(_over(h, e, kind, True), "excess")
+    each = stripes.select("network_id", "block", F.explode(F.arrays_zip("values", "counts")).alias("c")).select("network_id", "block", "c.*")
+    before = F.coalesce(F.sum("counts").over(Window.partitionBy("network_id").orderBy("values", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = each.withColumn("before", before).groupBy("network_id", "block").agg(F.sort_array(F.collect_list(F.struct("values", "before"))).alias("places"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                vertex = np.frombuffer(r["index"], dtype=np.int64)
+                top = np.min_scalar_type(r["places"][-1]["values"])
+                over = np.frombuffer(r["cells"], dtype=top).reshape(-1, len(vertex))
+                for p in r["places"]:
+                    i, j = np.nonzero(over == p["values"])
+                    place = p["before"] + np.arange(len(i))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(r["net"], net), len(i)), pa.array(vertex[r["first"] + i].astype(np.int32)), pa.array(vertex[j].astype(np.int32)), pa.array(np.full(len(i), float(p["values"]))), pa.array(place.astype(np.int32))], names=["network_id", "i", "j", "excess", "place"])
+
+    joined = stripes.select("network_id", "block", "index", "first", "cells").join(places, ["network_id", "block"]).withColumn("net", F.col("network_id"))
+    found = blocks.spread(joined, "network_id", "block").mapInArrow(rows, f"network_id {kind_}, i int, j int, excess double, place int")
+    return _all(found, rest, lambda h, e: graph.excess_pairs(*_plain(h, e, kind)))

@@ -228,7 +228,7 @@ def total_excess(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def excess_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return G.excess_pairs(paths.shortest_paths(*_msn(spark, folder)), _distances(spark, folder))
+    return paths.excess_pairs(_sequences(_haps(spark, folder, MORE)), _msn(spark, folder)[1], "binary")
 
 
 def shared_edges(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from haploweave import shared
 from haploweave.operators import alignment as A
 from haploweave.operators import blocks, near, paths
+from haploweave.operators import graph as G
 from haploweave.plans.msn import spanning_links
 
 
@@ -88,3 +89,19 @@ def test_paths_by_stripes(spark):
     assert half.where("network_id = 'c' and i = 0 and j = 8").first().length == 12
     plain, steps = paths.path_edges(tiles, e), paths.all_path_edges(v, e)
     assert sorted(map(tuple, steps.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_excess_by_stripes(spark):
+    """As by joins of all paths and distances, places included; more sequences than a stripe has; no pair is sorted."""
+    rng = random.Random(4)
+    nets = {"a": sorted(set(scattered(rng, 290, 10, "01"))), "b": ["01", "10"], "c": ["0"]}
+    table = sequences(spark, nets)
+    links = {n: [(i, rng.randrange(i), 0) for i in range(1, len(v))] for n, v in nets.items()}
+    e = graph_of(spark, {n: (0, [(i, j, differ(nets[n][i], nets[n][j])) for i, j, _ in x]) for n, x in links.items()})[1]
+    d = blocks.distances(blocks.stacked(table, "binary"))
+    found = paths.shortest_paths(table, e).cache()
+    pairs = paths.excess_pairs(table, e, "binary")
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, G.excess_pairs(found, d).select(pairs.columns).collect()))
+    assert sorted(map(tuple, paths.total_excess(table, e, "binary").collect())) == sorted(map(tuple, G.total_excess(found, d).collect()))
+    with pytest.raises(Exception, match="shorter than allowed"):
+        paths.total_excess(table, e.withColumn("weight", F.lit(0)), "binary").collect()
