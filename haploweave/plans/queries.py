@@ -222,7 +222,7 @@ def median_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def total_excess(spark: SparkSession, folder: str) -> DataFrame:
-    return G.total_excess(paths.shortest_paths(*_msn(spark, folder)), _distances(spark, folder))
+    return paths.total_excess(_sequences(_haps(spark, folder, MORE)), _msn(spark, folder)[1], "binary")
 
 
 def excess_pairs(spark: SparkSession, folder: str) -> DataFrame:
