@@ -105,3 +105,11 @@ def test_excess_by_stripes(spark):
     assert sorted(map(tuple, paths.total_excess(table, e, "binary").collect())) == sorted(map(tuple, G.total_excess(found, d).collect()))
     with pytest.raises(Exception, match="shorter than allowed"):
         paths.total_excess(table, e.withColumn("weight", F.lit(0)), "binary").collect()
+
+
+def test_vias_by_stripes(spark):
+    """Of the shortest paths' highest vertices the lowest, by stripes: no tile is shuffled."""
+    v, e = graph_of(spark, {"a": (6, [(0, 5, 1), (5, 1, 1), (0, 2, 1), (2, 1, 1), (1, 4, 2), (0, 4, 4)])})
+    found = paths.shortest_paths(v, e)
+    assert {(r.i, r.j): r.via for r in found.where("i = 0").collect()} == {(0, 0): -1, (0, 1): 2, (0, 2): -1, (0, 4): -1, (0, 5): -1}
+    assert "vias binary" not in found._jdf.queryExecution().toString() and "lengths" not in found._jdf.queryExecution().toString()
