@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
+from ..operators import blocks
 from ..session import ship
 from .intnj import intnj
 from .mjn import mjn
@@ -41,7 +42,7 @@ def elements(condensed: DataFrame, algorithm: str = "MJN", epsilon: float = 0, a
     """Vertices and edges of every network (ELEMENTS), each built in one task from its haplotypes.
 
     The algorithms are sequential and a network's haplotypes are few (its sequences were condensed before), so that
-    networks, not pairs, are what runs in parallel. Sampled vertices come first. A column datatype, if there, goes before kind.
+    networks, not pairs, are what runs in parallel: they are dealt out however few bytes they have. Sampled vertices come first. A column datatype, if there, goes before kind.
     """
     options, build = _options(algorithm, epsilon, alpha), ALGORITHMS[algorithm]
     ship(condensed.sparkSession)
@@ -57,7 +58,7 @@ def elements(condensed: DataFrame, algorithm: str = "MJN", epsilon: float = 0, a
         return pd.DataFrame(rows, columns=["network_id", "kind", "index", "label", "hap_idx", "sequence", "inferred", "from", "to", "weight", "from_label", "to_label"]).astype(object)
 
     slim = condensed.select(F.col("network_id").cast("string").alias("network_id"), "hap_idx", "name", "pattern_seq", "weights", *(c for c in condensed.columns if c == "datatype"))
-    return slim.groupBy("network_id").applyInPandas(run, ELEMENTS)
+    return blocks.spread(slim, "network_id").groupBy("network_id").applyInPandas(run, ELEMENTS)
 
 
 def vertices(elements_: DataFrame) -> DataFrame:

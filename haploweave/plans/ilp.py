@@ -7,6 +7,8 @@ import numpy as np
 from .network import NetworkError
 
 _EPS = 1e-7
+#: Paths that are priced at each pivot: those too short by most when all were priced. Once these are long enough, all are again.
+HELD = 256
 
 
 class _Dual:
@@ -31,18 +33,31 @@ class _Dual:
     def prices(self) -> np.ndarray:
         return self.value @ self.inverse
 
+    def short(self, x: np.ndarray) -> np.ndarray:
+        """By how much all paths are too short."""
+        return self.need - self.paths @ x
+
     def solve(self, limit: float) -> np.ndarray | None:
         """x of the optimum; None if there is none, or only one of at least limit."""
         n, stalled = len(self.cost), 0
+        held, paths, need = np.arange(0), self.paths[:0], self.need[:0]
         for _ in range(200_000):
             x = self.prices()
             if self.value @ self.level >= limit:
                 return None
-            short = self.need - self.paths @ x
+            short = need - paths @ x
+            if stalled >= 50 or not (short > _EPS).any():
+                whole = self.short(x)
+                held = np.flatnonzero(whole > _EPS)
+                if len(held) > HELD and stalled < 50:
+                    held = held[np.sort(np.argsort(-whole[held].round(9), kind="stable")[:HELD])]
+                held = held[:HELD]
+                paths, need, short = self.paths[held], self.need[held], whole[held]
             best, column, b = _EPS, None, 0.0
-            p = int(short.argmax()) if stalled < 50 else int(np.flatnonzero(short > _EPS)[0]) if (short > _EPS).any() else 0
-            if short[p] > best:
-                best, column, b = short[p], self.paths[p], float(self.need[p])
+            if (short > _EPS).any():
+                # Rounded, so that the first of equals is taken whatever order a product's sums run in.
+                p = int(short.round(9).argmax()) if stalled < 50 else int(np.flatnonzero(short > _EPS)[0])
+                best, column, b = short[p], paths[p], float(need[p])
             if stalled < 50 or column is None:
                 e = int(x.argmin())
                 if -x[e] > best:

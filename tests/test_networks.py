@@ -7,8 +7,10 @@ import random
 import numpy as np
 import pytest
 
-from haploweave.plans import ilp
-from haploweave.plans.intnj import intnj
+from pyspark.sql import functions as F
+
+from haploweave.plans import build, ilp
+from haploweave.plans.intnj import _joining_tree, _path_rows, intnj
 from haploweave.plans.mjn import mjn, pruned, quasi_medians, triplets
 from haploweave.plans.model import haplotypes_of, keep_sites
 from haploweave.plans.msn import msn, spanning_links
@@ -159,6 +161,34 @@ def test_integer_lengths_brute_force():
         assert ilp.least_lengths(paths, need) @ cost == (ok @ cost).min()
 
 
+def test_integer_lengths_price_few_paths(monkeypatch):
+    """All paths are priced now and then, not at each pivot; the least sum is that of pricing all each time."""
+    rng = random.Random(6)
+    h = haps(*sorted({"".join(rng.choice("01") for _ in range(7)) for _ in range(90)}), kind="binary")
+    rows, i, j = _path_rows(_joining_tree(h), len(h))
+    cost = 10**6 + np.arange(rows.shape[1])
+    calls = {"prices": 0, "short": 0}
+    for name in calls:
+        monkeypatch.setattr(ilp._Dual, name, lambda self, *a, f=getattr(ilp._Dual, name), name=name: calls.update({name: calls[name] + 1}) or f(self, *a))
+    found = []
+    for held in (len(rows), ilp.HELD, 3):
+        monkeypatch.setattr(ilp, "HELD", held)
+        calls.update(prices=0, short=0)
+        lengths = ilp.least_lengths(rows, h.d[i, j])
+        assert (rows @ lengths >= h.d[i, j]).all()
+        found.append(int(cost @ lengths))
+        if held == 256:
+            assert 5 * calls["short"] < calls["prices"]
+    assert len(set(found)) == 1
+
+
+def test_networks_are_dealt_out(spark):
+    """Small networks aren't put together in one task, however few bytes they have."""
+    table = spark.createDataFrame([(str(n), i, f"h{i}", q, [1, 1, 1]) for n in range(8) for i, q in enumerate(("000", "011", "101"))], "network_id string, hap_idx int, name string, pattern_seq string, weights array<long>")
+    found = build.elements(table, "IntNJ", kind="binary").withColumn("task", F.spark_partition_id())
+    assert found.select("task").distinct().count() > 3
+
+
 def test_mask_threshold():
     assert keep_sites(["A" * 19 + "N", "A" * 20]) == [True] * 20  # exactly 5 %
     assert keep_sites(["A" * 18 + "N", "A" * 19]) == [True] * 18 + [False]
