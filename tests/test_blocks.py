@@ -113,3 +113,44 @@ def test_vias_by_stripes(spark):
     found = paths.shortest_paths(v, e)
     assert {(r.i, r.j): r.via for r in found.where("i = 0").collect()} == {(0, 0): -1, (0, 1): 2, (0, 2): -1, (0, 4): -1, (0, 5): -1}
     assert "vias binary" not in found._jdf.queryExecution().toString() and "lengths" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("heaviest", [3, 6_000_000, 1 << 28])
+def test_stripes_in_narrow_cells(monkeypatch, heaviest):
+    """As by the triple loop, in 32 bits where lengths fit and in 64 where a weight or only a length doesn't; vertices of many
+    edges are taken in parts; an unconnected vertex stays so."""
+    rng = np.random.default_rng(heaviest)
+    n = 40
+    pairs = [(0, k) for k in range(1, n - 1)] + [(k, k + 1) for k in range(n - 2)] + [tuple(x) for x in rng.integers(1, n - 1, (60, 2)) if x[0] != x[1]]
+    edges = {(int(a), int(b)): int(w) for (a, b), w in zip(pairs, rng.integers(heaviest // 2 if heaviest > 3 else 0, heaviest + 1, len(pairs)), strict=True)}
+    edges |= {(b, a): w for (a, b), w in edges.items()}
+    length, via = np.full((n, n), np.inf), np.full((n, n), -1)
+    np.fill_diagonal(length, 0)
+    for x, w in edges.items():
+        length[x] = w
+    for k in range(n):
+        way = length[:, k, None] + length[None, k, :]
+        via[way < length] = k
+        length = np.minimum(length, way)
+    rows = sorted((b, a, w) for (a, b), w in edges.items())
+    target, source, weight = (np.array(x, dtype=np.int64).tobytes() for x in zip(*rows, strict=True))
+    one = {"vertex": np.arange(n).tobytes(), "source": source, "target": target, "weight": weight, "edge": np.arange(len(rows)).tobytes(), "size": 16, "block": 1}
+    for at_once in (16 * 5, 1 << 16):
+        monkeypatch.setattr(paths, "CELLS_AT_ONCE", at_once)
+        stripe = paths._Stripe(one)
+        assert (stripe._cells(np.int32, 6, 30) is None) == (heaviest > 3)
+        found = stripe.grown()
+        known = found < paths._FAR
+        assert (known == np.isfinite(length[16:32])).all()
+        assert ((found >> 32)[known] == length[16:32][known]).all() and ((found & paths._VIA)[known] - 1 == via[16:32][known]).all()
+
+
+def test_paths_send_what_is_asked_for(spark):
+    """Neither lengths nor vias are sent where the other is asked for."""
+    v, e = graph_of(spark, {"a": (4, [(0, 1, 1), (1, 2, 1), (0, 2, 5)])})
+    found = {c: paths.shortest_paths(v, e, of=(c,)) for c in ("length", "via")}
+    assert "length" not in found["via"]._jdf.queryExecution().toString() and "via" not in found["length"]._jdf.queryExecution().toString()
+    whole = paths.shortest_paths(v, e)
+    for c, d in found.items():
+        assert sorted(map(tuple, d.collect())) == sorted(map(tuple, whole.select(d.columns).collect()))
+        assert d.columns == paths.shortest_paths(v, e, tile=64, of=(c,)).columns
