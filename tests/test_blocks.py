@@ -1,5 +1,6 @@
 """All pairs by blocks: spanning networks, distances, paths and what is too long in them, against plain ways."""
 
+import os
 import random
 
 import numpy as np
@@ -91,6 +92,30 @@ def test_paths_by_stripes(spark):
     assert sorted(map(tuple, steps.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_paths_take_little_disk(spark):
+    """Tiles of last edges, and their network's edges beside them, take less than a byte of the shuffle for each pair."""
+    rng = random.Random(5)
+    n = 900
+    v, e = graph_of(spark, {"a": (n, [(i, rng.randrange(max(0, i - 99), i), rng.randint(1, 3)) for i in range(1, n) for _ in range(3)])})
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for x in folders for d, _, names in os.walk(x.getPath()) for f in names)
+    v, e = shared.save(v, "vertices"), shared.save(e, "edges")
+    before = held()
+    assert paths.all_path_edges(v, e).where("step = 0").count() == n * (n - 1)
+    assert 0 < held() - before < n * n
+
+
+def test_paths_by_parts_of_stripes(spark, monkeypatch):
+    """More stripes than go together, vertices of over 255 edges, and networks that share a task."""
+    rng = random.Random(6)
+    monkeypatch.setattr(paths, "CELLS", 16 * 300)
+    wheel = [(0, k, rng.randint(1, 3)) for k in range(1, 300)] + [(k, k + 1, rng.randint(0, 3)) for k in range(1, 299)]
+    v, e = graph_of(spark, {"wheel": (300, wheel), "b": (1, []), "c": (70, [(i, i // 2, 1) for i in range(1, 70)]), "d": (40, [(i, i + 1, 1) for i in range(20)])})
+    plain, steps = paths.path_edges(paths.shortest_paths(v, e, tile=64), e), paths.all_path_edges(v, e)
+    assert sorted(map(tuple, steps.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    assert "collect_list" not in (plan := steps._jdf.queryExecution().toString()) and "Join" not in plan.split("== Optimized Logical Plan ==")[0]
+
+
 def test_excess_by_stripes(spark):
     """As by joins of all paths and distances, places included; more sequences than a stripe has; no pair is sorted."""
     rng = random.Random(4)
