@@ -30,9 +30,9 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     semicolons, hemispheres are letters, and unknown counts are question marks.
     """
     rows = Q.dna(spark, folder)
-    top = rows.where("taxon_idx = 0").select("network_id", F.col("seq").alias("top"))
+    top = rows.where("taxon_idx = 0").select(F.col("network_id").alias("of"), F.col("seq").alias("top"))
     dotted = F.array_join(F.zip_with(characters("seq"), characters("top"), lambda c, t: F.when(c == t, ".").otherwise(c)), "")
-    rows = rows.join(top, "network_id").withColumn("seq", F.when(F.col("taxon_idx") == 0, F.col("seq")).otherwise(dotted))
+    rows = rows.join(top, F.col("network_id").eqNullSafe(F.col("of"))).withColumn("seq", F.when(F.col("taxon_idx") == 0, F.col("seq")).otherwise(dotted))
     i, v = F.col("taxon_idx"), F.col("taxon").cast("long")
     name = F.concat(F.lit("'v "), "taxon", F.lit("'"))
     line = F.struct(

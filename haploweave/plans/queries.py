@@ -19,7 +19,7 @@ from ..shared import save
 from . import build, layout
 
 #: Sites of the alignments: few where sequences are to be equal, more where they are to differ.
-FEW, MORE, NETWORK = 6, 16, 8
+FEW, MORE, NETWORK, DNA = 6, 16, 8, 64
 
 
 def _taxa(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,8 +39,14 @@ def _placed_in_label(rows: DataFrame, span: int = 1 << 16) -> DataFrame:
 
 
 def dna(spark: SparkSession, folder: str) -> DataFrame:
-    state = lambda x: F.when(F.abs(x) < 0.0005, "-").when(F.abs(x) < 0.001, "N").when(x < -0.1, "A").when(x < 0, "C").when(x < 0.1, "G").otherwise("T")
-    return _taxa(spark, folder).select("network_id", "taxon_idx", "taxon", F.array_join(F.transform("embedding", state), "").alias("seq"))
+    """Always of DNA sites, whatever a vector holds: what it lacks is no number below a bound. Bounds are of the components' own
+    type: the float next to -0.1 is -0.1, not below it."""
+    rows = _taxa(spark, folder)
+    number = rows.schema["embedding"].dataType.elementType
+    below = lambda x, bound: x < F.lit(bound).cast(number)
+    state = lambda x: F.when(below(F.abs(x), 0.0005), "-").when(below(F.abs(x), 0.001), "N").when(below(x, -0.1), "A").when(below(x, 0.0), "C").when(below(x, 0.1), "G").otherwise("T")
+    sites = F.transform(F.sequence(F.lit(0), F.lit(DNA - 1)), lambda k: state(F.get("embedding", k)))
+    return rows.select("network_id", "taxon_idx", "taxon", F.array_join(sites, "").alias("seq"))
 
 
 def binary(spark: SparkSession, folder: str, sites: int) -> DataFrame:

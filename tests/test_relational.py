@@ -144,6 +144,27 @@ def test_queries_against_sql(spark, module, name):
     assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, cur.fetchall())), name
 
 
+@pytest.mark.parametrize("name", ["nexus_characters"])
+def test_sequences_against_sql(spark, tmp_path, name):
+    """Components at the bounds of states and the floats beside them, vectors that are null, too short or too long, hold nulls or
+    no numbers, or have no label."""
+    import duckdb
+    import numpy as np
+
+    from haploweave.plans import documents
+
+    bounds = [np.float32(s * x) for x in (0, 0.0005, 0.001, 0.1) for s in (-1, 1)]
+    whole = [float(y) for x in bounds for y in (x, np.nextafter(x, np.float32(-1)), np.nextafter(x, np.float32(1)))]
+    whole += [0.2, -0.2, 0.05, -0.05, 0.0007, float("nan"), float("inf"), float("-inf")] * 5
+    rows = [(0, whole, 1), (1, None, 1), (2, whole[:40], 1), (3, whole[::-1] + [0.2], 1), (4, [None] * 5 + whole[5:], 1), (5, [], 1), (6, whole, None), (7, whole[::-1], None), (8, None, 2), (9, whole, 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    cur = con.execute(documents.SQL[name])
+    found = documents.QUERIES[name](spark, str(tmp_path)).select(*(d[0] for d in cur.description)).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, cur.fetchall())) and len(found) == len(rows)
+
+
 def test_excess_and_shared_edges(spark):
     v, e = graph(spark, [(0, 1, 2), (1, 2, 3), (2, 1, 9)], 3)
     d = spark.createDataFrame([("g", 1, 0, 2), ("g", 2, 0, 1), ("g", 2, 1, 3)], "network_id string, i int, j int, d int")
