@@ -216,9 +216,9 @@ def edge_list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nexus_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Sequences of the documents, written as files and read in byte ranges."""
-    files.write_texts(texts(spark, folder), to := place(spark, "nexus"))
-    return split.read_characters(spark, to)
+    """Sequences of the documents, written as files and read in byte ranges. The file of vectors without a label has an empty name."""
+    files.write_texts(texts(spark, folder).withColumn("dataset_id", F.coalesce("dataset_id", F.lit(""))), to := place(spark, "nexus"))
+    return split.read_characters(spark, to).withColumn("dataset_id", F.nullif("dataset_id", F.lit("")))
 
 
 _PLAIN = (nexus_alignment, datatypes, coordinates, match_chars, edge_lines, project_json, project_graph, model_json, network_status, selected_vertices, ordered_sequences, layout_checks, layout_charges, edit_history, project_files, edge_list_files, nexus_files)

@@ -144,7 +144,7 @@ def test_queries_against_sql(spark, module, name):
     assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, cur.fetchall())), name
 
 
-@pytest.mark.parametrize("name", ["nexus_characters"])
+@pytest.mark.parametrize("name", ["nexus_characters", "nexus_files"])
 def test_sequences_against_sql(spark, tmp_path, name):
     """Components at the bounds of states and the floats beside them, vectors that are null, too short or too long, hold nulls or
     no numbers, or have no label."""
